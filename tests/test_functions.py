@@ -1,0 +1,118 @@
+import math
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from moveatlas.functions import scalar as X
+
+
+def one(spark, column, **values):
+    frame = spark.range(1).select(*(v.alias(k) for k, v in values.items()), F.lit(1).alias("_"))
+    return frame.select(column.alias("x")).first().x
+
+
+def test_iso_weekday_runs_from_monday_to_sunday(spark):
+    days = spark.createDataFrame([(f"2024010{i}",) for i in range(1, 8)], "d string")
+    got = [r.w for r in days.select(X.iso_weekday(X.parse_ymd("d")).alias("w")).collect()]
+    assert got == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_row_sum_is_null_when_one_cell_is_null(spark):
+    frame = spark.createDataFrame([("1", "2.5"), ("1", None)], "a string, b string")
+    assert [r.s for r in frame.select(X.row_sum(["a", "b"]).alias("s")).collect()] == [3.5, None]
+
+
+@pytest.mark.parametrize("text", ["*", ""])
+def test_bad_text_is_an_error_or_null(spark, text):
+    frame = spark.createDataFrame([(text,)], "a string")
+    with pytest.raises(PySparkException):
+        frame.select(X.to_double("a")).collect()
+    with pytest.raises(PySparkException):
+        frame.select(X.row_sum(["a"])).collect()
+    assert frame.select(X.to_double("a", strict=False).alias("x")).first().x is None
+    assert frame.select(X.row_sum(["a"], strict=False).alias("x")).first().x is None
+
+
+def test_hour_with_a_fraction_is_not_an_integer(spark):
+    frame = spark.createDataFrame([("8.0",)], "a string")
+    with pytest.raises(PySparkException):
+        frame.select(X.to_int("a")).collect()
+    assert frame.select(X.to_int("a", strict=False).alias("x")).first().x is None
+
+
+def test_bad_date_is_an_error_or_null(spark):
+    frame = spark.createDataFrame([("20240132",)], "a string")
+    with pytest.raises(PySparkException):
+        frame.select(X.parse_ymd("a")).collect()
+    assert frame.select(X.parse_ymd("a", strict=False).alias("x")).first().x is None
+
+
+@pytest.mark.parametrize(
+    "n, d, expected",
+    [
+        (1.0, 2.0, 0.5),
+        (1.0, 0.0, math.inf),
+        (-1.0, 0.0, -math.inf),
+        (None, 0.0, None),
+        (1.0, None, None),
+        (None, None, None),
+    ],
+)
+def test_ieee_divide(spark, n, d, expected):
+    values = {"n": F.lit(n).cast("double"), "d": F.lit(d).cast("double")}
+    assert one(spark, X.ieee_divide("n", "d"), **values) == expected
+
+
+@pytest.mark.parametrize("n, d", [(0.0, 0.0), (math.nan, 0.0), (math.nan, 2.0), (1.0, math.nan)])
+def test_ieee_divide_gives_nan(spark, n, d):
+    assert math.isnan(one(spark, X.ieee_divide("n", "d"), n=F.lit(n), d=F.lit(d)))
+
+
+def test_null_division_leaves_zero_divisors_out(spark):
+    column = X.ieee_divide("n", "d", zero_division="null")
+    assert one(spark, column, n=F.lit(1.0), d=F.lit(0.0)) is None
+    assert one(spark, column, n=F.lit(1.0), d=F.lit(4.0)) == 0.25
+    with pytest.raises(ValueError):
+        X.ieee_divide("n", "d", zero_division="zero")
+
+
+def test_eps_ratio_never_divides_by_zero(spark):
+    assert one(spark, X.eps_ratio("n", "d"), n=F.lit(0.0), d=F.lit(0.0)) == 0.0
+    assert one(spark, X.eps_ratio("n", "d"), n=F.lit(2.0), d=F.lit(4.0)) == 2.0 / (4.0 + 1e-6)
+
+
+def test_conditional_row_sum_gives_zero_or_null(spark):
+    frame = spark.createDataFrame([("x", "1"), ("y", "1"), (None, "1")], "p string, a string")
+    got = frame.select(
+        X.row_sum_when(F.col("p") == "x", ["a"]).alias("zero"),
+        X.row_sum_when(F.col("p") == "x", ["a"], otherwise=None).alias("null"),
+        X.flag(F.col("p") == "x").alias("flag"),
+    ).collect()
+    assert [tuple(r) for r in got] == [(1.0, 1.0, 1.0), (0.0, None, 0.0), (0.0, None, 0.0)]
+
+
+def test_zero_sum_of_an_all_null_group(spark):
+    frame = spark.createDataFrame([("a", None), ("b", 2.0), ("b", None)], "k string, v double")
+    got = {r.k: r.s for r in frame.groupBy("k").agg(X.zero_sum("v").alias("s")).collect()}
+    assert got == {"a": 0.0, "b": 2.0}
+
+
+def test_fill_zero_leaves_other_values(spark):
+    frame = spark.createDataFrame([(0.0,), (2.0,), (None,), (math.nan,)], "v double")
+    got = [r.x for r in frame.select(X.fill_zero("v", F.lit(9.0)).alias("x")).collect()]
+    assert got[:3] == [9.0, 2.0, None] and math.isnan(got[3])
+
+
+def test_logs(spark):
+    assert one(spark, X.offset_log("v", 1e6), v=F.lit(5.0)) == pytest.approx(math.log(1e6 + 5))
+    assert one(spark, X.fourth_root("v"), v=F.lit(16.0)) == 2.0
+
+
+def test_time_band_takes_the_first_match(spark):
+    bands = {"night": [(22, 23), (0, 5)], "day": [(5, 17)]}
+    frame = spark.createDataFrame([(h,) for h in (0, 5, 6, 17, 18, 22, 23)], "h int")
+    got = [r.b for r in frame.select(X.time_band("h", bands).alias("b")).collect()]
+    assert got == ["night", "night", "day", "day", None, "night", "night"]
+    with pytest.raises(ValueError):
+        X.time_band("h", {})
