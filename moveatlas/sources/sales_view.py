@@ -39,9 +39,21 @@ def _trips(spark: SparkSession, sf_dir: str, ymd: tuple[str, str] | None) -> Dat
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def _count(i: int | str) -> str:
+def _count(i: int) -> str:
     """``1 + (partkey·(i+1) + linenumber·7 + i) mod 9``, with its row parts shared."""
-    return f"1 + (step * ({i} + 1) + shift) % 9"
+    return f"1 + (step * {i + 1} + shift) % 9"
+
+
+# The sixteen counts of a row depend on its two row parts modulo 9 only, so they
+# are one of 81 strings of sixteen digits. Sixteen formulas per row instead would
+# make the generated method too large for the JVM to compile.
+_DIGITS = "element_at(array({}), CAST(1 + step % 9 * 9 + shift % 9 AS INT))".format(
+    ", ".join(
+        "'" + "".join(str(1 + (step * (i + 1) + shift) % 9) for i in range(16)) + "'"
+        for step in range(9)
+        for shift in range(9)
+    )
+)
 
 
 _PURPOSE = " ".join(
@@ -67,17 +79,14 @@ def purpose_counts(
         .join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    # The sixteen texts come from one array expression: written out sixteen times,
-    # they would make the generated method too large for the JVM to compile.
-    digits = f"transform(sequence(0, 15), i -> CAST({_count('i')} AS STRING)) AS digits"
-    return trips.selectExpr("*", digits).selectExpr(
+    return trips.selectExpr("*", f"{_DIGITS} AS digits").selectExpr(
         "date_format(o_orderdate, 'yyyyMMdd') AS ETL_YMD",
         _hour("CAST(l_quantity AS INT)") + " AS TIME_CD",
         f"{_PURPOSE} AS MOVE_PURPOSE",
         f"r_name AS {S.PROVINCE}",
         f"n_name AS {S.DISTRICT}",
         f"concat(r_name, '_', n_name, '_', s_name) AS {S.PLACE}",
-        *(f"digits[{i}] AS {name}" for i, name in enumerate(S.COUNT_COLS)),
+        *(f"substr(digits, {i + 1}, 1) AS {name}" for i, name in enumerate(S.COUNT_COLS)),
         "CAST(l_extendedprice AS STRING) AS TOTAL_CNT",
     )
 
