@@ -9,19 +9,40 @@ question, where filters reach the scan, and the mart for all of them.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveatlas import schema as S
-from moveatlas.functions.scalar import eps_ratio, to_double, zero_sum
+from moveatlas.functions.scalar import eps_ratio, to_double, value_when, zero_sum
 from moveatlas.operators import filters
 from moveatlas.operators.features import add_row_sums
 from moveatlas.plans import hotness, scopes, visits
 
+SCOPE_NAMES = ("evening_home", "daytime", "visit", "women", "teens", "tourism")
+
+# Output total: (condition, summed row value), over the columns of _row_level.
+TOTALS = {
+    "home_return": ("in_evening_home AND is_home", "total"),
+    "home_total": ("in_evening_home", "total"),
+    "hotness_sum": ("in_daytime", "hotness"),
+    "daytime_shop_tour": ("in_daytime AND is_shop_tour", "total"),
+    "daytime_total": ("in_daytime", "total"),
+    "visit_shop_young": ("in_visit AND is_shop_tour", "young"),
+    "visit_young": ("in_visit", "young"),
+    "visit_total": ("in_visit", "total"),
+    "women_2039": ("in_women", "women"),
+    "women_scope_total": ("in_women", "total"),
+    "teens_1029": ("in_teens", "teens"),
+    "teens_scope_total": ("in_teens", "total"),
+    "tourism_cnt": ("in_tourism", "total_cnt"),
+}
+
 
 def _row_level(counts: DataFrame, period: scopes.Period, keys: list[str]) -> DataFrame:
     rows = filters.date_range(counts, *period)
+    # The period holds for every row by now; each scope adds only its own filters.
     wanted = {
         "evening_home": scopes.bedtown_scope(period),
         "daytime": scopes.hotness_scope(period),
@@ -42,7 +63,7 @@ def _row_level(counts: DataFrame, period: scopes.Period, keys: list[str]) -> Dat
     return summed.select(
         *keys,
         *(
-            F.coalesce(scope.holds(rows), F.lit(False)).alias(f"in_{name}")
+            F.coalesce(replace(scope, ymd=None).holds(rows), F.lit(False)).alias(f"in_{name}")
             for name, scope in wanted.items()
         ),
         (F.col("MOVE_PURPOSE") == S.RETURN_HOME).alias("is_home"),
@@ -51,7 +72,9 @@ def _row_level(counts: DataFrame, period: scopes.Period, keys: list[str]) -> Dat
         "young",
         "women",
         "teens",
-        to_double("TOTAL_CNT").alias("total_cnt"),
+        value_when(F.col("MOVE_PURPOSE") == S.TOURISM, to_double("TOTAL_CNT"), otherwise=None).alias(
+            "total_cnt"
+        ),
     )
 
 
@@ -69,45 +92,27 @@ def indicator_mart(
             F.col("in_daytime"),
             hotness.hotness_of(
                 eps_ratio("young", "total"),
-                F.when(F.col("is_shop_tour"), F.col("total")).otherwise(F.lit(0.0)),
+                value_when(F.col("is_shop_tour"), "total"),
                 F.col("total"),
                 zero_division,
             ),
         ),
     )
-
-    def total(condition: Column, value: str) -> Column:
-        return zero_sum(F.when(condition, F.col(value)))
-
-    inside = {name: F.col(f"in_{name}") for name in
-              ("evening_home", "daytime", "visit", "women", "teens", "tourism")}
     return rows.groupBy(*keys).agg(
-        *(F.count_if(held).alias(f"rows_{name}") for name, held in inside.items()),
-        total(inside["evening_home"] & F.col("is_home"), "total").alias("home_return"),
-        total(inside["evening_home"], "total").alias("home_total"),
-        total(inside["daytime"], "hotness").alias("hotness_sum"),
-        total(inside["daytime"] & F.col("is_shop_tour"), "total").alias("daytime_shop_tour"),
-        total(inside["daytime"], "total").alias("daytime_total"),
-        total(inside["visit"] & F.col("is_shop_tour"), "young").alias("visit_shop_young"),
-        total(inside["visit"], "young").alias("visit_young"),
-        total(inside["visit"], "total").alias("visit_total"),
-        total(inside["women"], "women").alias("women_2039"),
-        total(inside["women"], "total").alias("women_scope_total"),
-        total(inside["teens"], "teens").alias("teens_1029"),
-        total(inside["teens"], "total").alias("teens_scope_total"),
-        total(inside["tourism"], "total_cnt").alias("tourism_cnt"),
+        *(F.expr(f"count_if(in_{name})").alias(f"rows_{name}") for name in SCOPE_NAMES),
+        *(
+            F.expr(f"coalesce(sum(CASE WHEN {test} THEN {value} END), 0D)").alias(name)
+            for name, (test, value) in TOTALS.items()
+        ),
     )
 
 
 def roll_up(mart: DataFrame, keys: str | Iterable[str]) -> DataFrame:
     """Totals of a coarser key from a finer mart; the scan is not repeated."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    counted = [c for c in mart.columns if c.startswith("rows_")]
-    summed = [
-        c for c, kind in mart.dtypes if kind == "double" and c not in keys and c not in counted
-    ]
+    counted = [f"rows_{name}" for name in SCOPE_NAMES]
     return mart.groupBy(*keys).agg(
-        *(F.sum(c).alias(c) for c in counted), *(zero_sum(c).alias(c) for c in summed)
+        *(F.sum(c).alias(c) for c in counted), *(zero_sum(c).alias(c) for c in TOTALS)
     )
 
 
