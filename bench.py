@@ -64,7 +64,6 @@ def timed(build) -> float:
 
 def stored_queries(spark, counts_path: str, moves_path: str) -> dict:
     counts, moves = C.scan_counts(spark, counts_path), spark.read.parquet(moves_path)
-    texts = moves.selectExpr("*", "date_format(etl_date, 'yyyyMMdd') AS etl_ymd")
     history = V.code_history(spark, SF_DIR)
     place = S.PLACE
     return {
@@ -87,7 +86,7 @@ def stored_queries(spark, counts_path: str, moves_path: str) -> dict:
         "k04_rank_places": lambda: rank_rows(
             visits.annual_visitors(counts, YEAR), "YEAR_TOTAL_VISITORS", place
         ),
-        "q27_place_profile": lambda: flows.compare_places(flows.place_profile(texts)),
+        "q27_place_profile": lambda: flows.compare_places(flows.place_profile(moves)),
         "k06_top_destinations": lambda: flows.top_destinations(moves, 5),
         "st04_reconcile": lambda: reconcile_admin_codes(moves, history),
         "st05_transform": lambda: transform_coordinates(moves),

@@ -179,7 +179,7 @@ def optimise_layout(spark, sf_dir):
 def export_csv(spark, sf_dir):
     rows = add_row_sums(W.date_range(all_counts(spark, sf_dir), *Q.YEAR), {"total": S.COUNT_COLS})
     path = scratch_path(spark, "dashboard")
-    C.export_csv(group_totals(rows, "SGG_NM", {"total": "total"}), path, files=1)
+    C.export_csv(group_totals(rows, "SGG_NM", {"total": "total"}), path)
     return spark.read.schema("SGG_NM string, total double").option("header", True).csv(path)
 
 

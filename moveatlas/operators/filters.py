@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import calendar
 from collections.abc import Iterable, Mapping
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moveatlas import schema as S
-from moveatlas.functions.scalar import iso_weekday, parse_ymd, time_band, to_int
+from moveatlas.functions.scalar import iso_weekday, month_number, parse_ymd, time_band, to_int
 
 
 def hour_of(df: DataFrame, column: str = "TIME_CD", strict: bool = True) -> Column:
@@ -24,18 +25,35 @@ def hour_of(df: DataFrame, column: str = "TIME_CD", strict: bool = True) -> Colu
     return F.col(S.HOUR_COL) if S.HOUR_COL in df.columns else to_int(column, strict)
 
 
+def _stored_date(df: DataFrame) -> str | None:
+    kinds = dict(df.dtypes)
+    return next((c for c in (S.DATE_COL, S.MOVE_DATE_COL) if kinds.get(c) == "date"), None)
+
+
 def date_of(df: DataFrame, column: str = "ETL_YMD", strict: bool = True) -> Column:
-    """The date: the stored one when it is a date column already."""
-    if dict(df.dtypes).get(S.DATE_COL) == "date":
-        return F.col(S.DATE_COL)
-    return parse_ymd(column, strict)
+    """The date: the stored one when there is a date column already."""
+    stored = _stored_date(df)
+    return F.col(stored) if stored else parse_ymd(column, strict)
+
+
+def month_of(df: DataFrame, column: str = "ETL_YMD") -> Column:
+    """The integer month ``yyyyMM``: the stored one when there is one."""
+    stored = next((c for c in (S.MONTH_COL, S.MOVE_MONTH_COL) if c in df.columns), None)
+    return F.col(stored) if stored else month_number(column)
 
 
 def date_range_is(df: DataFrame, lo: str, hi: str, column: str = "ETL_YMD") -> Column:
-    """Inclusive range on ``yyyyMMdd`` text; prunes month partitions where present."""
-    inside = F.col(column).between(lo, hi)
-    if S.MONTH_COL in df.columns:
-        inside = F.col(S.MONTH_COL).between(int(lo[:6]), int(hi[:6])) & inside
+    """Inclusive range of days given as ``yyyyMMdd``; prunes month partitions where present.
+
+    Compares the text column, or the stored date where the text was dropped.
+    """
+    if column in df.columns:
+        inside = F.col(column).between(lo, hi)
+    else:
+        first, last = (F.lit(datetime.strptime(d, "%Y%m%d").date()) for d in (lo, hi))
+        inside = date_of(df, column).between(first, last)
+    if S.MONTH_COL in df.columns or S.MOVE_MONTH_COL in df.columns:
+        inside = month_of(df, column).between(int(lo[:6]), int(hi[:6])) & inside
     return inside
 
 

@@ -88,6 +88,9 @@ def preview(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     return df.select(*columns).limit(n)
 
 
+PRE_LIMIT_SALTS = 64
+
+
 def top_n_per_group(
     df: DataFrame,
     group: str | tuple[str, ...],
@@ -99,12 +102,20 @@ def top_n_per_group(
     """The first n rows of each group with their position.
 
     The rank filter sits on the window, so Spark drops all but n rows per group
-    in every map task before the shuffle; a hot group stays small.
+    in every map task before the shuffle; a hot group stays small. Spark does
+    so only up to a threshold of n; above it, each group is first cut to n rows
+    per salt of the key, so that again no task receives a whole hot group.
     """
     groups = (group,) if isinstance(group, str) else group
-    window = Window.partitionBy(*groups).orderBy(*sort_order(by, key))
-    return (
-        df.withColumn(rank, F.row_number().over(window))
-        .filter(F.col(rank) <= n)
-        .withColumn(rank, F.col(rank).cast("long"))
-    )
+    keys = (key,) if isinstance(key, str) else key
+    order = sort_order(by, key)
+
+    def cut(frame: DataFrame, *parts) -> DataFrame:
+        window = Window.partitionBy(*parts).orderBy(*order)
+        return frame.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n > threshold:
+        salt = F.pmod(F.xxhash64(*keys), F.lit(PRE_LIMIT_SALTS))
+        df = cut(df, *groups, salt).drop(rank)
+    return cut(df, *groups).withColumn(rank, F.col(rank).cast("long"))

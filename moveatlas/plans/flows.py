@@ -15,13 +15,12 @@ from moveatlas import schema as S
 from moveatlas.functions.scalar import (
     eps_ratio,
     iso_weekday,
-    month_number,
-    parse_ymd,
     time_band,
     to_int,
     zero_sum,
 )
 from moveatlas.operators.aggregates import band_mix, group_totals, monthly_means
+from moveatlas.operators.filters import date_of, month_of
 from moveatlas.operators.ranking import rank_rows, top_n_per_group, top_ranked
 
 NIGHT_BANDS = {"night": ((18, 23), (0, 5)), "day": ((6, 17),)}
@@ -58,7 +57,7 @@ def age_mix(moves: DataFrame, key: str = "d_admdong_cd") -> DataFrame:
 
 def monthly_trend(moves: DataFrame, key: str = "d_admdong_cd") -> DataFrame:
     """Mean monthly visitors and monthly trend per place and age band."""
-    return monthly_means(moves, key, month_number("etl_ymd"), S.BAND_COLS)
+    return monthly_means(moves, key, month_of(moves, "etl_ymd"), S.BAND_COLS)
 
 
 def _both_sides(moves: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
@@ -70,11 +69,11 @@ def _both_sides(moves: DataFrame, conditions: Mapping[str, Column]) -> DataFrame
         )
     )
     return moves.select(
-        "etl_ymd",
+        date_of(moves, "etl_ymd").alias("day"),
         "total_cnt",
         *(value.alias(name) for name, value in conditions.items()),
         sides.alias("side"),
-    ).select("etl_ymd", "total_cnt", *conditions, "side.place", "side.leaves")
+    ).select("day", "total_cnt", *conditions, "side.place", "side.leaves")
 
 
 def _when(condition: Column, value: str = "total_cnt") -> Column:
@@ -93,7 +92,7 @@ def _stay_rows(
     return _both_sides(
         moves,
         {
-            "is_weekend": iso_weekday(parse_ymd("etl_ymd")).isin(*weekend),
+            "is_weekend": iso_weekday(date_of(moves, "etl_ymd")).isin(*weekend),
             "is_night": F.coalesce(time_band(to_int("st_time_cd"), bands) == night, F.lit(False)),
         },
     )
@@ -142,7 +141,7 @@ def place_profile(
 ) -> DataFrame:
     """Bed-town and hot-place index of every place from one scan, without a join."""
     rows = _stay_rows(moves, weekend, bands, night)
-    daily = rows.groupBy("place", "etl_ymd").agg(
+    daily = rows.groupBy("place", "day").agg(
         _when(~F.col("leaves")).alias("arrivals"),
         _when(F.col("leaves")).alias("departures"),
         *_stay_totals(),
@@ -162,7 +161,7 @@ def hotplace_index(moves: DataFrame) -> DataFrame:
     """
     daily = (
         _both_sides(moves, {})
-        .groupBy("place", "etl_ymd")
+        .groupBy("place", "day")
         .agg(_when(~F.col("leaves")).alias("arrivals"), _when(F.col("leaves")).alias("departures"))
     )
     return daily.groupBy("place").agg(

@@ -45,6 +45,10 @@ MONTH_COL = "ETL_YM"    # partition column written at ingest
 HOUR_COL = "HOUR"       # integer hour written at ingest
 DATE_COL = "ETL_DATE"
 
+# The same columns of stored moves.
+MOVE_MONTH_COL = "etl_ym"
+MOVE_DATE_COL = "etl_date"
+
 PLACE = "FULL_NM"
 DISTRICT = "SGG_NM"
 PROVINCE = "SIDO_NM"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from moveatlas import schema as S
 from moveatlas.functions.scalar import month_number, parse_ymd, to_double, to_int
@@ -70,21 +69,11 @@ def load_columns(spark: SparkSession, paths: list[str], columns: list[str]) -> D
     return spark.read.parquet(*paths).select(*columns)
 
 
-def export_csv(df: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None) -> None:
-    """CSV with header for dashboards.
-
-    ``files`` bounds the number of part files and suits aggregated frames; by
-    default the frame's own partitions are written in parallel.
-    """
-    out = df.repartition(files) if files else df
-    out.write.mode(mode).option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """CSV with header for dashboards; a small aggregated frame gives one file."""
+    df.write.mode(mode).option("header", True).csv(path)
 
 
 def write_extract(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet extract of one place."""
     df.write.mode(mode).parquet(path)
-
-
-def clock_sorted(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Sort rows inside each partition, for run lengths and row-group pruning."""
-    return df.sortWithinPartitions(*(F.col(k) for k in keys))

@@ -12,14 +12,11 @@ from moveatlas.functions.scalar import month_number, parse_ymd, to_int
 from moveatlas.operators.lookups import reconcile_admin_codes
 from moveatlas.sources.counts import write_by_month
 
-MOVE_MONTH = "etl_ym"
-
-
 def standardise_moves(df: DataFrame, strict: bool = True) -> DataFrame:
     """Add the parsed date; make start and end hours integers."""
     return df.withColumns(
         {
-            "etl_date": parse_ymd("etl_ymd", strict),
+            S.MOVE_DATE_COL: parse_ymd("etl_ymd", strict),
             "st_time_cd": to_int("st_time_cd", strict),
             "fns_time_cd": to_int("fns_time_cd", strict),
         }
@@ -36,8 +33,8 @@ def merge_moves(
 ) -> DataFrame:
     """Merge sources, bring admin codes up to date, write one monthly dataset."""
     merged = reconcile_admin_codes(union_by_name(sources), history)
-    merged = merged.withColumn(MOVE_MONTH, month_number("etl_ymd"))
-    write_by_month(merged, path, mode, MOVE_MONTH)
+    merged = merged.withColumn(S.MOVE_MONTH_COL, month_number("etl_ymd"))
+    write_by_month(merged, path, mode, S.MOVE_MONTH_COL)
     return merged.sparkSession.read.parquet(path)
 
 
@@ -49,18 +46,18 @@ def optimise_layout(df: DataFrame, path: str, mode: str = "errorifexists") -> Da
     task, so codes run-length encode and row groups prune by place. Counts keep
     double precision: results must not change.
     """
-    narrow = standardise_moves(df) if dict(df.dtypes).get("etl_date") != "date" else df
-    if MOVE_MONTH not in narrow.columns:
-        narrow = narrow.withColumn(MOVE_MONTH, month_number("etl_ymd"))
+    narrow = standardise_moves(df) if dict(df.dtypes).get(S.MOVE_DATE_COL) != "date" else df
+    if S.MOVE_MONTH_COL not in narrow.columns:
+        narrow = narrow.withColumn(S.MOVE_MONTH_COL, month_number("etl_ymd"))
     narrow = narrow.withColumns(
         {c: F.col(c).cast("tinyint") for c in ("st_time_cd", "fns_time_cd")}
     ).drop("etl_ymd")
     (
-        narrow.hint("rebalance", MOVE_MONTH)
-        .sortWithinPartitions(MOVE_MONTH, "d_admdong_cd", "o_admdong_cd", "etl_date")
+        narrow.hint("rebalance", S.MOVE_MONTH_COL)
+        .sortWithinPartitions(S.MOVE_MONTH_COL, "d_admdong_cd", "o_admdong_cd", S.MOVE_DATE_COL)
         .write.mode(mode)
         .option("compression", "zstd")
-        .partitionBy(MOVE_MONTH)
+        .partitionBy(S.MOVE_MONTH_COL)
         .parquet(path)
     )
     return df.sparkSession.read.parquet(path)

@@ -1,5 +1,7 @@
 import random
 
+from conftest import setting
+
 from moveatlas.operators import ranking as K
 
 NAN = float("nan")
@@ -65,3 +67,15 @@ def test_top_n_per_group(spark):
 
 def test_preview(spark):
     assert len(K.preview(frame(spark, [("a", 1.0)] * 9), ["k"], 4).collect()) == 4
+
+
+def test_large_n_is_cut_per_salt_before_the_group_meets(spark):
+    rows = [("hot" if i % 3 else "cold", f"k{i:04d}", float(i % 50)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, k string, v double")
+    with setting(spark, "spark.sql.optimizer.windowGroupLimitThreshold", "5"):
+        got = {(r.g, r.k, r.RANK) for r in K.top_n_per_group(df, "g", "v", "k", 60).collect()}
+    expected = set()
+    for group in ("hot", "cold"):
+        ordered = sorted((r for r in rows if r[0] == group), key=lambda r: (-r[2], r[1]))
+        expected |= {(group, r[1], i) for i, r in enumerate(ordered[:60], 1)}
+    assert got == expected

@@ -4,6 +4,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from moveatlas import schema as S
+from moveatlas.operators import filters as W
+from moveatlas.plans import flows
 from moveatlas.session import scratch_path, shared_folder
 from moveatlas.sources import counts as C
 from moveatlas.sources import moves as M
@@ -89,6 +91,20 @@ def test_optimised_copy_holds_the_same_rows(spark, tmp_path):
     assert got.agg(F.sum("total_cnt"), F.count("etl_date")).first()[:] == (8.0, 2)
 
 
+def test_flows_read_the_optimised_copy(spark, tmp_path):
+    df = moves(spark, ("A", "Z", "20240105"), ("Z", "A", "20240105"), ("A", "Z", "20240205"), ("A", "Z", "20240305"))
+    small = M.optimise_layout(df, str(tmp_path / "o"))
+    assert "etl_ymd" not in small.columns
+    for plan in (flows.hotplace_index, flows.bedtown_index, flows.place_profile, flows.monthly_trend):
+        assert sorted(map(tuple, plan(small).collect())) == sorted(map(tuple, plan(df).collect()))
+    spring = W.date_range(small, "20240105", "20240229", column="etl_ymd")
+    assert spring.count() == 3
+    read = spring._jdf.queryExecution().executedPlan().toString()
+    assert "etl_ym" in read.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(etl_date" in read
+    assert W.months(small, 2024, [2, 3], column="etl_ymd").count() == 2
+
+
 def test_codes_in_moves_csv_keep_leading_zeros(spark, tmp_path):
     src = write_csv(moves(spark, ("0011", "0020", "20240105")), str(tmp_path / "in"))
     assert M.read_moves_csv(spark, src).first().o_admdong_cd == "0011"
@@ -96,7 +112,7 @@ def test_codes_in_moves_csv_keep_leading_zeros(spark, tmp_path):
 
 def test_export_and_extract(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0)], "k string, v double")
-    C.export_csv(df, str(tmp_path / "csv"), files=1)
+    C.export_csv(df, str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("*.csv")).read_text()
     assert text.splitlines() == ["k,v", "a,1.0"]
     C.write_extract(df, str(tmp_path / "extract"))
