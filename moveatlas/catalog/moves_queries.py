@@ -418,8 +418,7 @@ GROUP BY n_name)""",
     ),
 )
 def district_ranking(spark, sf_dir):
-    located = year_moves(spark, sf_dir).join(districts(spark, sf_dir), "d_admdong_cd")
-    return flows.visitor_ranking(located, "district")
+    return flows.district_ranking(year_moves(spark, sf_dir), districts(spark, sf_dir))
 
 
 @query(

@@ -192,3 +192,15 @@ def visitor_ranking(moves: DataFrame, key: str = "d_admdong_cd") -> DataFrame:
     """All groups of the key by total visitors, ranked."""
     totals = group_totals(moves, key, {"visitors": "total_cnt"})
     return rank_rows(totals, "visitors", key)
+
+
+def district_ranking(moves: DataFrame, districts: DataFrame) -> DataFrame:
+    """All districts by total visitors, ranked.
+
+    ``districts`` maps ``d_admdong_cd`` to ``district``. Visitors are summed per
+    code before the join, so it sees one row per code and not the moves.
+    """
+    per_code = group_totals(moves, "d_admdong_cd", {"visitors": "total_cnt"})
+    located = per_code.join(districts.select("d_admdong_cd", "district"), "d_admdong_cd")
+    totals = group_totals(located, "district", {"visitors": "visitors"})
+    return rank_rows(totals, "visitors", "district")

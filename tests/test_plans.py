@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from moveatlas import schema as S
 from moveatlas.operators.ranking import top_k
@@ -237,3 +236,10 @@ def test_top_flows_and_extract(spark):
     assert (out.d_admdong_cd, out.flow, out.total_0010_cnt) == ("q", 8.0, 4.0)
     back = flows.place_extract(df, "q", "destination", 5).collect()
     assert [(r.o_admdong_cd, r.RANK) for r in back] == [("o", 1)]
+
+
+def test_district_ranking_sums_codes_first(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 4.0), ("c", 6.0)], "d_admdong_cd string, total_cnt double")
+    where = spark.createDataFrame([("a", "X"), ("b", "X"), ("c", "Y")], "d_admdong_cd string, district string")
+    got = {(r.RANK, r.district, r.visitors) for r in flows.district_ranking(df, where).collect()}
+    assert got == {(1, "X", 7.0), (2, "Y", 6.0)}

@@ -1,4 +1,5 @@
 import pytest
+from conftest import setting
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -50,6 +51,15 @@ def test_bad_input_fails_or_becomes_null(spark, counts, tmp_path, row):
     assert kept.count() == 2
 
 
+def test_one_hot_month_is_split_over_files(spark, counts, tmp_path):
+    rows = counts(*({"ymd": f"202401{i % 28 + 1:02d}", "total": str(i)} for i in range(4000))).repartition(8)
+    typed = C.standardise_counts(rows.union(counts({"ymd": "20240205"})))
+    with setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "4KB"):
+        C.write_by_month(typed, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out" / "ETL_YM=202401").glob("*.parquet"))) > 2
+    assert C.scan_counts(spark, str(tmp_path / "out")).count() == 4001
+
+
 def test_new_files_are_ingested_once(spark, counts, tmp_path):
     src, dst, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
 
