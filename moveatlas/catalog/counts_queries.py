@@ -444,15 +444,20 @@ def _scope_sums() -> str:
     def total(scope: str, value: str, extra: str = "TRUE") -> str:
         return f"coalesce(sum(CASE WHEN {scope} AND {extra} THEN {value} END), 0.0)"
 
-    hot = f"pow({Q.YOUNG} / ({Q.TOTAL} + 1e-6), 0.25) * (CASE WHEN {Q.IS_SHOP_TOUR} THEN {Q.TOTAL} ELSE 0.0 END) / pow({Q.TOTAL}, 0.25) * ln(1 + {Q.TOTAL})"
+    hot = (
+        f"pow({Q.YOUNG} / ({Q.TOTAL} + 1e-6), 0.25)"
+        f" * (CASE WHEN {Q.IS_SHOP_TOUR} THEN {Q.TOTAL} ELSE 0.0 END)"
+        f" / pow({Q.TOTAL}, 0.25) * ln(1 + {Q.TOTAL})"
+    )
     tourism = f"{Q.IN_YEAR} AND MOVE_PURPOSE = '관광'"
+    returning = "MOVE_PURPOSE = '귀가'"
     scopes = {
         "evening_home": Q.BED_SCOPE, "daytime": Q.HOT_SCOPE, "visit": Q.VISIT_SCOPE,
         "women": Q.WOMEN_SCOPE, "teens": Q.TEENS_SCOPE, "tourism": tourism,
     }
     parts = [f"count(*) FILTER ({scope}) AS rows_{name}" for name, scope in scopes.items()]
     parts += [
-        f"{total(Q.BED_SCOPE, Q.TOTAL, chr(39).join(['MOVE_PURPOSE = ', '귀가', '']))} AS home_return",
+        f"{total(Q.BED_SCOPE, Q.TOTAL, returning)} AS home_return",
         f"{total(Q.BED_SCOPE, Q.TOTAL)} AS home_total",
         f"round({total(Q.HOT_SCOPE, hot)}, 4) AS hotness_sum",
         f"{total(Q.HOT_SCOPE, Q.TOTAL, Q.IS_SHOP_TOUR)} AS daytime_shop_tour",
@@ -704,7 +709,8 @@ def add_columns(spark, sf_dir):
 @query(
     "a01_group_totals",
     Q.with_m1(
-        f"SELECT FULL_NM, coalesce(sum({Q.TOTAL}), 0.0) AS total, coalesce(sum({Q.YOUNG}), 0.0) AS young FROM m1 GROUP BY FULL_NM"
+        f"""SELECT FULL_NM, coalesce(sum({Q.TOTAL}), 0.0) AS total,
+coalesce(sum({Q.YOUNG}), 0.0) AS young FROM m1 GROUP BY FULL_NM"""
     ),
 )
 def group_totals(spark, sf_dir):

@@ -99,7 +99,11 @@ def scan_parquet_tree(spark, sf_dir):
     )
 
 
-@query("io05_scan_one_file", "SELECT l_linenumber, round(avg(l_extendedprice), 4) AS avg_cnt FROM lineitem GROUP BY l_linenumber")
+@query(
+    "io05_scan_one_file",
+    """SELECT l_linenumber, round(avg(l_extendedprice), 4) AS avg_cnt
+FROM lineitem GROUP BY l_linenumber""",
+)
 def scan_one_file(spark, sf_dir):
     rows = C.scan_counts(spark, f"{sf_dir}/lineitem.parquet")
     return rounded(group_means(rows, "l_linenumber", {"avg_cnt": "l_extendedprice"}), avg_cnt=4)

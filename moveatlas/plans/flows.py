@@ -61,7 +61,11 @@ def monthly_trend(moves: DataFrame, key: str = "d_admdong_cd") -> DataFrame:
 
 
 def _both_sides(moves: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
-    """One row per move and side, from one scan of the moves."""
+    """One row per move and side, from one scan of the moves.
+
+    Days are only compared, so the date text serves where it is stored.
+    """
+    day = F.col("etl_ymd") if "etl_ymd" in moves.columns else date_of(moves)
     sides = F.explode(
         F.array(
             F.struct(F.col("o_admdong_cd").alias("place"), F.lit(True).alias("leaves")),
@@ -69,7 +73,7 @@ def _both_sides(moves: DataFrame, conditions: Mapping[str, Column]) -> DataFrame
         )
     )
     return moves.select(
-        date_of(moves, "etl_ymd").alias("day"),
+        day.alias("day"),
         "total_cnt",
         *(value.alias(name) for name, value in conditions.items()),
         sides.alias("side"),

@@ -1,6 +1,9 @@
 import math
 
+import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -116,3 +119,20 @@ def test_time_band_takes_the_first_match(spark):
     assert got == ["night", "night", "day", "day", None, "night", "night"]
     with pytest.raises(ValueError):
         X.time_band("h", {})
+
+
+NUMBERS = st.one_of(
+    st.sampled_from([0.0, 1.0, -1.0, math.inf, -math.inf, math.nan]),
+    st.floats(-1e6, 1e6, allow_subnormal=False),
+)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(NUMBERS, NUMBERS), min_size=30, max_size=60))
+def test_ieee_divide_equals_floating_point_hardware(spark, pairs):
+    pairs = [(n, d + 0.0) for n, d in pairs]
+    df = spark.createDataFrame(pairs, "n double, d double").coalesce(1)
+    got = [r.q for r in df.select(X.ieee_divide("n", "d").alias("q")).collect()]
+    with np.errstate(all="ignore"):
+        want = [float(np.float64(n) / np.float64(d)) for n, d in pairs]
+    assert all(g == w or (math.isnan(g) and math.isnan(w)) for g, w in zip(got, want))
