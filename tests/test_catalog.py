@@ -4,9 +4,10 @@ import pytest
 from oracle import differences, duck, kinds
 
 import __spark_entry__ as contract
+from moveatlas.catalog import all_oracles, all_queries
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 # Queries whose rows are undefined or approximate by nature.
 ROWS_ONLY = {"k05_preview", "st06_coordinate_check_sampled", "st07_iqr_outliers_approximate"}
 
@@ -21,6 +22,11 @@ def test_entry(spark):
     assert [r.RANK for r in sorted(rows)] == list(range(1, len(rows) + 1))
 
 
+def test_contract_offers_every_query():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_all_but_the_undefined_queries_have_sql():
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(ORACLES) <= set(QUERIES)
