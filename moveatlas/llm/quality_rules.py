@@ -28,8 +28,8 @@ MAX_REPEATED = 50
 MAX_LABELLED = 4000
 MAX_RULES = 12
 MAX_CONDITIONS = 4
-MIN_PRECISION = 0.9
-MIN_COVERED = 4
+MIN_PRECISION = 0.95
+MIN_COVERED = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines")
 FEATURES = (
     "n_words", "chars_per_word", "symbols_per_word", "dup_line_share", "repeat_share",
