@@ -14,6 +14,7 @@ from moveatlas.llm import (
     pseudonyms,
     quality_rules,
     simhash,
+    suffix_dedup,
     url_filter,
 )
 from moveatlas.llm.text import stored
@@ -51,6 +52,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
@@ -99,6 +105,7 @@ QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_chat_format": op2_chat_format,
     "op3_mixing": op3_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
