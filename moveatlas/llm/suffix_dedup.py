@@ -15,8 +15,9 @@ neighbouring strings of one bucket travel as one run:
    batch are settled before the shuffle: a passage that a third of all documents hold
    leaves each batch once.
 2. Where a bucket holds runs of different content, the first run of each content is
-   refined to its single 50-byte strings, which are compared by their full identifiers
-   (128 bits); the smallest document of each string keeps it.
+   refined to its single 50-byte strings: the bytes of these runs are sent to their
+   bucket's partition and sorted there by the full identifiers (128 bits); the smallest
+   document of each string keeps it.
 
 Documents meet their removed intervals by id, and the remaining bytes are joined.
 
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveatlas.llm.text import ship, stored
@@ -43,8 +44,10 @@ GRAM = 20
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 RUN, REMOVED, OPEN = 0, 1, 2
 RUNS = "bucket int, content long, doc long, start int, stop int, kind byte"
-SPANS = "doc long, start int, stop int, kind byte"
-STRINGS = "a long, b long, doc long, start int, stop int, kind byte"
+SPANS = "bucket int, doc long, start int, stop int, kind byte"
+PIECES = "bucket int, doc long, start int, piece binary"
+STRINGS = "a long, b long, doc long, start int"
+LATER = "doc long, start int, stop int"
 
 
 def refine(buckets: np.ndarray, offset: int, odd: np.uint64) -> np.ndarray:
@@ -167,7 +170,7 @@ def read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         gone = batch["kind"] == REMOVED
         if gone.any():
-            yield batch.loc[gone, ["doc", "start", "stop", "kind"]]
+            yield batch.loc[gone, ["bucket", "doc", "start", "stop", "kind"]]
             batch = batch[~gone]
         b, c, d = (batch[k].to_numpy() for k in ("bucket", "content", "doc"))
         if not len(b):
@@ -189,7 +192,7 @@ def read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 waiting = None
             elif place[-1] > 0:
                 waiting = None
-        out = batch[["doc", "start", "stop"]].assign(kind=np.where(own, OPEN, REMOVED).astype(np.int8))
+        out = batch[["bucket", "doc", "start", "stop"]].assign(kind=np.where(own, OPEN, REMOVED).astype(np.int8))
         yield out[~own | several]
         last = place == place[-1]
         if not several[-1]:
@@ -199,35 +202,51 @@ def read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, content, doc = b[-1], c[-1], owners[group[-1]]
 
 
-def open_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Identifiers of the single 50-byte strings of open runs (columns doc, text, runs)."""
+def open_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of open runs (columns doc, text, runs)."""
     for batch in batches:
-        parts = []
-        for doc, text, spans in zip(batch["doc"], batch["text"], batch["runs"], strict=True):
+        rows = []
+        for doc, text, found in zip(batch["doc"], batch["text"], batch["runs"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            lo = np.array([s["start"] for s in spans], np.int64)
-            hi = np.array([s["stop"] for s in spans], np.int64)
-            inside = hi <= len(raw)
-            if len(raw) < LENGTH or not inside.any():
-                continue
-            a, b = strings(raw)
-            at = np.unique(np.concatenate([np.arange(x, y - LENGTH + 1) for x, y in zip(lo[inside], hi[inside], strict=True)]))
-            parts.append((a[at], b[at], np.full(len(at), doc), at))
-        if not parts:
+            rows += [(r["bucket"], doc, r["start"], raw[r["start"] : r["stop"]]) for r in found]
+        yield pd.DataFrame(rows, columns=["bucket", "doc", "start", "piece"])
+
+
+def piece_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Two identifiers of every 50-byte string of the pieces."""
+    for batch in batches:
+        raw = b"".join(batch["piece"])
+        sizes = batch["piece"].map(len).to_numpy()
+        ends = np.cumsum(sizes)
+        counts = np.maximum(sizes - LENGTH + 1, 0)
+        if not counts.sum():
             continue
-        a, b, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((doc, b, a))
-        a, b, doc, at = (x[order] for x in (a, b, doc, at))
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        own = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        a, b = strings(raw)
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(ends - sizes, counts) + within
         yield pd.DataFrame(
             {
-                "a": a[own].view(np.int64), "b": b[own].view(np.int64), "doc": doc[own],
-                "start": at[own].astype(np.int32), "stop": (at[own] + LENGTH).astype(np.int32), "kind": np.int8(RUN),
+                "a": a[at].view(np.int64), "b": b[at].view(np.int64),
+                "doc": np.repeat(batch["doc"].to_numpy(), counts),
+                "start": (np.repeat(batch["start"].to_numpy(), counts) + within).astype(np.int32),
             }
         )
-        gone = settled_here(doc[~own], at[~own], at[~own] + LENGTH)
-        yield gone.assign(a=spread(gone), b=np.int64(0))[["a", "b", "doc", "start", "stop", "kind"]]
+
+
+def read_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted strings to the intervals of those that a smaller document has."""
+    a = b = doc = None
+    for batch in batches:
+        x, y, d = (batch[k].to_numpy() for k in ("a", "b", "doc"))
+        if not len(x):
+            continue
+        new = np.concatenate([[a is None or x[0] != a or y[0] != b], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        owners = np.concatenate([[doc if doc is not None else 0], d[new]])[np.cumsum(new)]
+        later = d > owners
+        start = batch["start"].to_numpy()[later]
+        gone = settled_here(d[later], start, start + LENGTH)
+        yield gone[["doc", "start", "stop"]]
+        a, b, doc = x[-1], y[-1], owners[-1]
 
 
 def cut_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,9 +269,9 @@ def cut_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def by_document(spans: DataFrame, name: str) -> DataFrame:
+def by_document(spans: DataFrame, name: str, *fields: str) -> DataFrame:
     """One row per document with its list of intervals."""
-    return spans.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "stop")).alias(name))
+    return spans.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct(*fields)).alias(name))
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -261,23 +280,21 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     sent = docs.mapInPandas(send_runs, RUNS)
     ordered = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "content", "doc")
     settled = stored(ordered.mapInPandas(read_runs, SPANS), "runs")
-    still = by_document(settled.where(F.col("kind") == OPEN), "runs")
-    refined = (
-        docs.join(still, F.col("doc") == F.col("of")).select("doc", "text", "runs").mapInPandas(open_strings, STRINGS)
-    )
-    smallest = F.min("doc").over(Window.partitionBy("a", "b"))
-    later = refined.withColumn("least", smallest).where(
-        (F.col("kind") == REMOVED) | (F.col("doc") > F.col("least"))
-    )
-    whole = settled.where(F.col("kind") == REMOVED)
-    return whole.select("doc", "start", "stop").unionByName(later.select("doc", "start", "stop"))
+    still = by_document(settled.where(F.col("kind") == OPEN), "runs", "bucket", "start", "stop")
+    met = docs.join(still, F.col("doc") == F.col("of")).select("doc", "text", "runs")
+    #: Equal strings have one bucket, so they are already together when they are sorted.
+    pieces = met.mapInPandas(open_pieces, PIECES).repartition(n, "bucket")
+    ids = pieces.mapInPandas(piece_strings, STRINGS).sortWithinPartitions("a", "b", "doc")
+    later = ids.mapInPandas(read_strings, LATER)
+    whole = settled.where(F.col("kind") == REMOVED).select("doc", "start", "stop")
+    return whole.unionByName(later)
 
 
 def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc"), "text")
-    spans = by_document(removed_spans(known), "spans")
+    spans = by_document(removed_spans(known), "spans", "start", "stop")
     met = rows.join(spans, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "spans")
     return met.mapInPandas(cut_documents, CUT)
 
