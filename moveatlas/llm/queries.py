@@ -53,7 +53,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), with_kept=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -14,8 +14,8 @@ neighbouring strings of one bucket travel as one run:
    run whose whole content was seen in a smaller document is removed. Copies within one
    batch are settled before the shuffle: a passage that a third of all documents hold
    leaves each batch once.
-2. Where a bucket holds runs of different content, the first run of each content is
-   refined to its single 50-byte strings: the bytes of these runs are sent to their
+2. Where a bucket holds runs of different content that agree on one side of the bucket
+   string, as runs that share a string must, the first run of each content is refined to its single 50-byte strings: the bytes of these runs are sent to their
    bucket's partition and sorted there by the full identifiers (128 bits); the smallest
    document of each string keeps it.
 
@@ -29,6 +29,7 @@ one document and do not remove each other; text is UTF-8, and cuts may split a c
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +43,13 @@ from moveatlas.llm.text import ship, stored
 LENGTH = 50
 GRAM = 20
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+SIDE = (LENGTH - GRAM) // 2
+SLICE_BYTES = 8_000_000
 RUN, REMOVED, OPEN = 0, 1, 2
-RUNS = "bucket int, content long, doc long, start int, stop int, kind byte"
-SPANS = "bucket int, doc long, start int, stop int, kind byte"
+CHUNKS = "part int, rows binary"
+RUNS = "bucket int, content long, doc long, start int, stop int, left short, right short, kind byte"
+SPANS = "bucket int, doc long, start int, stop int, left short, right short, kind byte"
+PACKED = "doc long, packed binary"
 PIECES = "bucket int, doc long, start int, piece binary"
 STRINGS = "a long, b long, doc long, start int"
 LATER = "doc long, start int, stop int"
@@ -70,12 +75,18 @@ def scattered(buckets: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(33))) * ODD[0]
 
 
-def runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, first start and last start of every run of 50-byte strings."""
+def runs(raw: bytes) -> tuple[np.ndarray, ...]:
+    """Bucket, first and last start, left and right side of every run of 50-byte strings.
+
+    All strings of a run hold one place of its 20-byte bucket string. Whatever two runs
+    share holds 15 more bytes left or right of that place; a side is the 16-byte identifier
+    there cut to 1..30000, and 0 if no string of the run reaches that far.
+    """
     if len(raw) < LENGTH:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none
-    buckets = scattered(refine(grams(np.frombuffer(raw, np.uint8), ODD[0]), GRAM - 16, ODD[0]))
+        return none.astype(np.uint64), none, none, none, none
+    by_16 = grams(np.frombuffer(raw, np.uint8), ODD[0])
+    buckets = scattered(refine(by_16, GRAM - 16, ODD[0]))
     width, low = LENGTH - GRAM + 1, buckets
     size = 1
     while size * 2 <= width:
@@ -83,7 +94,21 @@ def runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size *= 2
     low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    return low[first], first, np.append(first[1:], len(low)) - 1
+    last = np.append(first[1:], len(low)) - 1
+    done = []
+    while len(first):
+        same = buckets[first[:, None] + np.arange(width)] == low[first][:, None]
+        place = first + width - 1 - np.argmax(same[:, ::-1], axis=1)
+        end = np.minimum(last, place)
+        done.append((first, end, place))
+        longer = last > place
+        first, last = place[longer] + 1, last[longer]
+    first, last, place = (np.concatenate(x) for x in zip(*done, strict=True))
+    sides = (scattered(by_16) % np.uint64(30000)).astype(np.int64) + 1
+    left = np.where(place - first >= SIDE, sides[np.maximum(place - SIDE, 0)], 0)
+    reach = last + LENGTH - place - GRAM >= SIDE
+    right = np.where(reach, sides[np.minimum(place + GRAM - 1, len(sides) - 1)], 0)
+    return low[first], first, last, left, right
 
 
 def strings(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -126,43 +151,164 @@ def spread(rows: pd.DataFrame) -> np.ndarray:
     return ((rows["doc"].to_numpy() * 40503 + rows["start"].to_numpy()) % (1 << 30)).astype(np.int64)
 
 
-def send_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of each batch; of copies only those of the batch's smallest document."""
+def slices(texts: list[bytes]) -> Iterator[range]:
+    """Index ranges of about ``SLICE_BYTES`` each."""
+    begin = size = 0
+    for i, raw in enumerate(texts):
+        size += len(raw)
+        if size >= SLICE_BYTES or i == len(texts) - 1:
+            yield range(begin, i + 1)
+            begin, size = i + 1, 0
+
+
+def utf8(text: object) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+
+
+FIELDS = np.dtype([("bucket", "<u4"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("stop", "<i4"), ("left", "<i2"), ("right", "<i2"), ("kind", "i1")])
+
+
+def chunk(rows: np.ndarray) -> bytes:
+    """Rows of ``FIELDS`` column by column, documents as a list and an index."""
+    docs, at = np.unique(rows["doc"], return_inverse=True)
+    head = np.array([len(rows), len(docs)], "<i4")
+    length = rows["stop"] - rows["start"]
+    long = np.flatnonzero(length > 255)
+    kinds = rows["kind"].astype("i1")
+    parts = [
+        head, np.array([len(long)], "<i4"), docs, at.astype("<i4" if len(docs) > 65535 else "<u2"), rows["bucket"],
+        rows["content"], rows["start"], np.minimum(length, 255).astype("u1"), long.astype("<i4"),
+        length[long].astype("<i4"), rows["left"], rows["right"], kinds,
+    ]
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
+
+
+def unchunk(raw: bytes) -> pd.DataFrame:
+    """A chunk as rows."""
+    at = 0
+
+    def take(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        found = np.frombuffer(raw, kind, n, at)
+        at += found.nbytes
+        return found
+
+    n, n_docs = take("<i4", 2)
+    (n_long,) = take("<i4", 1)
+    docs = take("<i8", n_docs)
+    doc = docs[take("<i4" if n_docs > 65535 else "<u2", n)]
+    bucket, content, start = take("<u4", n), take("<u8", n), take("<i4", n)
+    length = take("u1", n).astype(np.int32)
+    long = take("<i4", n_long)
+    length[long] = take("<i4", n_long)
+    left, right, kind = take("<i2", n), take("<i2", n), take("i1", n)
+    return pd.DataFrame(
+        {
+            "bucket": bucket.view(np.int32), "content": content.view(np.int64), "doc": doc, "start": start,
+            "stop": start + length, "left": left, "right": right, "kind": kind,
+        }
+    )
+
+
+def slice_runs(docs: list[int], texts: list[bytes]) -> np.ndarray:
+    """Runs of some documents; of equal runs only those of the smallest document, the
+    others as settled intervals."""
+    parts = []
+    for doc, raw in zip(docs, texts, strict=True):
+        bucket, first, last, left, right = runs(raw)
+        if len(first):
+            rows = np.zeros(len(first), FIELDS)
+            rows["bucket"], rows["doc"], rows["start"], rows["stop"] = bucket >> np.uint64(32), doc, first, last + LENGTH
+            rows["left"], rows["right"] = left, right
+            rows["content"] = [
+                xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)
+            ]
+            parts.append(rows)
+    if not parts:
+        return np.zeros(0, FIELDS)
+    rows = np.concatenate(parts)
+    order = np.lexsort((rows["doc"], rows["content"], rows["bucket"]))
+    rows = rows[order]
+    new = np.concatenate([[True], (rows["content"][1:] != rows["content"][:-1]) | (rows["bucket"][1:] != rows["bucket"][:-1])])
+    own = rows["doc"] == rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    gone = settled_here(rows["doc"][~own], rows["start"][~own], rows["stop"][~own])
+    settled = np.zeros(len(gone), FIELDS)
+    for name in ("doc", "start", "stop", "kind"):
+        settled[name] = gone[name]
+    settled["bucket"] = spread(gone)
+    return np.concatenate([rows[own], settled])
+
+
+def run_sender(n_parts: int):
+    """A task that sends runs as one chunk for each part of a slice of documents."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, docs = [utf8(t) for t in batch["text"]], batch["doc"].tolist()
+            for some in slices(texts):
+                rows = slice_runs([docs[i] for i in some], [texts[i] for i in some])
+                part = rows["bucket"] % n_parts
+                order = np.argsort(part, kind="stable")
+                rows, part = rows[order], part[order]
+                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(rows) else np.empty(0, int)
+                ends = np.append(at[1:], len(rows))
+                yield pd.DataFrame(
+                    {
+                        "part": part[at].astype(np.int32),
+                        "rows": [chunk(rows[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)],
+                    }
+                )
+
+    return send
+
+
+def open_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunks as rows again."""
+    for batch in batches:
+        for raw in batch["rows"]:
+            yield unchunk(raw)
+
+
+def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as compressed bytes, for the way to their intervals."""
     for batch in batches:
-        parts = []
-        for doc, text in zip(batch["doc"], batch["text"], strict=True):
-            raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-            bucket, first, last = runs(raw)
-            if not len(first):
+        yield pd.DataFrame({"doc": batch["doc"], "packed": [zlib.compress(utf8(t), 1) for t in batch["text"]]})
+
+
+def mark_pairs(side: str):
+    """A task over runs sorted by bucket (settled ones last) and side: opens those that have a neighbour of
+    their bucket and side. Holds one row back."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        before = None
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            if not len(batch):
                 continue
-            stop = last + LENGTH
-            content = [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
-            parts.append((bucket >> np.uint64(32), np.array(content, np.uint64), np.full(len(first), doc), first, stop))
-        if not parts:
-            continue
-        bucket, content, doc, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((doc, content, bucket))
-        bucket, content, doc, start, stop = (x[order] for x in (bucket, content, doc, start, stop))
-        new = np.concatenate([[True], (content[1:] != content[:-1]) | (bucket[1:] != bucket[:-1])])
-        own = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        yield pd.DataFrame(
-            {
-                "bucket": bucket[own].astype(np.uint32).view(np.int32), "content": content[own].view(np.int64),
-                "doc": doc[own], "start": start[own].astype(np.int32), "stop": stop[own].astype(np.int32),
-                "kind": np.int8(RUN),
-            }
-        )
-        gone = settled_here(doc[~own], start[~own], stop[~own])
-        yield gone.assign(bucket=spread(gone).astype(np.int32), content=np.int64(0))[
-            ["bucket", "content", "doc", "start", "stop", "kind"]
-        ]
+            k, b, kind = batch[side].to_numpy(), batch["bucket"].to_numpy(), batch["kind"].to_numpy().copy()
+            usable = (k > 0) & (kind != REMOVED)
+            near = (k[1:] == k[:-1]) & (b[1:] == b[:-1]) & usable[1:] & usable[:-1]
+            first = bool(before is not None and usable[0] and before == (b[0], k[0]))
+            kind[np.concatenate([[first], near]) | np.concatenate([near, [False]])] = OPEN
+            batch = batch.assign(kind=kind)
+            # The row before the one held back, for its left neighbour in the next batch.
+            if len(batch) > 1:
+                before = (b[-2], k[-2]) if usable[-2] else None
+            held = batch.iloc[-1:]
+            yield batch.iloc[:-1]
+        if held is not None:
+            yield held
+
+    return mark
 
 
 def read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A sorted partition of runs to REMOVED intervals and OPEN runs.
+    """A sorted partition of runs to REMOVED intervals and runs of several contents.
 
     Keeps the content being read, its smallest document, and the runs of the first
-    content of the bucket until a second content shows that they stay open.
+    content of the bucket until a second content is read.
     """
     bucket = content = doc = None
     second = False
@@ -170,7 +316,7 @@ def read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         gone = batch["kind"] == REMOVED
         if gone.any():
-            yield batch.loc[gone, ["bucket", "doc", "start", "stop", "kind"]]
+            yield batch.loc[gone, ["bucket", "doc", "start", "stop", "left", "right", "kind"]]
             batch = batch[~gone]
         b, c, d = (batch[k].to_numpy() for k in ("bucket", "content", "doc"))
         if not len(b):
@@ -192,7 +338,7 @@ def read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 waiting = None
             elif place[-1] > 0:
                 waiting = None
-        out = batch[["bucket", "doc", "start", "stop"]].assign(kind=np.where(own, OPEN, REMOVED).astype(np.int8))
+        out = batch[["bucket", "doc", "start", "stop", "left", "right"]].assign(kind=np.where(own, RUN, REMOVED).astype(np.int8))
         yield out[~own | several]
         last = place == place[-1]
         if not several[-1]:
@@ -203,11 +349,11 @@ def read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def open_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of open runs (columns doc, text, runs)."""
+    """The bytes of open runs (columns doc, packed, runs)."""
     for batch in batches:
         rows = []
-        for doc, text, found in zip(batch["doc"], batch["text"], batch["runs"], strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
+        for doc, packed, found in zip(batch["doc"], batch["packed"], batch["runs"], strict=True):
+            raw = zlib.decompress(packed)
             rows += [(r["bucket"], doc, r["start"], raw[r["start"] : r["stop"]]) for r in found]
         yield pd.DataFrame(rows, columns=["bucket", "doc", "start", "piece"])
 
@@ -249,21 +395,25 @@ def read_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b, doc = x[-1], y[-1], owners[-1]
 
 
-def cut_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents (doc_id, text, spans) to their counts and the digest of what is left."""
-    for batch in batches:
-        rows = []
-        for text, spans in zip(batch["text"], batch["spans"], strict=True):
-            raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-            found = spans if spans is not None else []
-            start = np.array([s["start"] for s in found], np.int64)
-            stop = np.minimum(np.array([s["stop"] for s in found], np.int64), len(raw))
-            start, stop = merged(start, stop)
-            edges = np.concatenate([[0], np.ravel(np.column_stack([start, stop])), [len(raw)]]).astype(int)
-            kept = b"".join(raw[a:b] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-            rows.append((len(raw), int((stop - start).sum()), len(start), hashlib.sha256(kept).hexdigest(), kept))
-        made = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-        yield batch[["doc_id"]].reset_index(drop=True).join(made)
+def document_cutter(with_kept: bool):
+    """A task from documents (doc_id, packed, spans) to counts, digest and kept bytes."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for packed, found in zip(batch["packed"], batch["spans"], strict=True):
+                raw, found = zlib.decompress(packed), found if found is not None else []
+                start = np.array([s["start"] for s in found], np.int64)
+                stop = np.minimum(np.array([s["stop"] for s in found], np.int64), len(raw))
+                start, stop = merged(start, stop)
+                edges = np.concatenate([[0], np.ravel(np.column_stack([start, stop])), [len(raw)]]).astype(int)
+                kept = b"".join(raw[a:b] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+                digest = hashlib.sha256(kept).hexdigest()
+                rows.append((len(raw), int((stop - start).sum()), len(start), digest, kept if with_kept else None))
+            made = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield batch[["doc_id"]].reset_index(drop=True).join(made)
+
+    return cut
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -277,11 +427,16 @@ def by_document(spans: DataFrame, name: str, *fields: str) -> DataFrame:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc, start, stop: the removed byte intervals of documents (doc, text; no null doc)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.mapInPandas(send_runs, RUNS)
-    ordered = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "content", "doc")
-    settled = stored(ordered.mapInPandas(read_runs, SPANS), "runs")
+    sent = docs.mapInPandas(run_sender(n), CHUNKS).repartitionById(n, F.col("part"))
+    ordered = sent.mapInPandas(open_chunks, RUNS).sortWithinPartitions("bucket", "content", "doc")
+    several = ordered.mapInPandas(read_runs, SPANS)
+    #: Still together by bucket: neighbours by either side need no other shuffle.
+    for side in ("left", "right"):
+        settled_last = several.sortWithinPartitions("bucket", F.col("kind") == REMOVED, side)
+        several = settled_last.mapInPandas(mark_pairs(side), SPANS)
+    settled = stored(several.where(F.col("kind") != RUN).drop("left", "right"), "runs")
     still = by_document(settled.where(F.col("kind") == OPEN), "runs", "bucket", "start", "stop")
-    met = docs.join(still, F.col("doc") == F.col("of")).select("doc", "text", "runs")
+    met = docs.mapInPandas(pack, PACKED).join(still, F.col("doc") == F.col("of")).select("doc", "packed", "runs")
     #: Equal strings have one bucket, so they are already together when they are sorted.
     pieces = met.mapInPandas(open_pieces, PIECES).repartition(n, "bucket")
     ids = pieces.mapInPandas(piece_strings, STRINGS).sortWithinPartitions("a", "b", "doc")
@@ -290,13 +445,13 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return whole.unionByName(later)
 
 
-def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc"), "text")
-    spans = by_document(removed_spans(known), "spans", "start", "stop")
-    met = rows.join(spans, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "spans")
-    return met.mapInPandas(cut_documents, CUT)
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    spans = by_document(removed_spans(rows.where(F.col("doc").isNotNull())), "spans", "start", "stop")
+    packed = rows.mapInPandas(pack, PACKED)
+    met = packed.join(spans, F.col("doc") == F.col("of"), "left")
+    return met.select(F.col("doc").alias("doc_id"), "packed", "spans").mapInPandas(document_cutter(with_kept), CUT)
 
 
 ship(__name__)
