@@ -34,8 +34,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moveatlas.llm.text import ship, stored
@@ -45,7 +46,7 @@ GRAM = 20
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SIDE = (LENGTH - GRAM) // 2
 SLICE_BYTES = 8_000_000
-RUN, REMOVED, OPEN = 0, 1, 2
+RUN, REMOVED = 0, 1
 CHUNKS = "part int, rows binary"
 RUNS = "bucket int, content long, doc long, start int, stop int, left short, right short, kind byte"
 SPANS = "bucket int, doc long, start int, stop int, left short, right short, kind byte"
@@ -151,34 +152,39 @@ def spread(rows: pd.DataFrame) -> np.ndarray:
     return ((rows["doc"].to_numpy() * 40503 + rows["start"].to_numpy()) % (1 << 30)).astype(np.int64)
 
 
-def slices(texts: list[bytes]) -> Iterator[range]:
-    """Index ranges of about ``SLICE_BYTES`` each."""
+def slices(column: pa.Array) -> Iterator[tuple[range, list[bytes]]]:
+    """Index ranges of about ``SLICE_BYTES`` each, with their texts."""
+    texts: list[bytes] = []
     begin = size = 0
-    for i, raw in enumerate(texts):
-        size += len(raw)
-        if size >= SLICE_BYTES or i == len(texts) - 1:
-            yield range(begin, i + 1)
-            begin, size = i + 1, 0
+    for i, text in enumerate(column):
+        texts.append(utf8(text))
+        size += len(texts[-1])
+        if size >= SLICE_BYTES or i == len(column) - 1:
+            yield range(begin, i + 1), texts
+            begin, size, texts = i + 1, 0, []
 
 
-def utf8(text: object) -> bytes:
-    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+def utf8(text: pa.Scalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-FIELDS = np.dtype([("bucket", "<u4"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("stop", "<i4"), ("left", "<i2"), ("right", "<i2"), ("kind", "i1")])
+FIELDS = {
+    "bucket": np.uint32, "content": np.uint64, "doc": np.int64, "start": np.int32, "stop": np.int32,
+    "left": np.int16, "right": np.int16, "kind": np.int8,
+}
+Rows = dict[str, np.ndarray]
 
 
-def chunk(rows: np.ndarray) -> bytes:
+def chunk(rows: Rows) -> bytes:
     """Rows of ``FIELDS`` column by column, documents as a list and an index."""
     docs, at = np.unique(rows["doc"], return_inverse=True)
-    head = np.array([len(rows), len(docs)], "<i4")
+    head = np.array([len(at), len(docs)], "<i4")
     length = rows["stop"] - rows["start"]
     long = np.flatnonzero(length > 255)
-    kinds = rows["kind"].astype("i1")
     parts = [
         head, np.array([len(long)], "<i4"), docs, at.astype("<i4" if len(docs) > 65535 else "<u2"), rows["bucket"],
         rows["content"], rows["start"], np.minimum(length, 255).astype("u1"), long.astype("<i4"),
-        length[long].astype("<i4"), rows["left"], rows["right"], kinds,
+        length[long].astype("<i4"), rows["left"], rows["right"], rows["kind"],
     ]
     return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
 
@@ -210,53 +216,55 @@ def unchunk(raw: bytes) -> pd.DataFrame:
     )
 
 
-def slice_runs(docs: list[int], texts: list[bytes]) -> np.ndarray:
+def slice_runs(docs: list[int], texts: list[bytes]) -> Rows:
     """Runs of some documents; of equal runs only those of the smallest document, the
     others as settled intervals."""
-    parts = []
-    for doc, raw in zip(docs, texts, strict=True):
-        bucket, first, last, left, right = runs(raw)
-        if len(first):
-            rows = np.zeros(len(first), FIELDS)
-            rows["bucket"], rows["doc"], rows["start"], rows["stop"] = bucket >> np.uint64(32), doc, first, last + LENGTH
-            rows["left"], rows["right"] = left, right
-            rows["content"] = [
-                xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)
-            ]
-            parts.append(rows)
-    if not parts:
-        return np.zeros(0, FIELDS)
-    rows = np.concatenate(parts)
-    order = np.lexsort((rows["doc"], rows["content"], rows["bucket"]))
-    rows = rows[order]
-    new = np.concatenate([[True], (rows["content"][1:] != rows["content"][:-1]) | (rows["bucket"][1:] != rows["bucket"][:-1])])
-    own = rows["doc"] == rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    gone = settled_here(rows["doc"][~own], rows["start"][~own], rows["stop"][~own])
-    settled = np.zeros(len(gone), FIELDS)
+    parts = [runs(raw) for raw in texts]
+    bucket, first, last, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sizes = [len(x[0]) for x in parts]
+    content = np.empty(len(bucket), np.uint64)
+    digest, at, begins, ends = xxhash.xxh64_intdigest, 0, first.tolist(), (last + LENGTH).tolist()
+    for raw, n in zip(texts, sizes, strict=True):
+        content[at : at + n] = [digest(raw[a:b]) for a, b in zip(begins[at : at + n], ends[at : at + n], strict=True)]
+        at += n
+    rows = {
+        "bucket": (bucket >> np.uint64(32)).astype(np.uint32), "content": content,
+        "doc": np.repeat(np.array(docs, np.int64), sizes), "start": first.astype(np.int32),
+        "stop": (last + LENGTH).astype(np.int32), "left": left.astype(np.int16), "right": right.astype(np.int16),
+    }
+    order = np.lexsort((rows["doc"], content))
+    rows = {k: v[order] for k, v in rows.items()}
+    content, doc = rows["content"], rows["doc"]
+    new = np.concatenate([[True], content[1:] != content[:-1]])[: len(content)]
+    own = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    gone = settled_here(doc[~own], rows["start"][~own], rows["stop"][~own])
+    settled = {k: np.zeros(len(gone), kind) for k, kind in FIELDS.items()}
     for name in ("doc", "start", "stop", "kind"):
-        settled[name] = gone[name]
-    settled["bucket"] = spread(gone)
-    return np.concatenate([rows[own], settled])
+        settled[name] = gone[name].to_numpy()
+    settled["bucket"] = spread(gone).astype(np.uint32)
+    rows["kind"] = np.zeros(len(doc), np.int8)
+    return {k: np.concatenate([rows[k][own], settled[k]]).astype(kind) for k, kind in FIELDS.items()}
 
 
 def run_sender(n_parts: int):
     """A task that sends runs as one chunk for each part of a slice of documents."""
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, docs = [utf8(t) for t in batch["text"]], batch["doc"].tolist()
-            for some in slices(texts):
-                rows = slice_runs([docs[i] for i in some], [texts[i] for i in some])
+            docs = batch.column("doc").to_pylist()
+            for some, texts in slices(batch.column("text")):
+                rows = slice_runs(docs[some.start : some.stop], texts)
                 part = rows["bucket"] % n_parts
                 order = np.argsort(part, kind="stable")
-                rows, part = rows[order], part[order]
-                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(rows) else np.empty(0, int)
-                ends = np.append(at[1:], len(rows))
-                yield pd.DataFrame(
-                    {
-                        "part": part[at].astype(np.int32),
-                        "rows": [chunk(rows[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)],
-                    }
+                rows, part = {k: v[order] for k, v in rows.items()}, part[order]
+                new = np.concatenate([[True], part[1:] != part[:-1]])[: len(part)]
+                at = np.flatnonzero(new)
+                ends = np.append(at[1:], len(part))
+                packed = [
+                    chunk({k: v[a:b] for k, v in rows.items()}) for a, b in zip(at.tolist(), ends.tolist(), strict=False)
+                ] if len(part) else []
+                yield pa.record_batch(
+                    {"part": pa.array(part[at].astype(np.int32)), "rows": pa.array(packed, pa.binary())}
                 )
 
     return send
@@ -269,39 +277,11 @@ def open_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield unchunk(raw)
 
 
-def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, for the way to their intervals."""
     for batch in batches:
-        yield pd.DataFrame({"doc": batch["doc"], "packed": [zlib.compress(utf8(t), 1) for t in batch["text"]]})
-
-
-def mark_pairs(side: str):
-    """A task over runs sorted by bucket (settled ones last) and side: opens those that have a neighbour of
-    their bucket and side. Holds one row back."""
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        before = None
-        for batch in batches:
-            if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            k, b, kind = batch[side].to_numpy(), batch["bucket"].to_numpy(), batch["kind"].to_numpy().copy()
-            usable = (k > 0) & (kind != REMOVED)
-            near = (k[1:] == k[:-1]) & (b[1:] == b[:-1]) & usable[1:] & usable[:-1]
-            first = bool(before is not None and usable[0] and before == (b[0], k[0]))
-            kind[np.concatenate([[first], near]) | np.concatenate([near, [False]])] = OPEN
-            batch = batch.assign(kind=kind)
-            # The row before the one held back, for its left neighbour in the next batch.
-            if len(batch) > 1:
-                before = (b[-2], k[-2]) if usable[-2] else None
-            held = batch.iloc[-1:]
-            yield batch.iloc[:-1]
-        if held is not None:
-            yield held
-
-    return mark
+        packed = [zlib.compress(utf8(t), 1) for t in batch.column("text")]
+        yield pa.record_batch({"doc": batch.column("doc"), "packed": pa.array(packed, pa.binary())})
 
 
 def read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -424,24 +404,28 @@ def by_document(spans: DataFrame, name: str, *fields: str) -> DataFrame:
     return spans.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct(*fields)).alias(name))
 
 
+def open_runs(several: DataFrame, n: int) -> DataFrame:
+    """Runs with another of their bucket that agrees on a side."""
+    runs = several.where(F.col("kind") == RUN).repartition(n, "bucket")
+    for side in ("left", "right"):
+        same = F.count("*").over(Window.partitionBy("bucket", side))
+        runs = runs.withColumn(f"n_{side}", F.when(F.col(side) > 0, same).otherwise(0))
+    return runs.where((F.col("n_left") > 1) | (F.col("n_right") > 1))
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc, start, stop: the removed byte intervals of documents (doc, text; no null doc)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.mapInPandas(run_sender(n), CHUNKS).repartitionById(n, F.col("part"))
+    sent = docs.mapInArrow(run_sender(n), CHUNKS).repartitionById(n, F.col("part"))
     ordered = sent.mapInPandas(open_chunks, RUNS).sortWithinPartitions("bucket", "content", "doc")
-    several = ordered.mapInPandas(read_runs, SPANS)
-    #: Still together by bucket: neighbours by either side need no other shuffle.
-    for side in ("left", "right"):
-        settled_last = several.sortWithinPartitions("bucket", F.col("kind") == REMOVED, side)
-        several = settled_last.mapInPandas(mark_pairs(side), SPANS)
-    settled = stored(several.where(F.col("kind") != RUN).drop("left", "right"), "runs")
-    still = by_document(settled.where(F.col("kind") == OPEN), "runs", "bucket", "start", "stop")
-    met = docs.mapInPandas(pack, PACKED).join(still, F.col("doc") == F.col("of")).select("doc", "packed", "runs")
+    several = stored(ordered.mapInPandas(read_runs, SPANS), "runs")
+    still = by_document(open_runs(several, n), "runs", "bucket", "start", "stop")
+    met = docs.mapInArrow(pack, PACKED).join(still, F.col("doc") == F.col("of")).select("doc", "packed", "runs")
     #: Equal strings have one bucket, so they are already together when they are sorted.
     pieces = met.mapInPandas(open_pieces, PIECES).repartition(n, "bucket")
     ids = pieces.mapInPandas(piece_strings, STRINGS).sortWithinPartitions("a", "b", "doc")
     later = ids.mapInPandas(read_strings, LATER)
-    whole = settled.where(F.col("kind") == REMOVED).select("doc", "start", "stop")
+    whole = several.where(F.col("kind") == REMOVED).select("doc", "start", "stop")
     return whole.unionByName(later)
 
 
@@ -449,7 +433,7 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wit
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     spans = by_document(removed_spans(rows.where(F.col("doc").isNotNull())), "spans", "start", "stop")
-    packed = rows.mapInPandas(pack, PACKED)
+    packed = rows.mapInArrow(pack, PACKED)
     met = packed.join(spans, F.col("doc") == F.col("of"), "left")
     return met.select(F.col("doc").alias("doc_id"), "packed", "spans").mapInPandas(document_cutter(with_kept), CUT)
 
