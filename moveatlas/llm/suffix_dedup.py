@@ -45,7 +45,9 @@ LENGTH = 50
 GRAM = 20
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SIDE = (LENGTH - GRAM) // 2
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
+#: Documents that a task works on at a time.
+ROWS = 500
 RUN, REMOVED = 0, 1
 CHUNKS = "part int, rows binary"
 RUNS = "bucket int, content long, doc long, start int, stop int, left short, right short, kind byte"
@@ -328,14 +330,34 @@ def read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, content, doc = b[-1], c[-1], owners[group[-1]]
 
 
-def open_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def lists(column: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
+    """The structs of each row's list as arrays by field; empty for null."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets, values = column.offsets.to_numpy(), column.values
+    fields = {f.name: values.field(f.name).to_numpy() for f in values.type}
+    for valid, a, b in zip(column.is_valid().to_pylist(), offsets[:-1], offsets[1:], strict=True):
+        yield {k: v[a : b if valid else a] for k, v in fields.items()}
+
+
+def open_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of open runs (columns doc, packed, runs)."""
-    for batch in batches:
-        rows = []
-        for doc, packed, found in zip(batch["doc"], batch["packed"], batch["runs"], strict=True):
-            raw = zlib.decompress(packed)
-            rows += [(r["bucket"], doc, r["start"], raw[r["start"] : r["stop"]]) for r in found]
-        yield pd.DataFrame(rows, columns=["bucket", "doc", "start", "piece"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            doc, bucket, start, piece = [], [], [], []
+            packed = batch.column("packed")
+            for i, found in enumerate(lists(batch.column("runs"))):
+                raw = zlib.decompress(packed[i].as_buffer())
+                doc.append(np.full(len(found["start"]), batch.column("doc")[i].as_py(), np.int64))
+                bucket.append(found["bucket"])
+                start.append(found["start"])
+                piece += [raw[a:b] for a, b in zip(found["start"].tolist(), found["stop"].tolist(), strict=True)]
+            yield pa.record_batch(
+                {
+                    "bucket": pa.array(np.concatenate(bucket)), "doc": pa.array(np.concatenate(doc)),
+                    "start": pa.array(np.concatenate(start)), "piece": pa.array(piece, pa.binary()),
+                }
+            )
 
 
 def piece_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,20 +400,24 @@ def read_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def document_cutter(with_kept: bool):
     """A task from documents (doc_id, packed, spans) to counts, digest and kept bytes."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for packed, found in zip(batch["packed"], batch["spans"], strict=True):
-                raw, found = zlib.decompress(packed), found if found is not None else []
-                start = np.array([s["start"] for s in found], np.int64)
-                stop = np.minimum(np.array([s["stop"] for s in found], np.int64), len(raw))
-                start, stop = merged(start, stop)
-                edges = np.concatenate([[0], np.ravel(np.column_stack([start, stop])), [len(raw)]]).astype(int)
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-                digest = hashlib.sha256(kept).hexdigest()
-                rows.append((len(raw), int((stop - start).sum()), len(start), digest, kept if with_kept else None))
-            made = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            yield batch[["doc_id"]].reset_index(drop=True).join(made)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                packed, rows = batch.column("packed"), []
+                for i, found in enumerate(lists(batch.column("spans"))):
+                    raw = zlib.decompress(packed[i].as_buffer())
+                    start, stop = merged(found["start"].astype(np.int64), found["stop"].astype(np.int64))
+                    stop = np.minimum(stop, len(raw))
+                    edges = np.concatenate([[0], np.ravel(np.column_stack([start, stop])), [len(raw)]]).astype(int)
+                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+                    digest = hashlib.sha256(kept).hexdigest()
+                    rows.append((len(raw), int((stop - start).sum()), len(start), digest, kept if with_kept else None))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names)
 
     return cut
 
@@ -422,7 +448,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     still = by_document(open_runs(several, n), "runs", "bucket", "start", "stop")
     met = docs.mapInArrow(pack, PACKED).join(still, F.col("doc") == F.col("of")).select("doc", "packed", "runs")
     #: Equal strings have one bucket, so they are already together when they are sorted.
-    pieces = met.mapInPandas(open_pieces, PIECES).repartition(n, "bucket")
+    pieces = met.mapInArrow(open_pieces, PIECES).repartition(n, "bucket")
     ids = pieces.mapInPandas(piece_strings, STRINGS).sortWithinPartitions("a", "b", "doc")
     later = ids.mapInPandas(read_strings, LATER)
     whole = several.where(F.col("kind") == REMOVED).select("doc", "start", "stop")
@@ -435,7 +461,7 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wit
     spans = by_document(removed_spans(rows.where(F.col("doc").isNotNull())), "spans", "start", "stop")
     packed = rows.mapInArrow(pack, PACKED)
     met = packed.join(spans, F.col("doc") == F.col("of"), "left")
-    return met.select(F.col("doc").alias("doc_id"), "packed", "spans").mapInPandas(document_cutter(with_kept), CUT)
+    return met.select(F.col("doc").alias("doc_id"), "packed", "spans").mapInArrow(document_cutter(with_kept), CUT)
 
 
 ship(__name__)
