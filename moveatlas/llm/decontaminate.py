@@ -106,7 +106,9 @@ def scan_hits(docs: DataFrame, found: GramSet, *, text: str = "text") -> DataFra
     if found.grams is not None:
         return scanned
     rows = stored(docs.withColumns({"__row": F.monotonically_increasing_id()}), "decontaminate-rows")
-    scanned = scan_hits(rows, GramSet(found.windows, found.lengths, {n: [] for n in found.lengths}), text=text)
+    scanned = rows.withColumns(
+        {"n_words": F.size(plain_words(F.col(text))).cast("long"), "hits": F.expr(none)}
+    )
     all_windows = (
         rows.select("__row", plain_words(F.col(text)).alias("__words"))
         .select("__row", F.explode(F.expr(f"transform(array(__words), w -> {every})[0]")).alias("h"))

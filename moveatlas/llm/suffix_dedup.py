@@ -135,16 +135,15 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def settled_here(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pd.DataFrame:
     """REMOVED intervals, united within each document."""
-    order = np.argsort(doc, kind="stable")
-    doc, start, stop = doc[order], start[order], stop[order]
-    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else [0]
-    parts = [(doc[a], *merged(start[a:b], stop[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    found, group = np.unique(doc, return_inverse=True)
+    shift = group.astype(np.int64) << 33
+    start, stop = merged(start + shift, stop + shift)
+    group = start >> 33
+    shift = group << 33
     return pd.DataFrame(
         {
-            "doc": np.concatenate([np.full(len(x), d) for d, x, _ in parts] or [np.empty(0, np.int64)]).astype(np.int64),
-            "start": np.concatenate([x for _, x, _ in parts] or [np.empty(0)]).astype(np.int32),
-            "stop": np.concatenate([y for _, _, y in parts] or [np.empty(0)]).astype(np.int32),
-            "kind": np.int8(REMOVED),
+            "doc": found[group].astype(np.int64), "start": (start - shift).astype(np.int32),
+            "stop": (stop - shift).astype(np.int32), "kind": np.int8(REMOVED),
         }
     )
 
@@ -191,7 +190,7 @@ def chunk(rows: Rows) -> bytes:
     return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
 
 
-def unchunk(raw: bytes) -> pd.DataFrame:
+def unchunk(raw: bytes) -> pa.RecordBatch:
     """A chunk as rows."""
     at = 0
 
@@ -210,10 +209,11 @@ def unchunk(raw: bytes) -> pd.DataFrame:
     long = take("<i4", n_long)
     length[long] = take("<i4", n_long)
     left, right, kind = take("<i2", n), take("<i2", n), take("i1", n)
-    return pd.DataFrame(
+    return pa.record_batch(
         {
-            "bucket": bucket.view(np.int32), "content": content.view(np.int64), "doc": doc, "start": start,
-            "stop": start + length, "left": left, "right": right, "kind": kind,
+            "bucket": pa.array(bucket.view(np.int32)), "content": pa.array(content.view(np.int64)), "doc": pa.array(doc),
+            "start": pa.array(start), "stop": pa.array(start + length), "left": pa.array(left),
+            "right": pa.array(right), "kind": pa.array(kind),
         }
     )
 
@@ -272,11 +272,11 @@ def run_sender(n_parts: int):
     return send
 
 
-def open_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks as rows again."""
     for batch in batches:
-        for raw in batch["rows"]:
-            yield unchunk(raw)
+        for raw in batch.column("rows"):
+            yield unchunk(raw.as_buffer().to_pybytes())
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +443,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """doc, start, stop: the removed byte intervals of documents (doc, text; no null doc)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = docs.mapInArrow(run_sender(n), CHUNKS).repartitionById(n, F.col("part"))
-    ordered = sent.mapInPandas(open_chunks, RUNS).sortWithinPartitions("bucket", "content", "doc")
+    ordered = sent.mapInArrow(open_chunks, RUNS).sortWithinPartitions("bucket", "content", "doc")
     several = stored(ordered.mapInPandas(read_runs, SPANS), "runs")
     still = by_document(open_runs(several, n), "runs", "bucket", "start", "stop")
     met = docs.mapInArrow(pack, PACKED).join(still, F.col("doc") == F.col("of")).select("doc", "packed", "runs")
