@@ -587,19 +587,15 @@ def quarters(spark, sf_dir):
 # --- row expressions ---------------------------------------------------------------
 
 
-def _year_rows(spark, sf_dir):
-    return W.date_range(counts(spark, sf_dir), *YEAR)
-
-
 def _row_query(name: str, columns: dict, digits: dict, **sql: str):
-    """Register row-level expressions over the year, one output column each."""
+    """Register row-level expressions over all rows, one output column each."""
     shown = ", ".join(
         f"round({text}, {digits[c]}) AS {c}" if c in digits else f"{text} AS {c}" for c, text in sql.items()
     )
 
-    @query(name, Q.with_m1(f"SELECT {', '.join(ROW)}, {shown} FROM m1 WHERE {Q.IN_YEAR}"))
+    @query(name, Q.with_m1(f"SELECT {', '.join(ROW)}, {shown} FROM m1"))
     def build(spark, sf_dir):
-        rows = _year_rows(spark, sf_dir).select(
+        rows = all_counts(spark, sf_dir).select(
             *ROW, *(value().alias(c) for c, value in columns.items())
         )
         return rounded(rows, **digits)
@@ -666,7 +662,7 @@ _row_query("p21_fill_zero", {"filled": lambda: X.fill_zero(_shop_tour(), F.lit(0
         f"""SELECT {', '.join(ROW)},
 CASE WHEN s = 0 AND r = 0 THEN 'nan' WHEN r = 0 THEN 'infinite' ELSE 'finite' END AS kind,
 round(CASE WHEN r <> 0 THEN s / r END, 6) AS quotient
-FROM (SELECT *, {_SUM} AS s, {_RETURN} AS r FROM m1 WHERE {Q.IN_YEAR})"""
+FROM (SELECT *, {_SUM} AS s, {_RETURN} AS r FROM m1)"""
     ),
 )
 def unguarded_division(spark, sf_dir):
@@ -676,16 +672,16 @@ def unguarded_division(spark, sf_dir):
         .when(F.col("q") == F.lit(float("inf")), "infinite")
         .otherwise("finite")
     )
-    rows = _year_rows(spark, sf_dir).withColumns({"s": _shop_tour(), "r": _returning()})
+    rows = all_counts(spark, sf_dir).withColumns({"s": _shop_tour(), "r": _returning()})
     rows = rows.withColumn("q", quotient).select(
         *ROW, kind.alias("kind"), F.when(kind == "finite", F.col("q")).alias("quotient")
     )
     return rounded(rows, quotient=6)
 
 
-@query("p22_select_columns", Q.with_m1(f"SELECT FULL_NM, MOVE_PURPOSE, ETL_YMD FROM m1 WHERE {Q.IN_YEAR}"))
+@query("p22_select_columns", Q.with_m1(f"SELECT FULL_NM, MOVE_PURPOSE, ETL_YMD FROM m1"))
 def select_columns(spark, sf_dir):
-    return _year_rows(spark, sf_dir).select(S.PLACE, "MOVE_PURPOSE", "ETL_YMD")
+    return all_counts(spark, sf_dir).select(S.PLACE, "MOVE_PURPOSE", "ETL_YMD")
 
 
 @query(
@@ -770,11 +766,11 @@ def nearest_quartiles(spark, sf_dir):
 @query(
     "a05_row_level_quartiles",
     Q.with_m1(
-        _nearest_sql("cnt", f"(SELECT CAST(TOTAL_CNT AS DOUBLE) AS cnt FROM m1 WHERE {Q.IN_YEAR})")
+        _nearest_sql("cnt", f"(SELECT CAST(TOTAL_CNT AS DOUBLE) AS cnt FROM m1)")
     ),
 )
 def row_level_quartiles(spark, sf_dir):
-    rows = _year_rows(spark, sf_dir).select(X.to_double("TOTAL_CNT").alias("cnt"))
+    rows = all_counts(spark, sf_dir).select(X.to_double("TOTAL_CNT").alias("cnt"))
     return rounded(A.exact_quantiles(rows, "cnt", {"q1": 0.25, "q3": 0.75}), q1=6, q3=6)
 
 

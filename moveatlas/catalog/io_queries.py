@@ -177,11 +177,11 @@ def optimise_layout(spark, sf_dir):
 @query(
     "io10_export_csv",
     Q.with_m1(
-        f"SELECT SGG_NM, coalesce(sum({Q.TOTAL}), 0.0) AS total FROM m1 WHERE {Q.IN_YEAR} GROUP BY SGG_NM"
+        f"SELECT SGG_NM, coalesce(sum({Q.TOTAL}), 0.0) AS total FROM m1 GROUP BY SGG_NM"
     ),
 )
 def export_csv(spark, sf_dir):
-    rows = add_row_sums(W.date_range(all_counts(spark, sf_dir), *Q.YEAR), {"total": S.COUNT_COLS})
+    rows = add_row_sums(all_counts(spark, sf_dir), {"total": S.COUNT_COLS})
     path = scratch_path(spark, "dashboard")
     C.export_csv(group_totals(rows, "SGG_NM", {"total": "total"}), path)
     return spark.read.schema("SGG_NM string, total double").option("header", True).csv(path)

@@ -91,9 +91,10 @@ def unmapped(spark, sf_dir):
 
 _HISTORY = """hist AS (
 SELECT CAST(s_suppkey AS VARCHAR) AS old_cd,
-       CAST(CASE WHEN s_suppkey % 10 = 7 THEN s_suppkey - 2 ELSE s_suppkey + 1 END AS VARCHAR) AS new_cd,
-       CASE WHEN s_suppkey % 10 = 4 THEN '19970901' ELSE '19970701' END AS effective_ymd
-FROM supplier WHERE s_suppkey % 10 IN (3, 4, 7)),
+       CASE s_suppkey % 10 WHEN 8 THEN 'abolished' WHEN 7 THEN CAST(s_suppkey - 2 AS VARCHAR)
+         WHEN 6 THEN CAST(s_suppkey + 2 AS VARCHAR) ELSE CAST(s_suppkey + 1 AS VARCHAR) END AS new_cd,
+       CASE s_suppkey % 10 WHEN 4 THEN '19970901' WHEN 8 THEN '19970801' ELSE '19970701' END AS effective_ymd
+FROM supplier WHERE s_suppkey % 10 IN (3, 4, 6, 7, 8)),
 walk AS (
 SELECT old_cd, new_cd, 1 AS hops FROM hist
 UNION ALL SELECT walk.old_cd, hist.new_cd, hops + 1 FROM walk JOIN hist ON walk.new_cd = hist.old_cd),
@@ -329,8 +330,8 @@ def top_destinations(spark, sf_dir):
 def _extract_sql(fixed: str, other: str) -> str:
     return Q.with_m2(
         f"""SELECT *, {_SHARES} FROM (
-SELECT *, {_WHOLE} AS flow, row_number() OVER (ORDER BY {_WHOLE} DESC, {other}) AS "RANK" FROM (
-  SELECT {fixed}, {other}, {_SUMS} FROM m2 WHERE {fixed} = '{PLACE_CODE}' GROUP BY {fixed}, {other}))
+SELECT *, row_number() OVER (ORDER BY flow DESC, {other}) AS "RANK" FROM (
+  SELECT {fixed}, {other}, {_SUMS}, coalesce(sum(total_cnt), 0.0) AS flow FROM m2 WHERE {fixed} = '{PLACE_CODE}' GROUP BY {fixed}, {other}))
 WHERE "RANK" <= 20"""
     )
 
@@ -412,7 +413,7 @@ def place_ranking(spark, sf_dir):
     Q.with_m2(
         """SELECT *, row_number() OVER (ORDER BY visitors DESC NULLS FIRST, district) AS "RANK" FROM (
 SELECT n_name AS district, coalesce(sum(total_cnt), 0.0) AS visitors
-FROM ym JOIN supplier ON d_admdong_cd = CAST(s_suppkey AS VARCHAR) JOIN nation ON s_nationkey = n_nationkey
+FROM ym LEFT JOIN supplier ON d_admdong_cd = CAST(s_suppkey AS VARCHAR) AND s_suppkey % 10 <> 9 LEFT JOIN nation ON s_nationkey = n_nationkey
 GROUP BY n_name)""",
         _YEAR_M2,
     ),

@@ -98,9 +98,10 @@ SELECT CAST(o_custkey % 100 AS VARCHAR) AS o_admdong_cd,
        930000.0 + (o_custkey % 100) * 450.0 AS o_x,
        1930000.0 + ((o_custkey % 100) * 37 % 100) * 500.0 AS o_y,
        930000.0 + (l_suppkey % 100) * 450.0 AS d_x,
-       1930000.0 + (l_suppkey * 37 % 100) * 500.0 AS d_y
+       1930000.0 + (l_suppkey * 37 % 100) * 500.0 AS d_y,
+       CAST(l_quantity * 7 + l_linenumber AS DOUBLE) AS total_cnt
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-m2 AS (SELECT *, {BAND_TOTAL} AS total_cnt FROM m2base)"""
+m2 AS (SELECT * FROM m2base)"""
 
 
 def with_m2(body: str, *ctes: str, recursive: bool = False) -> str:

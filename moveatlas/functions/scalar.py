@@ -40,9 +40,10 @@ def iso_weekday(day: Column | str) -> Column:
     return F.weekday(_as_column(day)) + F.lit(1)
 
 
-def month_number(ymd: Column | str) -> Column:
-    """``yyyyMMdd`` text to the integer ``yyyyMM``."""
-    return F.substring(_as_column(ymd), 1, 6).cast("int")
+def month_number(ymd: Column | str, strict: bool = True) -> Column:
+    """``yyyyMMdd`` text to the integer ``yyyyMM``. Bad text is an error when strict, null otherwise."""
+    month = F.substring(_as_column(ymd), 1, 6)
+    return month.cast("int") if strict else month.try_cast("int")
 
 
 def row_sum(columns: Iterable[str], strict: bool = True) -> Column:

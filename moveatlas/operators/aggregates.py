@@ -136,9 +136,14 @@ def min_positive(df: DataFrame, column: str, name: str = "min_positive") -> Data
     return df.agg(F.min(F.when(F.col(column) > 0, F.col(column))).alias(name))
 
 
-def band_mix(df: DataFrame, keys: str | Iterable[str], bands: Sequence[str]) -> DataFrame:
-    """Grouped total and share of each age band; shares are of the band sum."""
-    totals = group_totals(df, keys, {f"total_{band}": band for band in bands})
+def band_mix(
+    df: DataFrame, keys: str | Iterable[str], bands: Sequence[str], more: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Grouped total and share of each age band; shares are of the band sum.
+
+    ``more`` names further totals of the same pass.
+    """
+    totals = group_totals(df, keys, {**{f"total_{band}": band for band in bands}, **(more or {})})
     whole = sum((F.col(f"total_{band}") for band in bands[1:]), F.col(f"total_{bands[0]}"))
     return totals.withColumns(
         {f"share_{band}": eps_ratio(f"total_{band}", whole) for band in bands}

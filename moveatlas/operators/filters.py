@@ -20,39 +20,71 @@ from moveatlas import schema as S
 from moveatlas.functions.scalar import iso_weekday, month_number, parse_ymd, time_band, to_int
 
 
+#: Typed columns that ingest derives, by the text column they come from.
+_DATES = {"etl_ymd": ((S.DATE_COL, S.MOVE_DATE_COL), (S.MONTH_COL, S.MOVE_MONTH_COL))}
+_HOURS = {"time_cd": (S.HOUR_COL,)}
+
+
+def _present(df: DataFrame, names: Iterable[str]) -> str | None:
+    return next((c for c in names if c in df.columns), None)
+
+
+def _has(df: DataFrame, column: str) -> bool:
+    return column.lower() in (c.lower() for c in df.columns)
+
+
+def _missing(column: str) -> ValueError:
+    return ValueError(f"neither {column!r} nor a column stored for it is present")
+
+
 def hour_of(df: DataFrame, column: str = "TIME_CD", strict: bool = True) -> Column:
-    """The integer hour: the stored one when ingest has written it."""
-    return F.col(S.HOUR_COL) if S.HOUR_COL in df.columns else to_int(column, strict)
+    """The integer hour: the one that ingest has stored for this column, if any."""
+    stored = _present(df, _HOURS.get(column.lower(), ()))
+    if stored:
+        return F.col(stored)
+    if not _has(df, column):
+        raise _missing(column)
+    return to_int(column, strict)
 
 
-def _stored_date(df: DataFrame) -> str | None:
+def _stored_date(df: DataFrame, column: str) -> str | None:
     kinds = dict(df.dtypes)
-    return next((c for c in (S.DATE_COL, S.MOVE_DATE_COL) if kinds.get(c) == "date"), None)
+    dates, _ = _DATES.get(column.lower(), ((), ()))
+    return next((c for c in dates if kinds.get(c) == "date"), None)
+
+
+def _stored_month(df: DataFrame, column: str) -> str | None:
+    return _present(df, _DATES.get(column.lower(), ((), ()))[1])
 
 
 def date_of(df: DataFrame, column: str = "ETL_YMD", strict: bool = True) -> Column:
-    """The date: the stored one when there is a date column already."""
-    stored = _stored_date(df)
-    return F.col(stored) if stored else parse_ymd(column, strict)
+    """The date: the one that ingest has stored for this column, if any."""
+    stored = _stored_date(df, column)
+    if stored:
+        return F.col(stored)
+    if not _has(df, column):
+        raise _missing(column)
+    return parse_ymd(column, strict)
 
 
 def month_of(df: DataFrame, column: str = "ETL_YMD") -> Column:
-    """The integer month ``yyyyMM``: the stored one when there is one."""
-    stored = next((c for c in (S.MONTH_COL, S.MOVE_MONTH_COL) if c in df.columns), None)
+    """The integer month ``yyyyMM``: the one that ingest has stored for this column, if any."""
+    stored = _stored_month(df, column)
     return F.col(stored) if stored else month_number(column)
 
 
 def date_range_is(df: DataFrame, lo: str, hi: str, column: str = "ETL_YMD") -> Column:
     """Inclusive range of days given as ``yyyyMMdd``; prunes month partitions where present.
 
-    Compares the text column, or the stored date where the text was dropped.
+    Compares the text column, or the stored date where the text was dropped. The
+    month partition is used only for the column that it was derived from.
     """
     if column in df.columns:
         inside = F.col(column).between(lo, hi)
     else:
         first, last = (F.lit(datetime.strptime(d, "%Y%m%d").date()) for d in (lo, hi))
         inside = date_of(df, column).between(first, last)
-    if S.MONTH_COL in df.columns or S.MOVE_MONTH_COL in df.columns:
+    if _stored_month(df, column):
         inside = month_of(df, column).between(int(lo[:6]), int(hi[:6])) & inside
     return inside
 

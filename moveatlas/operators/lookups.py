@@ -13,6 +13,8 @@ from moveatlas.session import shared_folder
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+#: The code of what was abolished without a successor.
+ABOLISHED = "abolished"
 
 
 def lookup_bytes(lookup: DataFrame, key: str) -> int:
@@ -90,10 +92,14 @@ def resolve_chains(history: DataFrame) -> DataFrame:
     Every round doubles the distance each code has followed, so a chain of
     length L takes about log2(L) rounds; each round is cut with a checkpoint.
     Codes that change into themselves are dropped; a cycle raises ValueError.
+    Codes without a successor, or marked abolished, end in ``ABOLISHED``.
     """
     shared_folder(history.sparkSession)
+    successor = F.col("new_cd")
+    if "change_type" in history.columns:
+        successor = F.when(F.col("change_type").eqNullSafe("abolished"), F.lit(None)).otherwise(successor)
     step = (
-        history.select("old_cd", "new_cd")
+        history.select("old_cd", F.coalesce(successor, F.lit(ABOLISHED)).alias("new_cd"))
         .filter(F.col("old_cd") != F.col("new_cd"))
         .distinct()
         .checkpoint()
@@ -132,7 +138,8 @@ def reconcile_admin_codes(
     """Replace abolished, merged and transferred codes by the codes now in force.
 
     Every named column is joined to the resolved history; a code without a
-    change stays. With ``ymd`` a row is re-coded only when it is dated before
+    change stays, and one that was abolished, at once or at the end of its chain,
+    becomes ``ABOLISHED``, so that its people stay in all totals. With ``ymd`` a row is re-coded only when it is dated before
     the change's ``effective_ymd``: rows after that date that still carry the
     text of an old code mean a re-used code. Dates must not decrease along a
     chain.

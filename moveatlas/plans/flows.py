@@ -21,6 +21,7 @@ from moveatlas.functions.scalar import (
 )
 from moveatlas.operators.aggregates import band_mix, group_totals, monthly_means
 from moveatlas.operators.filters import date_of, month_of
+from moveatlas.operators.lookups import attach_lookup
 from moveatlas.operators.ranking import rank_rows, top_n_per_group, top_ranked
 
 NIGHT_BANDS = {"night": ((18, 23), (0, 5)), "day": ((6, 17),)}
@@ -41,13 +42,14 @@ def place_extract(moves: DataFrame, place: str, side: str, n: int) -> DataFrame:
     """Top flows of one place with their age mix.
 
     ``side='origin'`` keeps moves that leave the place and ranks destinations;
-    ``'destination'`` keeps moves that arrive and ranks origins.
+    ``'destination'`` keeps moves that arrive and ranks origins. The flow is the
+    number of people; shares are of the sum of the age bands.
     """
     fixed = SIDE_COLUMNS[side]
     other = SIDE_COLUMNS["destination" if side == "origin" else "origin"]
-    mix = band_mix(moves.filter(F.col(fixed) == place), [fixed, other], S.BAND_COLS)
-    whole = sum((F.col(f"total_{b}") for b in S.BAND_COLS[1:]), F.col(f"total_{S.BAND_COLS[0]}"))
-    return top_ranked(mix.withColumn("flow", whole), "flow", other, n)
+    kept = moves.filter(F.col(fixed) == place)
+    mix = band_mix(kept, [fixed, other], S.BAND_COLS, {"flow": "total_cnt"})
+    return top_ranked(mix, "flow", other, n)
 
 
 def age_mix(moves: DataFrame, key: str = "d_admdong_cd") -> DataFrame:
@@ -201,10 +203,14 @@ def visitor_ranking(moves: DataFrame, key: str = "d_admdong_cd") -> DataFrame:
 def district_ranking(moves: DataFrame, districts: DataFrame) -> DataFrame:
     """All districts by total visitors, ranked.
 
-    ``districts`` maps ``d_admdong_cd`` to ``district``. Visitors are summed per
-    code before the join, so it sees one row per code and not the moves.
+    ``districts`` maps each ``d_admdong_cd`` once to its ``district``; a code listed
+    twice is an error, and codes that are not listed count together as the null
+    district, so the totals add up to all visitors. Visitors are summed per code
+    before the join, so it sees one row per code and not the moves.
     """
     per_code = group_totals(moves, "d_admdong_cd", {"visitors": "total_cnt"})
-    located = per_code.join(districts.select("d_admdong_cd", "district"), "d_admdong_cd")
+    located = attach_lookup(
+        per_code, districts.select("d_admdong_cd", "district"), "d_admdong_cd", "d_admdong_cd"
+    )
     totals = group_totals(located, "district", {"visitors": "visitors"})
     return rank_rows(totals, "visitors", "district")

@@ -117,16 +117,17 @@ def moves(spark: SparkSession, sf_dir: str, ymd: tuple[str, str] | None = None)
             "1930000.0D + ((o_custkey % 100) * 37 % 100) * 500.0D AS o_y",
             "930000.0D + (l_suppkey % 100) * 450.0D AS d_x",
             "1930000.0D + (l_suppkey * 37 % 100) * 500.0D AS d_y",
+            "CAST(l_quantity * 7 + l_linenumber AS DOUBLE) AS total_cnt",
         )
-        .withColumn("total_cnt", F.expr(" + ".join(f"`{b}`" for b in S.BAND_COLS)))
     )
 
 
 def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """District of every destination code."""
+    """District of every destination code but those ending in 9, left out on purpose."""
     return (
         _table(spark, sf_dir, "supplier")
         .join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .filter(F.col("s_suppkey") % 10 != 9)
         .selectExpr("CAST(s_suppkey AS STRING) AS d_admdong_cd", "n_name AS district")
     )
 
@@ -142,17 +143,28 @@ def purpose_map(spark: SparkSession) -> DataFrame:
 def code_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invented code changes over supplier keys.
 
-    By last digit: 3 is transferred to 4, 4 is merged into 5 and so is 7;
-    which gives a chain 3→4→5 and a merge. Every other code is unchanged.
+    By last digit: 3 is transferred to 4, 4 is merged into 5 and so is 7, which gives
+    a chain 3→4→5 and a merge; 8 is abolished without a successor, and 6 is
+    transferred to it before. Every other code is unchanged.
     """
     key = F.col("s_suppkey")
     return (
         _table(spark, sf_dir, "supplier")
-        .filter((key % 10).isin(3, 4, 7))
+        .filter((key % 10).isin(3, 4, 6, 7, 8))
         .select(
             key.cast("string").alias("old_cd"),
-            F.when(key % 10 == 7, key - 2).otherwise(key + 1).cast("string").alias("new_cd"),
-            F.when(key % 10 == 3, "transferred").otherwise("merged").alias("change_type"),
-            F.when(key % 10 == 4, "19970901").otherwise("19970701").alias("effective_ymd"),
+            F.when(key % 10 == 7, key - 2)
+            .when(key % 10 == 6, key + 2)
+            .when(key % 10 != 8, key + 1)
+            .cast("string")
+            .alias("new_cd"),
+            F.when((key % 10).isin(3, 6), "transferred")
+            .when(key % 10 == 8, "abolished")
+            .otherwise("merged")
+            .alias("change_type"),
+            F.when(key % 10 == 4, "19970901")
+            .when(key % 10 == 8, "19970801")
+            .otherwise("19970701")
+            .alias("effective_ymd"),
         )
     )

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from moveatlas import schema as S
-from moveatlas.sources.counts import standardise_counts
+from moveatlas.sources.counts import CSV_OPTIONS, standardise_counts
 
 
 def stream_counts_csv(
     spark: SparkSession, src: str, files_per_batch: int | None = None, strict: bool = True
 ) -> DataFrame:
     """CSV folder as a stream of standardised counts."""
-    reader = spark.readStream.schema(S.COUNTS_TEXT_SCHEMA).option("header", True)
+    reader = spark.readStream.schema(S.COUNTS_TEXT_SCHEMA).options(**CSV_OPTIONS)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return standardise_counts(reader.csv(src), strict)
