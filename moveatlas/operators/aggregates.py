@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,13 +35,15 @@ def group_means(
     )
 
 
-def _value_positions(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values with their copies, last position and the frame's row count.
+def _value_positions(df: DataFrame, column: str, wanted: Sequence[Column]) -> DataFrame:
+    """Distinct values near the wanted positions, with their last position.
 
     Copies of a value are counted before anything is sorted, so a value that
     fills a third of the frame is one row here. The sorted values are written
     once to the checkpoint folder; partition totals, one row per partition,
-    turn positions inside a partition into positions in the frame.
+    turn positions inside a partition into positions in the frame. Only
+    partitions that hold a wanted position are read again; every row carries the
+    totals of the whole frame: rows, sum, low and high.
     """
     shared_folder(df.sparkSession)
     values = (
@@ -52,20 +55,32 @@ def _value_positions(df: DataFrame, column: str) -> DataFrame:
         .withColumn("part", F.spark_partition_id())
     )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
     parts = (
         values.groupBy("part")
-        .agg(F.sum("copies").alias("size"))
+        .agg(
+            F.sum("copies").alias("size"),
+            F.sum(F.col("value") * F.col("copies")).alias("sum"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+        )
         .select(
             "part",
+            "size",
             F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"),
-            F.sum("size").over(Window.partitionBy()).alias("rows"),
+            F.sum("size").over(whole).alias("rows"),
+            F.sum("sum").over(whole).alias("sum"),
+            F.min("low").over(whole).alias("low"),
+            F.max("high").over(whole).alias("high"),
         )
     )
+    holds = ((F.col("start") < p) & (p <= F.col("start") + F.col("size")) for p in wanted)
+    parts = parts.filter(reduce(lambda a, b: a | b, holds)).drop("size")
     inside = Window.partitionBy("part").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return values.join(F.broadcast(parts), "part").select(
-        "value", "copies", "rows", (F.col("start") + F.sum("copies").over(inside)).alias("upto")
+        "value", "rows", "sum", "low", "high", (F.col("start") + F.sum("copies").over(inside)).alias("upto")
     )
 
 
@@ -75,7 +90,7 @@ def _value_at(position: Column) -> Column:
 
 
 def _nearest(q: float) -> Column:
-    return _value_at(F.floor((F.col("rows") - 1) * F.lit(float(q)) + F.lit(0.5)) + 1)
+    return F.floor((F.col("rows") - 1) * F.lit(float(q)) + F.lit(0.5)) + 1
 
 
 def exact_quantiles(
@@ -89,16 +104,19 @@ def exact_quantiles(
     """
     if method not in ("nearest", "linear"):
         raise ValueError(f"method must be 'nearest' or 'linear', not {method!r}")
-    picked = []
+    picked, wanted = [], []
     for name, q in quantiles.items():
         if method == "nearest":
-            picked.append(_nearest(q).alias(name))
+            wanted.append(_nearest(q))
+            picked.append(_value_at(_nearest(q)).alias(name))
             continue
         index = (F.col("rows") - 1) * F.lit(float(q))
-        low, high = _value_at(F.floor(index) + 1), _value_at(F.ceil(index) + 1)
+        ends = F.floor(index) + 1, F.ceil(index) + 1
+        wanted += ends
+        low, high = map(_value_at, ends)
         weight = F.max(index - F.floor(index))
         picked.append((low + (high - low) * weight).alias(name))
-    return _value_positions(df, column).agg(*picked)
+    return _value_positions(df, column, wanted).agg(*picked)
 
 
 def summary_stats(df: DataFrame, column: str, quartiles: bool = True) -> DataFrame:
@@ -108,16 +126,18 @@ def summary_stats(df: DataFrame, column: str, quartiles: bool = True) -> DataFra
     holds all values and the frame is computed once.
     """
     rows = F.col("rows")
-    middle = _value_at(F.floor((rows + 1) / 2)) + _value_at(F.floor((rows + 2) / 2))
+    middle = F.floor((rows + 1) / 2), F.floor((rows + 2) / 2)
+    wanted = [*middle]
     picked = [
-        (F.sum(F.col("value") * F.col("copies")) / F.sum("copies")).alias("mean"),
-        (middle / F.lit(2.0)).alias("median"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+        F.max(F.col("sum") / rows).alias("mean"),
+        ((_value_at(middle[0]) + _value_at(middle[1])) / F.lit(2.0)).alias("median"),
+        F.min("low").alias("min"),
+        F.max("high").alias("max"),
     ]
-    if quartiles:
-        picked += [_nearest(0.25).alias("q1"), _nearest(0.75).alias("q3")]
-    return _value_positions(df, column).agg(*picked)
+    for name, q in (("q1", 0.25), ("q3", 0.75)) if quartiles else ():
+        wanted.append(_nearest(q))
+        picked.append(_value_at(_nearest(q)).alias(name))
+    return _value_positions(df, column, wanted).agg(*picked)
 
 
 def top_k_stats(df: DataFrame, by: str, key: str, k: int) -> DataFrame:

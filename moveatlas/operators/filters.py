@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moveatlas import schema as S
-from moveatlas.functions.scalar import iso_weekday, month_number, parse_ymd, time_band, to_int
+from moveatlas.functions.scalar import iso_weekday, month_number, parse_ymd, to_int
 
 
 #: Typed columns that ingest derives, by the text column they come from.
@@ -93,18 +93,23 @@ def date_range(df: DataFrame, lo: str, hi: str, column: str = "ETL_YMD") -> Data
     return df.filter(date_range_is(df, lo, hi, column))
 
 
-def _month_runs(months: Iterable[int]) -> list[tuple[int, int]]:
+def _runs(numbers: Iterable[int]) -> list[tuple[int, int]]:
     runs: list[tuple[int, int]] = []
-    for month in sorted(set(months)):
-        if not 1 <= month <= 12:
-            raise ValueError(f"no such month: {month}")
-        if runs and month == runs[-1][1] + 1:
-            runs[-1] = (runs[-1][0], month)
+    for number in sorted(set(numbers)):
+        if runs and number == runs[-1][1] + 1:
+            runs[-1] = (runs[-1][0], number)
         else:
-            runs.append((month, month))
+            runs.append((number, number))
     return runs
 
 
+def _month_runs(months: Iterable[int]) -> list[tuple[int, int]]:
+    for month in (wanted := set(months)):
+        if not 1 <= month <= 12:
+            raise ValueError(f"no such month: {month}")
+    return _runs(wanted)
+
+
 def months(df: DataFrame, year: int, wanted: Iterable[int], column: str = "ETL_YMD") -> DataFrame:
     """Keep whole months of one year, as text ranges that reach the scan."""
     runs = _month_runs(wanted)
@@ -136,6 +141,26 @@ def hour_range(df: DataFrame, lo: int, hi: int, column: str = "TIME_CD", strict:
     return df.filter(hour_range_is(df, lo, hi, column, strict))
 
 
+def in_time_bands_is(
+    df: DataFrame,
+    bands: Mapping[str, Iterable[tuple[int, int]]],
+    wanted: Iterable[str],
+    column: str = "st_time_cd",
+) -> Column:
+    """Ranges of the hours that belong to a wanted band; the first band of an hour counts."""
+    wanted = set(wanted)
+    taken: set[int] = set()
+    hours: set[int] = set()
+    for name, ranges in bands.items():
+        mine = {h for lo, hi in ranges for h in range(lo, hi + 1)} - taken
+        taken |= mine
+        if name in wanted:
+            hours |= mine
+    hour = hour_of(df, column)
+    inside = [hour.between(lo, hi) if lo < hi else hour == lo for lo, hi in _runs(hours)]
+    return reduce(lambda a, b: a | b, inside) if inside else F.lit(False)
+
+
 def in_time_bands(
     df: DataFrame,
     bands: Mapping[str, Iterable[tuple[int, int]]],
@@ -143,7 +168,7 @@ def in_time_bands(
     column: str = "st_time_cd",
 ) -> DataFrame:
     """Keep rows whose hour falls into one of the wanted named bands."""
-    return df.filter(time_band(to_int(column), bands).isin(*wanted))
+    return df.filter(in_time_bands_is(df, bands, wanted, column))
 
 
 def purposes(df: DataFrame, wanted: Iterable[str], column: str = "MOVE_PURPOSE") -> DataFrame:

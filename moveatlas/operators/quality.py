@@ -9,17 +9,37 @@ from pyspark.sql import functions as F
 
 from moveatlas.functions.scalar import parse_ymd, to_int
 from moveatlas.operators.aggregates import exact_quantiles
+from moveatlas.operators.lookups import attach_lookup
 
 
-def quality_report(moves: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Counts of rows that fail each check, as (check, failures), in one pass."""
+def quality_report(
+    moves: DataFrame,
+    measures: Sequence[str],
+    purposes: DataFrame | None = None,
+    codes: DataFrame | None = None,
+) -> DataFrame:
+    """Counts of rows that fail each check, as (check, failures), in one pass.
+
+    ``purposes`` (purpose_code) and ``codes`` (code) are the known codes; a code that is
+    given but not among them fails ``unknown_*``. Each list names a code once.
+    """
+    columns = moves.columns
+    lists = {"purpose_code": (purposes, "purpose_code")}
+    lists |= {c: (codes, "code") for c in ("o_admdong_cd", "d_admdong_cd")}
+    unknown = {}
+    for c, (known, key) in lists.items():
+        if known is not None:
+            flag = f"__known_{c}"
+            moves = attach_lookup(moves, known.select(key, F.lit(True).alias(flag)), key, c)
+            unknown[f"unknown_{c}"] = F.col(c).isNotNull() & F.col(flag).isNull()
     hour = to_int("st_time_cd", strict=False)
-    checks = {f"null_{c}": F.col(c).isNull() for c in moves.columns}
+    checks = {f"null_{c}": F.col(c).isNull() for c in columns}
     checks |= {f"negative_{c}": F.col(c) < 0 for c in measures}
     checks["bad_date"] = F.col("etl_ymd").isNotNull() & parse_ymd("etl_ymd", strict=False).isNull()
     checks["bad_hour"] = F.col("st_time_cd").isNotNull() & ~F.coalesce(
         hour.between(0, 23), F.lit(False)
     )
+    checks |= unknown
     counted = moves.agg(
         F.count(F.lit(1)).alias("rows"),
         *(F.count_if(failed).alias(name) for name, failed in checks.items()),

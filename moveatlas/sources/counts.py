@@ -33,19 +33,37 @@ def standardise_counts(df: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
-def write_by_month(df: DataFrame, path: str, mode: str = "errorifexists", month: str = S.MONTH_COL) -> None:
+def remove_files(spark: SparkSession, pattern: str) -> None:
+    """Delete the files that a path pattern names, in whatever store the path is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in store.globStatus(path) or ():
+        store.delete(found.getPath(), False)
+
+
+def write_by_month(
+    df: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    month: str = S.MONTH_COL,
+    file_prefix: str | None = None,
+) -> None:
     """Write Parquet partitioned by month.
 
     The rebalance hint brings the rows of a month together, splits a month that
     is too large for one task and merges small ones, so files have an even size
     and one hot month does not land in one task. Inside a file rows are sorted by
-    place, so that a query for one place skips row groups.
+    place, so that a query for one place skips row groups. ``file_prefix`` starts the
+    names of the files.
     """
     order = [c for c in (S.PROVINCE, S.DISTRICT, S.PLACE, S.DATE_COL) if c in df.columns]
     even = df.hint("rebalance", month)
     if order:
         even = even.sortWithinPartitions(month, *order)
-    even.write.mode(mode).partitionBy(month).parquet(path)
+    writer = even.write.mode(mode).partitionBy(month)
+    if file_prefix is not None:
+        writer = writer.option("mapreduce.output.basename", file_prefix)
+    writer.parquet(path)
 
 
 def ingest_csv_to_parquet(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,23 +39,30 @@ def merge_moves(
     return merged.sparkSession.read.parquet(path)
 
 
-def optimise_layout(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+def optimise_layout(
+    df: DataFrame, path: str, mode: str = "errorifexists", columns: Sequence[str] | None = None
+) -> DataFrame:
     """Write a smaller, better clustered copy of a standardised moves frame.
 
     Hours become one-byte integers and the date replaces its text. Rows are
     rebalanced by month and sorted by destination, origin and date inside each
     task, so codes run-length encode and row groups prune by place. Counts keep
-    double precision: results must not change.
+    double precision: results must not change. ``columns`` names the columns to keep
+    besides date and month; by default all stay.
     """
     narrow = standardise_moves(df) if dict(df.dtypes).get(S.MOVE_DATE_COL) != "date" else df
     if S.MOVE_MONTH_COL not in narrow.columns:
         narrow = narrow.withColumn(S.MOVE_MONTH_COL, month_number("etl_ymd"))
     narrow = narrow.withColumns(
-        {c: F.col(c).cast("tinyint") for c in ("st_time_cd", "fns_time_cd")}
+        {c: F.col(c).cast("tinyint") for c in ("st_time_cd", "fns_time_cd") if c in narrow.columns}
     ).drop("etl_ymd")
+    if columns is not None:
+        always = [c for c in (S.MOVE_DATE_COL, S.MOVE_MONTH_COL) if c not in columns]
+        narrow = narrow.select(*(c for c in columns if c != "etl_ymd"), *always)
+    order = [c for c in ("d_admdong_cd", "o_admdong_cd") if c in narrow.columns]
     (
         narrow.hint("rebalance", S.MOVE_MONTH_COL)
-        .sortWithinPartitions(S.MOVE_MONTH_COL, "d_admdong_cd", "o_admdong_cd", S.MOVE_DATE_COL)
+        .sortWithinPartitions(S.MOVE_MONTH_COL, *order, S.MOVE_DATE_COL)
         .write.mode(mode)
         .option("compression", "zstd")
         .partitionBy(S.MOVE_MONTH_COL)
