@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moveatlas import schema as S
@@ -34,7 +34,8 @@ WATCHED = (
     "AFRICA_NATION_10_Supplier#000000003",
     "MIDDLE EAST_NATION_4_Supplier#000000004",
 )
-ONE_PLACE = "AMERICA_NATION_16_Supplier#000000002"
+#: The place that single-place queries look at: the first by name with shopping or tourism rows.
+ONE_PLACE_SQL = f"FULL_NM = (SELECT min(FULL_NM) FROM m1 WHERE {Q.IN_YEAR} AND {Q.IS_SHOP_TOUR})"
 PROVINCE = "ASIA"
 DISTRICTS = (("ASIA", "NATION_2"), ("AMERICA", "NATION_11"))
 
@@ -47,6 +48,12 @@ def all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return purpose_counts(spark, sf_dir)
 
 
+def one_place_name(spark: SparkSession, sf_dir: str) -> Column:
+    """The first place by name with shopping or tourism rows, as a scalar subquery."""
+    rows = W.purposes(W.date_range(all_counts(spark, sf_dir), *YEAR), S.SHOP_TOUR)
+    return rows.agg(F.min(S.PLACE)).scalar()
+
+
 ROW = ["ETL_YMD", "TIME_CD", "MOVE_PURPOSE", S.PLACE]
 
 
@@ -351,11 +358,11 @@ def _register_indicator(number, name, cte, body, score, plan, extra):
     @query(
         f"{number}_{name}_one_place",
         Q.with_m1(
-            f"SELECT FULL_NM, round({score}, 6) AS {score} FROM {cte} WHERE FULL_NM = '{ONE_PLACE}'", body
+            f"SELECT FULL_NM, round({score}, 6) AS {score} FROM {cte} WHERE {ONE_PLACE_SQL}", body
         ),
     )
     def one_place(spark, sf_dir):
-        scores = W.region(plan(counts(spark, sf_dir), YEAR), full_nm=ONE_PLACE)
+        scores = W.region(plan(counts(spark, sf_dir), YEAR), full_nm=one_place_name(spark, sf_dir))
         return rounded(scores.select(S.PLACE, score), **{score: 6})
 
     @query(
@@ -407,11 +414,11 @@ def tourism_totals(spark, sf_dir):
     Q.with_m1(
         f"""SELECT ETL_YMD, TIME_CD, MOVE_PURPOSE, SIDO_NM, SGG_NM, FULL_NM, {", ".join(S.COUNT_COLS)},
 round(CAST(TOTAL_CNT AS DOUBLE), 2) AS TOTAL_CNT, CAST({Q.DATE} AS VARCHAR) AS ETL_DATE
-FROM m1 WHERE {Q.IN_YEAR} AND FULL_NM = '{ONE_PLACE}' AND {Q.IS_SHOP_TOUR}"""
+FROM m1 WHERE {Q.IN_YEAR} AND {ONE_PLACE_SQL} AND {Q.IS_SHOP_TOUR}"""
     ),
 )
 def place_rows(spark, sf_dir):
-    rows = visits.place_rows(counts(spark, sf_dir), YEAR, ONE_PLACE)
+    rows = visits.place_rows(counts(spark, sf_dir), YEAR, one_place_name(spark, sf_dir))
     shown = {"TOTAL_CNT": X.to_double("TOTAL_CNT"), "ETL_DATE": F.col("ETL_DATE").cast("string")}
     return rounded(rows.withColumns(shown), TOTAL_CNT=2)
 
@@ -550,9 +557,9 @@ def region(spark, sf_dir):
     return _tally(W.region(all_counts(spark, sf_dir), sido="ASIA", sgg="NATION_2"), S.PLACE)
 
 
-@query("f07_one_place", _tally_sql("MOVE_PURPOSE", f"FULL_NM = '{ONE_PLACE}'"))
+@query("f07_one_place", _tally_sql("MOVE_PURPOSE", ONE_PLACE_SQL))
 def one_place(spark, sf_dir):
-    return _tally(W.region(all_counts(spark, sf_dir), full_nm=ONE_PLACE), "MOVE_PURPOSE")
+    return _tally(W.region(all_counts(spark, sf_dir), full_nm=one_place_name(spark, sf_dir)), "MOVE_PURPOSE")
 
 
 @query("f08_place_list", _tally_sql("FULL_NM", _WATCHED_SQL))

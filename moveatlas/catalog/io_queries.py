@@ -116,7 +116,7 @@ def scan_one_file(spark, sf_dir):
 def load_needed_columns(spark, sf_dir):
     rows = all_moves(spark, sf_dir)
     paths = [scratch_path(spark, "early"), scratch_path(spark, "late")]
-    early = F.col("etl_ymd") < "19980101"
+    early = F.coalesce(F.col("etl_ymd") < "19980101", F.lit(False))
     rows.filter(early).write.parquet(paths[0])
     rows.filter(~early).write.parquet(paths[1])
     needed = C.load_columns(spark, paths, ["d_admdong_cd", "purpose_code", "total_cnt"])
@@ -150,7 +150,7 @@ FROM m2 LEFT JOIN final fd ON m2.d_admdong_cd = fd.old_cd GROUP BY 1, 2""",
 )
 def merge_moves(spark, sf_dir):
     rows = all_moves(spark, sf_dir)
-    early = F.col("etl_ymd") < "19980101"
+    early = F.coalesce(F.col("etl_ymd") < "19980101", F.lit(False))
     sources = [rows.filter(early), rows.filter(~early).drop("move_time")]
     merged = M.merge_moves(sources, code_history(spark, sf_dir), scratch_path(spark, "merged"))
     return merged.groupBy("etl_ym", "d_admdong_cd").agg(
@@ -193,3 +193,19 @@ def stored_bedtown(spark, sf_dir):
     stored = scratch_path(spark, "counts")
     C.write_by_month(C.standardise_counts(all_counts(spark, sf_dir)), stored)
     return rounded(bedtown.bedtown_top(C.scan_counts(spark, stored), Q.YEAR), RETURN_RATIO=6)
+
+
+@query(
+    "io09_optimised_columns",
+    Q.with_m2(
+        """SELECT CAST(substr(etl_ymd, 1, 6) AS INTEGER) AS etl_ym, d_admdong_cd,
+CAST(st_time_cd AS TINYINT) AS st_time_cd, count(*) AS n, sum(total_cnt) AS total_cnt FROM m2 GROUP BY 1, 2, 3"""
+    ),
+)
+def optimised_columns(spark, sf_dir):
+    """The optimised copy with three chosen columns besides date and month."""
+    chosen = ["d_admdong_cd", "st_time_cd", "total_cnt"]
+    small = M.optimise_layout(all_moves(spark, sf_dir), scratch_path(spark, "chosen"), columns=chosen)
+    return small.groupBy("etl_ym", "d_admdong_cd", "st_time_cd").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_cnt").alias("total_cnt")
+    )

@@ -15,8 +15,10 @@ from moveatlas.operators import filters as W
 from moveatlas.operators.geo import KOREA_BOUNDS, coordinate_check, transform_coordinates
 from moveatlas.operators.lookups import map_purpose, reconcile_admin_codes, unmapped_codes
 from moveatlas.operators.quality import iqr_outliers, quality_report
+from moveatlas.operators.scope import Scope
 from moveatlas.plans import flows
-from moveatlas.sources.moves import standardise_moves
+from moveatlas.session import scratch_path
+from moveatlas.sources.moves import merge_moves, standardise_moves
 from moveatlas.sources.sales_view import code_history, districts, moves, purpose_map
 
 PLACE_CODE = "5"
@@ -233,6 +235,30 @@ def quality(spark, sf_dir):
     return quality_report(all_moves(spark, sf_dir), _MEASURES)
 
 
+_KNOWN = "(SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 10 <> 9)"
+_CODE_CHECKS = [
+    ("unknown_purpose_code", "purpose_code NOT IN (SELECT purpose_code FROM pmap)"),
+    *((f"unknown_{c}", f"{c} NOT IN {_KNOWN}") for c in ("o_admdong_cd", "d_admdong_cd")),
+]
+
+
+@query(
+    "st07_code_consistency",
+    Q.with_m2(
+        "\nUNION ALL ".join(
+            f"""SELECT '{name}' AS "check", count(*) AS failures FROM m2 WHERE {test}""" for name, test in _CODE_CHECKS
+        ),
+        _MAP,
+    ),
+)
+def code_consistency(spark, sf_dir):
+    """Purposes outside the map and places outside a code list that lacks some."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 10 <> 9")
+    codes = supplier.select(F.col("s_suppkey").cast("string").alias("code"))
+    report = quality_report(all_moves(spark, sf_dir), _MEASURES, purpose_map(spark), codes)
+    return report.where(F.startswith("check", F.lit("unknown_")))
+
+
 @query(
     "st07_iqr_outliers",
     Q.with_m2(
@@ -434,3 +460,32 @@ FROM (SELECT bedtown.place, BEDTOWN_INDEX, HOT_INDEX, BEDTOWN_INDEX >= avg(BEDTO
 def bedtown_against_hotplace(spark, sf_dir):
     profile = flows.place_profile(year_moves(spark, sf_dir))
     return rounded(flows.compare_places(profile), BEDTOWN_INDEX=6)
+
+
+# --- the move pipeline ------------------------------------------------------------------
+
+
+@query(
+    "q28_move_pipeline",
+    Q.with_m2(
+        f"""SELECT *, row_number() OVER (ORDER BY visitors DESC, d_admdong_cd) AS "RANK" FROM (
+SELECT coalesce(fd.new_cd, m2.d_admdong_cd) AS d_admdong_cd, round(sum(total_cnt), 2) AS visitors,
+  CAST(count(d_x) AS DOUBLE) AS located
+FROM m2 LEFT JOIN final fd ON m2.d_admdong_cd = fd.old_cd JOIN pmap ON m2.purpose_code = pmap.purpose_code
+WHERE {_YEAR} AND isodow(strptime(etl_ymd, '%Y%m%d')) IN (6, 7) AND ({_NIGHT})
+  AND purpose IN ({Q.names(S.SHOP_TOUR)}) GROUP BY 1)""",
+        _HISTORY,
+        _MAP,
+        recursive=True,
+    ),
+)
+def move_pipeline(spark, sf_dir):
+    """Merge, reconcile, standardise, map, transform, filter by all limits, rank."""
+    rows = all_moves(spark, sf_dir)
+    early = F.coalesce(F.col("etl_ymd") < "19980101", F.lit(False))
+    sources = [rows.filter(early), rows.filter(~early).drop("move_time")]
+    merged = merge_moves(sources, code_history(spark, sf_dir), scratch_path(spark, "move-pipeline"))
+    scope = Scope.of_moves(
+        ymd=Q.YEAR, purposes=S.SHOP_TOUR, iso_days=S.SAT_SUN, bands=("night",), band_hours=flows.NIGHT_BANDS
+    )
+    return rounded(flows.scoped_ranking(merged, purpose_map(spark), scope), visitors=2)

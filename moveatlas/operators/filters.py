@@ -188,7 +188,10 @@ def iso_weekdays(df: DataFrame, days: Iterable[int], column: str = "ETL_YMD", st
 
 
 def region(
-    df: DataFrame, sido: str | None = None, sgg: str | None = None, full_nm: str | None = None
+    df: DataFrame,
+    sido: str | Column | None = None,
+    sgg: str | Column | None = None,
+    full_nm: str | Column | None = None,
 ) -> DataFrame:
     """Equality on province, district and place, as far as given."""
     for column, value in ((S.PROVINCE, sido), (S.DISTRICT, sgg), (S.PLACE, full_nm)):

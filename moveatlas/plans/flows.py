@@ -21,8 +21,11 @@ from moveatlas.functions.scalar import (
 )
 from moveatlas.operators.aggregates import band_mix, group_totals, monthly_means
 from moveatlas.operators.filters import date_of, month_of
-from moveatlas.operators.lookups import attach_lookup
+from moveatlas.operators.geo import transform_coordinates
+from moveatlas.operators.lookups import attach_lookup, map_purpose
 from moveatlas.operators.ranking import rank_rows, top_n_per_group, top_ranked
+from moveatlas.operators.scope import Scope
+from moveatlas.sources.moves import standardise_moves
 
 NIGHT_BANDS = {"night": ((18, 23), (0, 5)), "day": ((6, 17),)}
 
@@ -200,6 +203,20 @@ def visitor_ranking(moves: DataFrame, key: str = "d_admdong_cd") -> DataFrame:
     return rank_rows(totals, "visitors", key)
 
 
+def scoped_ranking(
+    moves: DataFrame, purposes: DataFrame, scope: Scope, key: str = "d_admdong_cd"
+) -> DataFrame:
+    """Merged moves, standardised, mapped, located and filtered, ranked by visitors.
+
+    ``located`` counts the moves whose destination has degrees.
+    """
+    mapped = map_purpose(standardise_moves(moves), purposes)
+    inside = scope.apply(transform_coordinates(mapped, ("d",)))
+    has_place = F.col("d_lon").isNotNull().cast("double")
+    totals = group_totals(inside, key, {"visitors": "total_cnt", "located": has_place})
+    return rank_rows(totals, "visitors", key)
+
+
 def district_ranking(moves: DataFrame, districts: DataFrame) -> DataFrame:
     """All districts by total visitors, ranked.
 

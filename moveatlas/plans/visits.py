@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moveatlas import schema as S
@@ -63,7 +63,7 @@ def tourism_totals(counts: DataFrame, period: scopes.Period, key: str = S.PLACE)
 def place_rows(
     counts: DataFrame,
     period: scopes.Period,
-    place: str,
+    place: str | Column,
     purposes: tuple[str, ...] = S.SHOP_TOUR,
 ) -> DataFrame:
     """All rows of one place for the chosen purposes, with the parsed date."""

@@ -44,3 +44,25 @@ def test_query_equals_its_sql(spark, small, con, name):
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_query_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
+
+
+ORDERED = [
+    ("k01_sort_descending", "total", True),
+    ("k02_sort_ascending", "total", False),
+]
+
+
+@pytest.mark.parametrize("name,column,descending", ORDERED)
+def test_sorted_queries_return_sorted_rows(spark, small, name, column, descending):
+    values = [r[column] for r in QUERIES[name](spark, small).collect()]
+    assert len(set(values)) > 1
+    assert values == sorted(values, reverse=descending)
+
+
+@pytest.mark.parametrize("name", ["f07_one_place", "q18_place_rows"])
+def test_single_place_queries_find_rows(spark, small, name):
+    assert QUERIES[name](spark, small).count() > 0
+
+
+def test_preview_shows_rows_of_the_frame(spark, small):
+    assert 0 < QUERIES["k05_preview"](spark, small).count() <= 50

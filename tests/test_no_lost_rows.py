@@ -5,9 +5,12 @@ from conftest import count_row
 from pyspark.sql import functions as F
 
 from moveatlas import schema as S
+from moveatlas.functions.scalar import time_band
+from moveatlas.operators import aggregates as A
 from moveatlas.operators import filters as W
 from moveatlas.operators.lookups import ABOLISHED, reconcile_admin_codes
 from moveatlas.plans import flows
+from moveatlas.sources import counts as C
 from moveatlas.sources.counts import standardise_counts
 from moveatlas.sources.sales_view import districts, moves
 from moveatlas.streaming.ingest import ingest_new_files
@@ -78,3 +81,45 @@ def test_stream_rejects_a_header_in_another_order(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)header"):
         stream.awaitTermination(60)
         raise stream.exception() or AssertionError("no error")
+
+
+def test_batch_append_into_a_streamed_folder_is_read(spark, counts, tmp_path):
+    src, dst, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    counts({"ymd": "20240105"}).coalesce(1).write.option("header", True).csv(src)
+    ingest_new_files(spark, src, dst, progress).awaitTermination()
+    C.write_by_month(C.standardise_counts(counts({"ymd": "20240106"})), dst, "append")
+    assert C.scan_counts(spark, dst).count() == 2
+
+
+def test_a_repeated_batch_does_not_double_its_rows(spark, counts, tmp_path):
+    src, dst, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    counts({"ymd": "20240105"}).coalesce(1).write.option("header", True).csv(src)
+    ingest_new_files(spark, src, dst, progress).awaitTermination()
+    (tmp_path / "progress" / "commits" / "0").unlink()
+    (tmp_path / "progress" / "commits" / ".0.crc").unlink(missing_ok=True)
+    ingest_new_files(spark, src, dst, progress).awaitTermination()
+    assert C.scan_counts(spark, dst).count() == 1
+
+
+def test_first_band_of_an_hour_counts_and_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "hours")
+    frame = spark.range(26).select(F.when(F.col("id") < 24, F.col("id")).cast("tinyint").alias("st_time_cd"))
+    frame.write.parquet(path)
+    bands = {"a": [(20, 23), (0, 3)], "b": [(2, 6), (22, 23)], "c": [(5, 30)]}
+    stored = spark.read.parquet(path)
+    for name in (*bands, "none"):
+        got = W.in_time_bands(stored, bands, [name])
+        want = stored.filter(time_band("st_time_cd", bands) == name)
+        assert sorted(got.collect()) == sorted(want.collect())
+    plan = W.in_time_bands(stored, bands, ["b"])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(st_time_cd,4)" in plan
+
+
+def test_quantiles_window_only_over_wanted_partitions(spark):
+    stats = A.summary_stats(spark.range(1000).select(F.col("id").cast("double").alias("v")), "v")
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.index("Window [sum(copies")
+    assert "Join Inner" in plan[top:] and "start" in plan[top:]
+    assert tuple(stats.first()) == (499.5, 499.5, 0.0, 999.0, 250.0, 749.0)
+    empty = A.summary_stats(spark.createDataFrame([], "v double"), "v")
+    assert tuple(empty.first()) == (None,) * 6
