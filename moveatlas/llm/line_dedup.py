@@ -8,8 +8,10 @@ ends; blank lines are never counted or dropped.
 
 Lines travel as two independent 64-bit hashes with their site; a line on many pages
 shrinks to one row per task and page text before it is counted by key. A site's list
-of dropped lines holds at most (lines per page / ratio) entries, and the lists are
-broadcast only if their counted rows stay within a bound; else they are joined.
+of dropped lines holds at most (lines per page / ratio) entries. The lists are
+broadcast only if all their lines together stay within ``max_lines``; beyond it they
+are joined in ``SALTS`` copies, so that the pages of one large site are dealt over as
+many tasks. Both ways drop the same lines.
 
 Defined cases: a null text stays null and is no page; an empty text has one blank
 line; a null site is a site of its own; repeated rows are copies of a page.
@@ -20,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moveatlas.llm.text import let, stored, with_hint
+from moveatlas.llm.text import BROADCAST_ROWS, let, stored, with_hint
 
 RATIO = 0.05
 MIN_PAGES = 10
+SALTS = 64
 
 
 def _codes(text: Column) -> Column:
@@ -53,8 +56,24 @@ def boilerplate_lines(
     return over.groupBy(F.col("o.site").alias("site")).agg(F.collect_list("line").alias("dropped"))
 
 
+def _with_lists(d: DataFrame, found: DataFrame, site: str, text: str, max_lines: int) -> DataFrame:
+    """``d`` (alias d) with the list of its site (alias f)."""
+    same = F.col(f"d.{site}").eqNullSafe(F.col("f.site"))
+    if (found.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= max_lines:
+        return d.join(F.broadcast(found).alias("f"), same, "left")
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = F.pmod(F.xxhash64(F.col(f"d.{text}")), F.lit(SALTS)).cast("int")
+    return d.join(salted.alias("f"), same & (dealt == F.col("f.salt")), "left")
+
+
 def drop_boilerplate(
-    docs: DataFrame, *, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame,
+    *,
+    site: str = "source",
+    text: str = "text",
+    ratio: float = RATIO,
+    min_pages: int = MIN_PAGES,
+    max_lines: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut from the text, plus n_lines and n_dropped.
 
@@ -62,7 +81,7 @@ def drop_boilerplate(
     """
     found = stored(boilerplate_lines(docs, site=site, text=text, ratio=ratio, min_pages=min_pages), "boilerplate")
     d = docs.drop("n_lines", "n_dropped").alias("d")
-    joined = d.join(with_hint(found).alias("f"), F.col(f"d.{site}").eqNullSafe(F.col("f.site")), "left")
+    joined = _with_lists(d, found, site, text, max_lines)
     lines = F.split(F.col(f"d.{text}"), "\n")
     dropped = F.col("f.dropped")
     kept = F.filter(

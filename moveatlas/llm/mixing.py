@@ -162,7 +162,8 @@ def mix_sources(
     joined = d.join(p, F.col(f"d.{source}").eqNullSafe(F.col("p.source")), "left")
     h = F.col("d.mix_hash")
     extra = (h < F.col("p.threshold")) | ((h == F.col("p.threshold")) & F.col("p.take_equal"))
-    copies = F.col("p.passes") + F.coalesce(extra, F.lit(False)).cast("long")
+    drawn = F.col("p.passes") + F.coalesce(extra, F.lit(False)).cast("long")
+    copies = F.least(drawn, F.lit(max_repeats).cast("long"))
     return joined.select(
         "d.*", "p.source_size", "p.target", copies.alias("copies"),
         (copies * F.col("d.size")).alias("taken"),

@@ -106,7 +106,7 @@ def test_mixing_targets_and_threshold(docs, empty):
     assert len(rows) == docs.count()
     by_source = {}
     for r in rows:
-        assert r.size == len(words_of(r.text)) and r.taken <= 3 * r.size
+        assert r.size == len(words_of(r.text)) and r.taken <= 3 * r.size and r.copies <= 3
         by_source.setdefault(r.source, []).append(r)
     sizes = {s: sum(r.size for r in v) for s, v in by_source.items()}
     names = sorted(x for x in sizes if x is not None) + [None]
@@ -276,15 +276,17 @@ def test_pivot_links_connect_all_close_pairs(spark, cut):
     assert {frozenset(v) for v in found.values()} == pairs
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_line_dedup(spark, bound):
     rows = [(i, f"page {i}\n  Shared line \n\nend {i}", "a") for i in range(20)] + [(20, "Shared line", "b"), (21, None, "a"), (22, "", None)]
     rows += [(30 + i, "copied page\nsecond", "c") for i in range(30)]
     frame = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, n_lines int")
-    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(frame).collect()}
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(frame, max_lines=bound).collect()}
+    assert len(got) == len(rows)
     assert got[3].text == "page 3\n\nend 3" and (got[3].n_lines, got[3].n_dropped) == (4, 1)
     assert got[20].text == "Shared line" and got[21].text is None and got[22].text == ""
     assert got[35].text == "copied page\nsecond"
-    assert line_dedup.drop_boilerplate(frame.limit(0)).count() == 0
+    assert line_dedup.drop_boilerplate(frame.limit(0), max_lines=bound).count() == 0
 
 
 def luhn_ok(digits):
