@@ -511,6 +511,27 @@ def mart_bedtown(spark, sf_dir):
     return rounded(mart.bedtown_from_mart(totals), RETURN_RATIO=6)
 
 
+def _register_from_mart(name, plan, column, digits, *parts):
+    @query(
+        f"mart_{name}",
+        Q.with_m1(f"SELECT FULL_NM, round({column}, {digits}) AS {column} FROM {parts[0]}", *parts[1:]),
+    )
+    def from_mart(spark, sf_dir):
+        totals = mart.indicator_mart(counts(spark, sf_dir), YEAR, S.PLACE)
+        return rounded(plan(totals).select(S.PLACE, column), **{column: digits})
+
+
+_register_from_mart("hotness", mart.hotness_from_mart, "ANNUAL_HOTNESS", 4, "annual", Q.HOT_ROWS, _ANNUAL)
+for _number, _plan in (
+    ("q15", mart.young_ratio_from_mart),
+    ("q16", mart.young_shop_tour_from_mart),
+    ("q20", mart.women_share_from_mart),
+    ("q22", mart.teens_twenties_from_mart),
+):
+    _name, _cte, _body, _score = _INDICATORS[_number][:4]
+    _register_from_mart(_name, _plan, _score, 6, _cte, _body)
+
+
 # --- single filters --------------------------------------------------------------
 
 
