@@ -15,7 +15,7 @@ neighbouring strings of one bucket travel as one run:
    batch are settled before the shuffle: a passage that a third of all documents hold
    leaves each batch once.
 2. Where a bucket holds runs of different content that agree on one side of the bucket
-   string, as runs that share a string must, the first run of each content is refined to its single 50-byte strings: the bytes of these runs are sent to their
+   string, as runs that share a string must (or hold theirs twice), the first run of each content is refined to its single 50-byte strings: the bytes of these runs are sent to their
    bucket's partition and sorted there by the full identifiers (128 bits); the smallest
    document of each string keeps it.
 
@@ -48,7 +48,7 @@ SIDE = (LENGTH - GRAM) // 2
 SLICE_BYTES = 2_000_000
 #: Documents that a task works on at a time.
 ROWS = 500
-RUN, REMOVED = 0, 1
+RUN, REMOVED, TWICE = 0, 1, 2
 CHUNKS = "part int, rows binary"
 RUNS = "bucket int, content long, doc long, start int, stop int, left short, right short, kind byte"
 SPANS = "bucket int, doc long, start int, stop int, left short, right short, kind byte"
@@ -79,15 +79,17 @@ def scattered(buckets: np.ndarray) -> np.ndarray:
 
 
 def runs(raw: bytes) -> tuple[np.ndarray, ...]:
-    """Bucket, first and last start, left and right side of every run of 50-byte strings.
+    """Bucket, first and last start, left and right side, kind of every run of 50-byte strings.
 
-    All strings of a run hold one place of its 20-byte bucket string. Whatever two runs
-    share holds 15 more bytes left or right of that place; a side is the 16-byte identifier
-    there cut to 1..30000, and 0 if no string of the run reaches that far.
+    All strings of a run hold one place of its 20-byte bucket string. What two runs share
+    holds 15 more bytes left or right of that place; a side is the 16-byte identifier
+    there cut to 1..30000, and 0 if no string of the run reaches that far. A string that
+    holds its bucket string more than once can have another place in another run, so
+    runs with such a string are of kind TWICE and need not agree on a side.
     """
     if len(raw) < LENGTH:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none, none
+        return none.astype(np.uint64), none, none, none, none, none
     by_16 = grams(np.frombuffer(raw, np.uint8), ODD[0])
     buckets = scattered(refine(by_16, GRAM - 16, ODD[0]))
     width, low = LENGTH - GRAM + 1, buckets
@@ -111,7 +113,12 @@ def runs(raw: bytes) -> tuple[np.ndarray, ...]:
     left = np.where(place - first >= SIDE, sides[np.maximum(place - SIDE, 0)], 0)
     reach = last + LENGTH - place - GRAM >= SIDE
     right = np.where(reach, sides[np.minimum(place + GRAM - 1, len(sides) - 1)], 0)
-    return low[first], first, last, left, right
+    kind = np.full(len(first), RUN)
+    for by in (*range(1 - width, 0), *range(1, width)):
+        other = place + by
+        inside = (other >= first) & (other < last + width)
+        kind[inside & (buckets[np.where(inside, other, place)] == low[first])] = TWICE
+    return low[first], first, last, left, right, kind
 
 
 def strings(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +229,7 @@ def slice_runs(docs: list[int], texts: list[bytes]) -> Rows:
     """Runs of some documents; of equal runs only those of the smallest document, the
     others as settled intervals."""
     parts = [runs(raw) for raw in texts]
-    bucket, first, last, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+    bucket, first, last, left, right, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
     sizes = [len(x[0]) for x in parts]
     content = np.empty(len(bucket), np.uint64)
     digest, at, begins, ends = xxhash.xxh64_intdigest, 0, first.tolist(), (last + LENGTH).tolist()
@@ -233,6 +240,7 @@ def slice_runs(docs: list[int], texts: list[bytes]) -> Rows:
         "bucket": (bucket >> np.uint64(32)).astype(np.uint32), "content": content,
         "doc": np.repeat(np.array(docs, np.int64), sizes), "start": first.astype(np.int32),
         "stop": (last + LENGTH).astype(np.int32), "left": left.astype(np.int16), "right": right.astype(np.int16),
+        "kind": kind.astype(np.int8),
     }
     order = np.lexsort((rows["doc"], content))
     rows = {k: v[order] for k, v in rows.items()}
@@ -240,12 +248,11 @@ def slice_runs(docs: list[int], texts: list[bytes]) -> Rows:
     new = np.concatenate([[True], content[1:] != content[:-1]])[: len(content)]
     own = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     gone = settled_here(doc[~own], rows["start"][~own], rows["stop"][~own])
-    settled = {k: np.zeros(len(gone), kind) for k, kind in FIELDS.items()}
+    settled = {k: np.zeros(len(gone), of) for k, of in FIELDS.items()}
     for name in ("doc", "start", "stop", "kind"):
         settled[name] = gone[name].to_numpy()
     settled["bucket"] = spread(gone).astype(np.uint32)
-    rows["kind"] = np.zeros(len(doc), np.int8)
-    return {k: np.concatenate([rows[k][own], settled[k]]).astype(kind) for k, kind in FIELDS.items()}
+    return {k: np.concatenate([rows[k][own], settled[k]]).astype(of) for k, of in FIELDS.items()}
 
 
 def run_sender(n_parts: int):
@@ -320,7 +327,7 @@ def read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 waiting = None
             elif place[-1] > 0:
                 waiting = None
-        out = batch[["bucket", "doc", "start", "stop", "left", "right"]].assign(kind=np.where(own, RUN, REMOVED).astype(np.int8))
+        out = batch[["bucket", "doc", "start", "stop", "left", "right"]].assign(kind=np.where(own, batch["kind"], REMOVED).astype(np.int8))
         yield out[~own | several]
         last = place == place[-1]
         if not several[-1]:
@@ -431,12 +438,14 @@ def by_document(spans: DataFrame, name: str, *fields: str) -> DataFrame:
 
 
 def open_runs(several: DataFrame, n: int) -> DataFrame:
-    """Runs with another of their bucket that agrees on a side."""
-    runs = several.where(F.col("kind") == RUN).repartition(n, "bucket")
+    """Runs with another of their bucket that agrees on a side, or both of kind TWICE."""
+    runs = several.where(F.col("kind") != REMOVED).repartition(n, "bucket")
     for side in ("left", "right"):
         same = F.count("*").over(Window.partitionBy("bucket", side))
         runs = runs.withColumn(f"n_{side}", F.when(F.col(side) > 0, same).otherwise(0))
-    return runs.where((F.col("n_left") > 1) | (F.col("n_right") > 1))
+    same = F.count("*").over(Window.partitionBy("bucket", "kind"))
+    runs = runs.withColumn("n_twice", F.when(F.col("kind") == TWICE, same).otherwise(0))
+    return runs.where((F.col("n_left") > 1) | (F.col("n_right") > 1) | (F.col("n_twice") > 1))
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
