@@ -1,8 +1,8 @@
 r"""HTML main text by the best-scoring contiguous region of a page.
 
 A page is read as a sequence of words and tags. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments are known by element or by the
-words of class, id and role, and their words score nothing. Every other word scores
+notices, adverts, forms, scripts, styles and comments are known by element or by a whole
+class, id or role, and their words score nothing, unless the article is among them. Every other word scores
 positive and every tag negative, by log-odds from labelled pages: pages with exactly
 one ``article`` or ``main`` element, whose inside is content. Words of links are weighed on their own and may score negative. One linear scan finds the
 contiguous run of blocks with the highest score; its words are the main text.
@@ -34,13 +34,14 @@ from moveatlas.llm.text import ship
 MAX_LABELLED = 2000
 DEFAULT_WORD, DEFAULT_LINK, DEFAULT_TAG = 1.0, -0.25, -0.05
 #: Element names by their part in a page.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object"}
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg"}
 UNSEEN = {"script", "style", "noscript", "template", "meta", "link"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q "
-    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split()
+    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br "
+    "math mfrac mi mn mo mover mrow ms msqrt mstyle msub msubsup msup mtext munder semantics".split()
 )
 CONTENT = {"article", "main"}
 #: Words in class, id and role attributes that mark boilerplate.
@@ -61,6 +62,11 @@ ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""
 NAMES = re.compile(r"[a-z]+")
 
 
+def _says(value: str, marks: set[str]) -> bool:
+    """Whether one whole class, id or role consists of ``marks``: cookie-banner, not no-sidebar."""
+    return any((found := NAMES.findall(token)) and marks.issuperset(found) for token in value.lower().strip("\"'").split())
+
+
 @dataclass
 class Block:
     """The words of one block of a page, and the tags since the block before."""
@@ -81,15 +87,33 @@ def _is_marked(name: str, attributes: str, in_content: bool) -> bool:
     if not attributes or name in CONTENT or name in ("html", "body"):
         return False
     for value in ATTRIBUTE.findall(attributes):
-        found = set(NAMES.findall(value.lower()))
-        if found & MARKED or (not in_content and found & OUTSIDE_ONLY):
+        if _says(value, MARKED if in_content else MARKED | OUTSIDE_ONLY):
             return True
     return False
 
 
 def read_blocks(page: str) -> list[Block]:
-    """Blocks in page order, ending with one that holds the last tags."""
+    """Blocks in page order, ending with one that holds the last tags.
+
+    If no article or main would be left, the marked elements that hold one are spared,
+    as are marked ones and forms that hold over half of the words of the page.
+    """
+    blocks, held = _read(page, set())
+    if any(b.kept and b.inside for b in blocks):
+        return blocks
+    total = sum(b.n_words for b in blocks)
+    spared = {
+        at for at, (name, n, inside) in held.items()
+        if inside or (2 * n > total and (name == "form" or name not in BOILERPLATE))
+    }
+    return _read(page, spared)[0] if spared else blocks
+
+
+def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, tuple[str, int, bool]]]:
+    """Blocks; by place of each dropped element its name, words and whether they have content."""
     blocks: list[Block] = []
+    held: dict[int, tuple[str, int, bool]] = {}
+    opened: list[int] = []
     stack: list[tuple[str, bool, bool]] = []
     pieces: list[str] = []
     tags: list[str] = []
@@ -109,6 +133,9 @@ def read_blocks(page: str) -> list[Block]:
             n = text.count(" ") + 1
             blocks.append(Block(text, n, min(n, linked), tags[:], not dropped, content > 0))
             tags.clear()
+            for place in opened:
+                of, words, inside = held[place]
+                held[place] = (of, words + n, inside or content > 0)
         linked = 0
 
     def pop_to(depth: int) -> None:
@@ -116,6 +143,8 @@ def read_blocks(page: str) -> list[Block]:
         while len(stack) > depth:
             name, drop, inside = stack.pop()
             dropped -= drop
+            if drop:
+                opened.pop()
             content -= inside
             links -= name == "a"
 
@@ -137,7 +166,7 @@ def read_blocks(page: str) -> list[Block]:
             add(" ")
         elif name not in INLINE and name not in UNSEEN:
             flush()
-        drop = not closing and _is_marked(name, m[3] or "", content > 0)
+        drop = not closing and m.start() not in spared and _is_marked(name, m[3] or "", content > 0)
         if not dropped and not drop and name not in RAW:
             tags.append(name)
         if name == "br":
@@ -169,13 +198,15 @@ def read_blocks(page: str) -> list[Block]:
                     break
         if drop:
             flush()
+            opened.append(m.start())
+            held[m.start()] = (name, 0, False)
         stack.append((name, drop, name in CONTENT))
         dropped += drop
         links += name == "a"
         content += name in CONTENT
     flush()
     blocks.append(Block("", 0, 0, tags[:], False, False))
-    return blocks
+    return blocks, held
 
 
 def tag_kind(name: str) -> str:
