@@ -8,7 +8,7 @@ however they are punctuated. Mail addresses become keyed tokens.
 
 * 13 to 19 digits: all digits but the last are permuted and the last keeps its
   distance to the Luhn digit, so valid numbers stay valid and others invalid.
-* IBAN with a numeric account: the account is permuted, the check digits are made new
+* IBAN with a numeric account of up to 30 digits: the account is permuted, the check digits are made new
   for a valid one; an invalid one is left alone.
 * Phone numbers: the last ten digits are permuted, the country code stays.
 * IPv4: permuted among all addresses; with a part above 255 left alone.
@@ -30,16 +30,22 @@ from moveatlas.llm.text import let
 ROUNDS = 8
 DAYS_LEFT, DAYS_RIGHT = 365, 200
 ORIGIN = "1900-01-01"
+#: Digits of the account by country, where it is numeric; other countries take 10 to 30.
+IBAN_DIGITS = {
+    11: "NO", 12: "BE", 14: "DK|FI|FO|GL", 15: "MK|SI", 16: "AT|BA|EE|LT|LU|XK", 17: "CH|HR|LI", 18: "DE|ME|RS|VA",
+    19: "AE|IL|TL", 20: "AD|CZ|ES|SE|SK|TN", 21: "PT", 22: "IS|TR", 23: "FR|GR|MC|MR", 24: "AL|CY|HU|LB|PL", 25: "EG",
+}
+_KNOWN = "|".join(rf"(?:{of})\d{{2}}(?: ?\d){{{n}}}" for n, of in IBAN_DIGITS.items())
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d){10,18}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_KNOWN}|[A-Z]{{2}}\d{{2}}(?: ?\d){{10,30}}+(?! ?\d))(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d)",
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "account": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(PATTERNS.values())
-POWERS = [10**i for i in range(11)]
+POWERS = [10**i for i in range(16)]
 
 
 def _noise(key: str, label: str, turn: int, value: Column, modulus: Column) -> Column:
@@ -72,7 +78,7 @@ def feistel(left: Column, right: Column, left_size: Column, right_size: Column,
 
 
 def permute_digits(digits: Column, key: str, label: str) -> Column:
-    """A string of 2 to 20 digits permuted among the strings of its length."""
+    """A string of 2 to 30 digits permuted among the strings of its length."""
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
     powers = F.array(*[F.lit(p).cast("long") for p in POWERS])
