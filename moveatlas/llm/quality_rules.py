@@ -210,7 +210,7 @@ def labelled_stats(
     """Features and labels (True: bad) of at most ``max_labelled`` documents.
 
     The sample is the labelled documents with the smallest id hashes, whatever the
-    size of the tables.
+    size of the tables; of rows that share an id the smallest text counts.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     chosen = (
@@ -218,8 +218,9 @@ def labelled_stats(
         .orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
     )
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")
+    rows = rows.groupBy("__id", "__label").agg(F.min("text").alias("text"))
     rows = with_stats(rows).select("__id", "__label", *[c.alias(k) for k, c in features().items()])
-    found = rows.limit(2 * max_labelled).toPandas().sort_values(["__id", *FEATURES])
+    found = rows.toPandas().sort_values(["__id", *FEATURES])
     return {k: found[k].to_numpy(float) for k in FEATURES}, (found["__label"].to_numpy(int) == 0)
 
 
