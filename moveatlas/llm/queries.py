@@ -9,12 +9,15 @@ from moveatlas.llm import (
     chat_format,
     decontaminate,
     html_extract,
+    lexical_search,
     line_dedup,
     mixing,
     pseudonyms,
     quality_rules,
+    secret_scan,
     simhash,
     suffix_dedup,
+    token_alignment,
     url_filter,
 )
 from moveatlas.llm.text import stored
@@ -101,6 +104,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.rank_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document stands for a repository of its own, its source for the owner."""
+    found = secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied"
+    )
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_chat_format": op2_chat_format,
@@ -112,4 +132,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_secret_scan": op13_secret_scan,
 }
