@@ -26,9 +26,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -52,15 +51,19 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Vocabulary(NamedTuple):
-    """Every id's bytes, number of bytes and decimal text."""
+    """Every id's bytes, number of bytes, and its decimal text with what follows it.
+
+    ``written`` holds ``id,`` at twice the id and ``id`` with the closing sign behind it.
+    """
 
     parts: list[bytes]
-    sizes: list[int]
-    names: list[str]
+    sizes: np.ndarray
+    written: list[str]
 
 
-def vocabulary(parts: list[bytes]) -> Vocabulary:
-    return Vocabulary(parts, [len(p) for p in parts], [str(i) for i in range(len(parts))])
+def vocabulary(parts: list[bytes], close: str) -> Vocabulary:
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return Vocabulary(parts, sizes, [f"{i}{sign}" for i in range(len(parts)) for sign in (",", close)])
 
 
 def byte_letters() -> dict[str, int]:
@@ -97,29 +100,34 @@ class Pair:
         for word, i in words.items():
             whole = all(c in letters for c in word)
             parts[i] = bytes(letters[c] for c in word) if whole else word.encode("utf-8")
-        self.of_a = vocabulary(parts)
+        self.of_a = vocabulary(parts, "|")
         self.fast = fast_tokenizer(f"{folder}/{FILE_A}", parts)
         self.b = SentencePieceProcessor(model_file=f"{folder}/{FILE_B}")
-        self.of_b = vocabulary([piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())])
+        pieces = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
+        self.of_b = vocabulary(pieces, ";")
+        self.written = self.of_a.written + self.of_b.written
 
     def ids_a(self, text: str) -> list[int]:
         if self.fast is None or len(text) >= LONG_TEXT:
             return self.a.encode(f" {text}", add_special_tokens=False).ids
         return self.fast.encode_ordinary(f" {text}")
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A and B; none where a tokenizer does not give back the bytes."""
         if not text:
-            return [], []
+            return NO_IDS, NO_IDS
         whole = f" {text}".encode()
         ids_a, ids_b = self.ids_a(text), self.b.encode(text, num_threads=1)
         for known, ids in ((self.of_a, ids_a), (self.of_b, ids_b)):
             if b"".join(map(known.parts.__getitem__, ids)) != whole:
-                return [], []
-        return ids_a, ids_b
+                return NO_IDS, NO_IDS
+        return np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+
+    def cut(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return slices(self.of_a.sizes[ids_a], self.of_b.sizes[ids_b])
+
 
-    def cut(self, ids_a: list[int], ids_b: list[int]) -> tuple[list[int], list[int]]:
-        return slices(map(self.of_a.sizes.__getitem__, ids_a), map(self.of_b.sizes.__getitem__, ids_b))
+NO_IDS = np.zeros(0, np.int64)
 
 
 def fast_tokenizer(path: str, parts: list[bytes]):
@@ -144,39 +152,40 @@ def tokenizers_of(folder: str) -> Pair:
     return Pair(folder)
 
 
-def end_index(sizes: Iterable[int]) -> dict[int, int]:
+def end_index(sizes: np.ndarray) -> dict[int, int]:
     """From every cumulative byte end to the index behind the last token that ends there."""
-    return {end: i for i, end in enumerate(accumulate(sizes), 1)}
+    return dict(zip(np.cumsum(sizes).tolist(), range(1, len(sizes) + 1), strict=True))
 
 
-def slices(sizes_a: Iterable[int], sizes_b: Iterable[int]) -> tuple[list[int], list[int]]:
-    """Indices behind every group in A and in B; the keys of an end index are in order."""
+def slices(sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices behind every group in A and in B."""
     by_a, by_b = end_index(sizes_a), end_index(sizes_b)
-    common = [end for end in by_a if end in by_b]
-    return [by_a[e] for e in common], [by_b[e] for e in common]
+    common = sorted(by_a.keys() & by_b.keys())
+    n = len(common)
+    return tuple(np.fromiter(map(by.__getitem__, common), np.int64, n) for by in (by_a, by_b))
 
 
-def _written(names: list[str], ids: list[int], cuts: list[int]) -> list[str]:
-    shown = [names[i] for i in ids]
-    starts = [0, *cuts[:-1]]
-    return [shown[a] if b - a == 1 else ",".join(shown[a:b]) for a, b in zip(starts, cuts, strict=True)]
+def groups_text(pair: Pair, ids_a: np.ndarray, ids_b: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: every group's tokens of A, then of B, each with what follows it."""
+    cuts_a, cuts_b = cuts
+    before_a, before_b = np.concatenate([[0], cuts_a[:-1]]), np.concatenate([[0], cuts_b[:-1]])
+    code_a, code_b = 2 * ids_a, 2 * (ids_b + len(pair.of_a.parts))
+    code_a[cuts_a - 1] += 1
+    code_b[cuts_b - 1] += 1
+    order = np.empty(len(ids_a) + len(ids_b), np.int64)
+    order[np.arange(len(ids_a)) + np.repeat(before_b, cuts_a - before_a)] = code_a
+    order[np.arange(len(ids_b)) + np.repeat(cuts_a, cuts_b - before_b)] = code_b
+    return "".join(map(pair.written.__getitem__, order.tolist()))[:-1]
 
 
-def groups_digest(pair: Pair, ids_a: list[int], ids_b: list[int], cuts: tuple[list[int], list[int]]) -> str:
-    """SHA-256 of ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
-    if not ids_a:
-        return ""
-    left = _written(pair.of_a.names, ids_a, cuts[0])
-    right = _written(pair.of_b.names, ids_b, cuts[1])
-    text = ";".join(map("|".join, zip(left, right, strict=True)))
-    return hashlib.sha256(text.encode("ascii")).hexdigest()
+def groups_digest(pair: Pair, ids_a: np.ndarray, ids_b: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> str:
+    """SHA-256 of the groups as text; empty without tokens."""
+    return hashlib.sha256(groups_text(pair, ids_a, ids_b, cuts).encode("ascii")).hexdigest() if len(ids_a) else ""
 
 
-def linked_pairs(ids_a: list[int], ids_b: list[int], cuts: tuple[list[int], list[int]]) -> np.ndarray:
+def linked_pairs(ids_a: np.ndarray, ids_b: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """One code per link: A's id in the upper 32 bits, B's below."""
-    a = np.array(ids_a, np.int64)[np.array(cuts[0], np.int64) - 1]
-    b = np.array(ids_b, np.int64)[np.array(cuts[1], np.int64) - 1]
-    return (a << 32) | b
+    return (ids_a[cuts[0] - 1] << 32) | ids_b[cuts[1] - 1]
 
 
 ENCODED = {
@@ -193,7 +202,7 @@ ENCODED = {
 def encoded_row(pair: Pair, text: str | None) -> tuple:
     """A document's values of ``ENCODED``."""
     ids_a, ids_b = pair.encode(text)
-    if not ids_a:
+    if not len(ids_a):
         return 0, 0, 0, 0, "", [], []
     cuts = pair.cut(ids_a, ids_b)
     codes, times = np.unique(linked_pairs(ids_a, ids_b, cuts), return_counts=True)
