@@ -12,14 +12,15 @@ from moveatlas.functions.geo import EPSG_5179 as GRID
 from moveatlas.functions.geo import WEB_MERCATOR_RADIUS
 from moveatlas.functions.scalar import time_band, to_int
 from moveatlas.operators import filters as W
+from moveatlas.operators.code_history import recode_over_time
 from moveatlas.operators.geo import KOREA_BOUNDS, coordinate_check, transform_coordinates
 from moveatlas.operators.lookups import map_purpose, reconcile_admin_codes, unmapped_codes
 from moveatlas.operators.quality import iqr_outliers, quality_report
 from moveatlas.operators.scope import Scope
-from moveatlas.plans import flows
+from moveatlas.plans import flows, round_trips, stays
 from moveatlas.session import scratch_path
 from moveatlas.sources.moves import merge_moves, standardise_moves
-from moveatlas.sources.sales_view import code_history, districts, moves, purpose_map
+from moveatlas.sources.sales_view import code_history, dated_code_history, districts, moves, purpose_map
 
 PLACE_CODE = "5"
 BANDS = S.BAND_COLS
@@ -142,6 +143,69 @@ def reconciled_shuffled(spark, sf_dir):
     return _pairs(reconcile_admin_codes(all_moves(spark, sf_dir), history, max_bytes=0))
 
 
+_DATED_HISTORY = """dated AS (
+SELECT CAST(s_suppkey AS VARCHAR) AS old_cd, until, share,
+  coalesce(CAST(s_suppkey - s_suppkey % 10 + new_digit AS VARCHAR), 'abolished') AS new_cd
+FROM supplier JOIN (VALUES (3, '19970701', 4, 1.0), (4, '19970901', 5, 0.25), (4, '19970901', 6, 0.75),
+  (6, '19960101', 8, 1.0), (6, '19980601', 7, 1.0), (7, '19970701', 5, 1.0), (8, '19970801', NULL, 1.0),
+  (8, '19990101', 9, 1.0)) AS c(digit, until, new_digit, share) ON s_suppkey % 10 = digit),
+edge AS (
+SELECT h.*, (SELECT min(x.until) FROM dated x WHERE x.old_cd = h.new_cd AND x.until > h.until) AS next FROM dated h),
+walk AS (
+SELECT old_cd, until, new_cd, next, CAST(share AS DOUBLE) AS share FROM edge
+UNION ALL SELECT walk.old_cd, walk.until, edge.new_cd, edge.next, walk.share * edge.share
+FROM walk JOIN edge ON walk.new_cd = edge.old_cd AND walk.next = edge.until),
+goal AS (SELECT old_cd, until, new_cd, sum(share) AS share FROM walk WHERE next IS NULL GROUP BY ALL),
+span AS (SELECT old_cd, until, lag(until) OVER (PARTITION BY old_cd ORDER BY until) AS since
+FROM (SELECT DISTINCT old_cd, until FROM dated)),
+target AS (SELECT goal.*, since FROM goal JOIN span USING (old_cd, until)),
+recoded AS (
+SELECT coalesce(o.new_cd, o_admdong_cd) AS o_admdong_cd, coalesce(d.new_cd, d_admdong_cd) AS d_admdong_cd,
+  total_cnt * coalesce(o.share, 1.0) * coalesce(d.share, 1.0) AS total_cnt,
+  "2030_cnt" * coalesce(o.share, 1.0) * coalesce(d.share, 1.0) AS "2030_cnt"
+FROM m2
+LEFT JOIN target o ON o_admdong_cd = o.old_cd AND etl_ymd < o.until AND (o.since IS NULL OR etl_ymd >= o.since)
+LEFT JOIN target d ON d_admdong_cd = d.old_cd AND etl_ymd < d.until AND (d.since IS NULL OR etl_ymd >= d.since))"""
+_RECODED_PAIRS = """SELECT o_admdong_cd, d_admdong_cd, count(*) AS parts, sum(total_cnt) AS total_cnt,
+sum("2030_cnt") AS "2030_cnt" FROM recoded GROUP BY 1, 2"""
+
+
+def _recoded_pairs(spark, sf_dir, **options) -> DataFrame:
+    recoded = recode_over_time(all_moves(spark, sf_dir), dated_code_history(spark, sf_dir), **options)
+    return recoded.groupBy("o_admdong_cd", "d_admdong_cd").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("total_cnt").alias("total_cnt"), F.sum("2030_cnt").alias("2030_cnt")
+    )
+
+
+@query("st04_codes_over_time", Q.with_m2(_RECODED_PAIRS, _DATED_HISTORY, recursive=True))
+def codes_over_time(spark, sf_dir):
+    """Splits with shares and codes that are used again."""
+    return _recoded_pairs(spark, sf_dir)
+
+
+@query("st04_codes_over_time_by_joins", Q.with_m2(_RECODED_PAIRS, _DATED_HISTORY, recursive=True))
+def codes_over_time_by_joins(spark, sf_dir):
+    """The same with nothing on the driver and no broadcast."""
+    return _recoded_pairs(spark, sf_dir, max_bytes=0, driver_changes=0)
+
+
+@query(
+    "st04_people_conserved",
+    Q.with_m2(
+        """SELECT count(DISTINCT d_admdong_cd) AS places, sum(total_cnt) AS total_cnt, (SELECT sum(total_cnt) FROM m2) AS before
+FROM recoded""",
+        _DATED_HISTORY,
+        recursive=True,
+    ),
+)
+def people_conserved(spark, sf_dir):
+    pairs = _recoded_pairs(spark, sf_dir)
+    before = all_moves(spark, sf_dir).agg(F.sum("total_cnt")).scalar()
+    return pairs.agg(
+        F.count_distinct("d_admdong_cd").alias("places"), F.sum("total_cnt").alias("total_cnt")
+    ).withColumn("before", before)
+
+
 # --- coordinates -------------------------------------------------------------------
 
 
@@ -422,6 +486,102 @@ def hotplace_index(spark, sf_dir):
     return flows.hotplace_index(year_moves(spark, sf_dir))
 
 
+_ROUND_TRIPS = """flow AS (
+SELECT least(o_admdong_cd, d_admdong_cd) AS lo, greatest(o_admdong_cd, d_admdong_cd) AS hi, etl_ymd,
+  CAST(st_time_cd AS INTEGER) AS h, {ahead} AS ahead, {back} AS back FROM ym GROUP BY 1, 2, 3, 4),
+walk AS (
+SELECT lo, hi, etl_ymd, -1 AS h, CAST([] AS DOUBLE[]) AS out, CAST([] AS DOUBLE[]) AS out_back,
+  CAST(0 AS DOUBLE) AS home, CAST(0 AS DOUBLE) AS home_back
+FROM (SELECT lo, hi, etl_ymd FROM flow WHERE lo <> hi GROUP BY ALL HAVING sum(ahead) > 0 AND sum(back) > 0)
+UNION ALL
+SELECT lo, hi, etl_ymd, h, out || [coalesce(out[-1], 0) + ahead - came], out_back || [coalesce(out_back[-1], 0) + back - came_back],
+  home + came, home_back + came_back
+FROM (
+  SELECT w.lo, w.hi, w.etl_ymd, w.h + 1 AS h, w.out, w.out_back, w.home, w.home_back,
+    coalesce(f.ahead, 0) AS ahead, coalesce(f.back, 0) AS back,
+    least(coalesce(f.ahead, 0), CASE WHEN w.h + 1 >= 6 THEN w.out_back[w.h - 4] ELSE 0 END - w.home) AS came,
+    least(coalesce(f.back, 0), CASE WHEN w.h + 1 >= 6 THEN w.out[w.h - 4] ELSE 0 END - w.home_back) AS came_back
+  FROM walk w LEFT JOIN flow f ON w.lo = f.lo AND w.hi = f.hi AND w.etl_ymd = f.etl_ymd AND f.h = w.h + 1
+  WHERE w.h < 23)),
+trip AS (
+SELECT lo, hi, etl_ymd, sum(ahead) AS ahead, sum(back) AS back, coalesce(max(home + home_back), 0) AS matched
+FROM flow LEFT JOIN (SELECT * FROM walk WHERE h = 23) USING (lo, hi, etl_ymd) GROUP BY lo, hi, etl_ymd)""".format(
+    ahead="coalesce(sum(CASE WHEN o_admdong_cd <= d_admdong_cd THEN total_cnt END), 0.0)",
+    back="coalesce(sum(CASE WHEN o_admdong_cd > d_admdong_cd THEN total_cnt END), 0.0)",
+)
+
+
+@query(
+    "q25_same_day_activity",
+    Q.with_m2(
+        """SELECT place, sum(arrivals) AS arrivals, sum(departures) AS departures, sum(commuters) AS commuters,
+sum(least(arrivals, departures)) AS HOT_INDEX
+FROM (SELECT place, etl_ymd, sum(arrivals) AS arrivals, sum(departures) AS departures, sum(commuters) AS commuters FROM (
+  SELECT lo AS place, etl_ymd, back - matched AS arrivals, ahead - matched AS departures, matched AS commuters FROM trip
+  UNION ALL SELECT hi, etl_ymd, ahead - matched, back - matched, matched FROM trip) GROUP BY place, etl_ymd)
+GROUP BY place""",
+        "ym AS (SELECT * FROM m2)",
+        _ROUND_TRIPS,
+        recursive=True,
+    ),
+)
+def same_day_activity(spark, sf_dir):
+    """Hot places without people on a round trip of six hours or more."""
+    return round_trips.same_day_activity(all_moves(spark, sf_dir))
+
+
+_STOCK = """event AS (
+SELECT o_admdong_cd AS place, datediff('day', DATE '1970-01-01', CAST(strptime(etl_ymd, '%Y%m%d') AS DATE)) * 24
+  + CAST(st_time_cd AS INTEGER) AS t, -total_cnt AS n FROM ym
+UNION ALL
+SELECT d_admdong_cd, datediff('day', DATE '1970-01-01', CAST(strptime(etl_ymd, '%Y%m%d') AS DATE)) * 24
+  + CAST(fns_time_cd AS INTEGER) + CASE WHEN CAST(fns_time_cd AS INTEGER) < CAST(st_time_cd AS INTEGER) THEN 24 ELSE 0 END,
+  total_cnt FROM ym),
+level AS (
+SELECT place, t, sum(sum(n)) OVER (PARTITION BY place ORDER BY t) AS level FROM event GROUP BY place, t),
+stock AS (
+SELECT place, t, level - least(0, min(level) OVER (PARTITION BY place)) AS present,
+  lead(t) OVER (PARTITION BY place ORDER BY t) AS until FROM level)"""
+
+
+@query(
+    "q24_hourly_stock",
+    Q.with_m2("SELECT place, CAST(t AS INTEGER) AS t, present, CAST(coalesce(until, -1) AS INTEGER) AS until FROM stock", _YEAR_M2, _STOCK),
+)
+def hourly_stock(spark, sf_dir):
+    return stays.hourly_stock(year_moves(spark, sf_dir)).select("place", "t", "present", F.coalesce("until", F.lit(-1)).alias("until"))
+
+
+# 1997-01-01 is day 9862 and 1998-01-01 day 10227 from 1970-01-01, a Thursday.
+_HOUR_MEANS = ", ".join(
+    f"avg(present) FILTER ({test}) AS {name}"
+    for name, test in (
+        ("whole", "TRUE"), ("we", "wk"), ("wd", "NOT wk"), ("night", "nt"), ("day", "NOT nt"),
+    )
+)
+
+
+@query(
+    "q24_stay_profile",
+    Q.with_m2(
+        f"""SELECT place, round(whole, 4) AS present_all, round(we, 4) AS present_weekend, round(night, 4) AS present_night,
+round((we / (we + wd + 1e-6) + night / (night + day + 1e-6)) / 2, 6) AS STAY_INDEX
+FROM (SELECT place, {_HOUR_MEANS} FROM (
+  SELECT grid.place AS place, hour, coalesce(present, base) AS present, (hour // 24 + 3) % 7 + 1 IN (5, 6) AS wk,
+    hour % 24 >= 18 OR hour % 24 <= 5 AS nt
+  FROM (SELECT bases.place AS place, base, hour FROM
+      (SELECT place, -least(0, min(level)) AS base FROM level GROUP BY place) bases,
+      (SELECT unnest(range(9862 * 24, 10227 * 24)) AS hour)) grid
+    ASOF LEFT JOIN stock ON grid.place = stock.place AND grid.hour >= stock.t) GROUP BY place)""",
+        _YEAR_M2,
+        _STOCK,
+    ),
+)
+def stay_profile(spark, sf_dir):
+    profile = stays.stay_profile(year_moves(spark, sf_dir), Q.YEAR)
+    return rounded(profile, present_all=4, present_weekend=4, present_night=4, STAY_INDEX=6)
+
+
 @query(
     "q26a_place_ranking",
     Q.with_m2(

@@ -133,10 +133,11 @@ def bedtown_index(
     bands: Mapping[str, Iterable[tuple[int, int]]] = NIGHT_BANDS,
     night: str = "night",
 ) -> DataFrame:
-    """Bed-town index of every place.
+    """Bed-town index of every place, from arrivals against departures.
 
-    The stay ratio of a scope is arrivals / (arrivals + departures + 1e-6);
-    ``BEDTOWN_INDEX`` is the mean of the weekend and the night stay ratio.
+    The ratio of a scope is arrivals / (arrivals + departures + 1e-6), a share of
+    movements; ``BEDTOWN_INDEX`` is the mean of the weekend and the night ratio.
+    ``stays.stay_profile`` counts the people present instead.
     """
     rows = _stay_rows(moves, weekend, bands, night)
     return _with_bedtown_index(rows.groupBy("place").agg(*_stay_totals()))
@@ -165,8 +166,8 @@ def place_profile(
 def hotplace_index(moves: DataFrame) -> DataFrame:
     """Hot-place index: sum over days of min(arrivals, departures) on that day.
 
-    A place is hot only by people who come and go on the same day, which one-way
-    commuting does not produce.
+    Commuters who arrive and leave again count in full; ``round_trips.same_day_activity``
+    takes them out.
     """
     daily = (
         _both_sides(moves, {})

@@ -168,3 +168,35 @@ def code_history(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("effective_ymd"),
         )
     )
+
+
+#: By last digit of a supplier key: day, digit of the new code (None: abolished), share.
+CODE_CHANGES = (
+    (3, "19970701", 4, 1.0),
+    (4, "19970901", 5, 0.25),
+    (4, "19970901", 6, 0.75),
+    (6, "19960101", 8, 1.0),
+    (6, "19980601", 7, 1.0),
+    (7, "19970701", 5, 1.0),
+    (8, "19970801", None, 1.0),
+    (8, "19990101", 9, 1.0),
+)
+
+
+def dated_code_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invented changes over supplier keys with a split and codes that are used again.
+
+    3 is transferred to 4; 4 is split over 5 and 6; 6 goes to 8 and, used again, to 7; 7
+    is merged into 5; 8 is abolished and, used again, transferred to 9.
+    """
+    changes = spark.createDataFrame(
+        list(CODE_CHANGES), "digit int, effective_ymd string, new_digit int, share double"
+    )
+    key = F.col("s_suppkey")
+    suppliers = _table(spark, sf_dir, "supplier").select(key, (key % 10).cast("int").alias("digit"))
+    return suppliers.join(F.broadcast(changes), "digit").select(
+        key.cast("string").alias("old_cd"),
+        (key - F.col("digit") + F.col("new_digit")).cast("string").alias("new_cd"),
+        "effective_ymd",
+        "share",
+    )
