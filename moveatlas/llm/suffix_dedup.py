@@ -113,14 +113,34 @@ def runs(raw: bytes) -> tuple[np.ndarray, ...]:
     left = np.where(place - first >= SIDE, sides[np.maximum(place - SIDE, 0)], 0)
     reach = last + LENGTH - place - GRAM >= SIDE
     right = np.where(reach, sides[np.minimum(place + GRAM - 1, len(sides) - 1)], 0)
-    kind = np.full(len(first), RUN)
-    for by in (*range(1 - width, 0), *range(1, width)):
-        other = place + by
-        inside = (other >= first) & (other < last + width)
-        kind[inside & (buckets[np.where(inside, other, place)] == low[first])] = TWICE
+    before, after = equal_neighbours(buckets, low, width)
+    twice = (before[place] >= first) | (after[place] < last + width)
+    kind = np.where(twice, TWICE, RUN)
     return low[first], first, last, left, right, kind
 
 
+def equal_neighbours(buckets: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every place that is the least of a window: the nearest place of the same value
+    before it (else -1) and after it (else one beyond all) that is the least of a window.
+
+    A place is the least of a window if the largest of the minima of its windows is its
+    own value; only these places, one in sixteen, are sorted.
+    """
+    most = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
+    size = 1
+    while size * 2 <= width:
+        most = np.maximum(most[:-size], most[size:])
+        size *= 2
+    most = np.maximum(most[: len(most) - (width - size)], most[width - size :])
+    least = np.flatnonzero(buckets == most)
+    order = least[np.argsort(buckets[least], kind="stable")]
+    before, after = np.full(len(buckets), -1), np.full(len(buckets), len(buckets))
+    same = buckets[order[1:]] == buckets[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    return before, after
+
+
 def strings(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Two identifiers of every 50-byte string."""
     found = []
