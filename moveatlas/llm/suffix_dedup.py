@@ -16,8 +16,9 @@ neighbouring strings of one bucket travel as one run:
    leaves each batch once.
 2. Where a bucket holds runs of different content that agree on one side of the bucket
    string, as runs that share a string must (or hold theirs twice), the first run of each content is refined to its single 50-byte strings: the bytes of these runs are sent to their
-   bucket's partition and sorted there by the full identifiers (128 bits); the smallest
-   document of each string keeps it.
+   bucket's partition and sorted there by the full identifiers (128 bits), whole buckets in
+   memory and the strings of very large ones by Spark; the smallest document of each string
+   keeps it.
 
 Documents meet their removed intervals by id, and the remaining bytes are joined.
 
@@ -48,13 +49,15 @@ SIDE = (LENGTH - GRAM) // 2
 SLICE_BYTES = 2_000_000
 #: Documents that a task works on at a time.
 ROWS = 500
+#: Strings of one bucket up to which they are settled in memory.
+BUCKET_STRINGS = 2_000_000
 RUN, REMOVED, TWICE = 0, 1, 2
 CHUNKS = "part int, rows binary"
 RUNS = "bucket int, content long, doc long, start int, stop int, left short, right short, kind byte"
 SPANS = "bucket int, doc long, start int, stop int, left short, right short, kind byte"
 PACKED = "doc long, packed binary"
 PIECES = "bucket int, doc long, start int, piece binary"
-STRINGS = "a long, b long, doc long, start int"
+STRINGS = "a long, b long, doc long, start int, stop int, kind byte"
 LATER = "doc long, start int, stop int"
 
 
@@ -387,31 +390,82 @@ def open_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+Strings = dict[str, np.ndarray]
+
+
+def batch_strings(batch: pd.DataFrame) -> Strings:
+    """bucket, both identifiers, doc and start of every 50-byte string of the pieces."""
+    sizes = batch["piece"].map(len).to_numpy()
+    counts = np.maximum(sizes - LENGTH + 1, 0)
+    total = int(counts.sum())
+    a, b = strings(b"".join(batch["piece"])) if total else (np.zeros(0, np.uint64),) * 2
+    within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(np.cumsum(sizes) - sizes, counts) + within
+    found = {name: np.repeat(batch[name].to_numpy(), counts) for name in ("bucket", "doc", "start")}
+    return {**found, "start": (found["start"] + within).astype(np.int32), "a": a[at], "b": b[at]}
+
+
+def open_strings(found: Strings) -> pd.DataFrame:
+    """Strings that are still to be sorted."""
+    return pd.DataFrame(
+        {
+            "a": found["a"].view(np.int64), "b": found["b"].view(np.int64), "doc": found["doc"], "start": found["start"],
+            "stop": found["start"] + LENGTH, "kind": np.int8(RUN),
+        }
+    )
+
+
+def settled_strings(found: Strings) -> pd.DataFrame:
+    """Strings of whole buckets to the intervals of those that a smaller document has."""
+    order = np.lexsort((found["doc"], found["b"], found["a"]))
+    a, b, d = (found[k][order] for k in ("a", "b", "doc"))
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    later = d > d[new][np.cumsum(new) - 1]
+    start = found["start"][order][later]
+    gone = settled_here(d[later], start, start + LENGTH)
+    code = spread(gone)
+    return gone.assign(a=code, b=code)[["a", "b", "doc", "start", "stop", "kind"]]
+
+
 def piece_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Two identifiers of every 50-byte string of the pieces."""
+    """Pieces by bucket to settled intervals.
+
+    Whole buckets are settled here, the last one when its end is read. Strings of a
+    bucket that holds over ``BUCKET_STRINGS`` go on unsettled, to be sorted.
+    """
+    tail: Strings | None = None
+    large = None
     for batch in batches:
-        raw = b"".join(batch["piece"])
-        sizes = batch["piece"].map(len).to_numpy()
-        ends = np.cumsum(sizes)
-        counts = np.maximum(sizes - LENGTH + 1, 0)
-        if not counts.sum():
+        found = batch_strings(batch)
+        if tail is not None:
+            found = {k: np.concatenate([tail[k], v]) for k, v in found.items()}
+            tail = None
+        bucket = found["bucket"]
+        if not len(bucket):
             continue
-        a, b = strings(raw)
-        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(ends - sizes, counts) + within
-        yield pd.DataFrame(
-            {
-                "a": a[at].view(np.int64), "b": b[at].view(np.int64),
-                "doc": np.repeat(batch["doc"].to_numpy(), counts),
-                "start": (np.repeat(batch["start"].to_numpy(), counts) + within).astype(np.int32),
-            }
-        )
+        begin = int(np.searchsorted(bucket, large, side="right")) if large is not None else 0
+        if begin:
+            yield open_strings({k: v[:begin] for k, v in found.items()})
+        end = max(begin, int(np.searchsorted(bucket, bucket[-1])))
+        if end > begin:
+            yield settled_strings({k: v[begin:end] for k, v in found.items()})
+        tail = {k: v[end:] for k, v in found.items()}
+        if len(tail["a"]) > BUCKET_STRINGS:
+            large = tail["bucket"][-1]
+            yield open_strings(tail)
+            tail = None
+    if tail is not None and len(tail["a"]):
+        yield settled_strings(tail)
 
 
 def read_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted strings to the intervals of those that a smaller document has."""
+    """Sorted strings to the intervals of those that a smaller document has; settled ones pass."""
     a = b = doc = None
     for batch in batches:
+        gone = batch["kind"] == REMOVED
+        if gone.any():
+            yield batch.loc[gone, ["doc", "start", "stop"]]
+            batch = batch[~gone]
         x, y, d = (batch[k].to_numpy() for k in ("a", "b", "doc"))
         if not len(x):
             continue
@@ -476,8 +530,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     several = stored(ordered.mapInPandas(read_runs, SPANS), "runs")
     still = by_document(open_runs(several, n), "runs", "bucket", "start", "stop")
     met = docs.mapInArrow(pack, PACKED).join(still, F.col("doc") == F.col("of")).select("doc", "packed", "runs")
-    #: Equal strings have one bucket, so they are already together when they are sorted.
-    pieces = met.mapInArrow(open_pieces, PIECES).repartition(n, "bucket")
+    #: Equal strings have one bucket, so they are together before and after they are sorted.
+    pieces = met.mapInArrow(open_pieces, PIECES).repartition(n, "bucket").sortWithinPartitions("bucket")
     ids = pieces.mapInPandas(piece_strings, STRINGS).sortWithinPartitions("a", "b", "doc")
     later = ids.mapInPandas(read_strings, LATER)
     whole = several.where(F.col("kind") == REMOVED).select("doc", "start", "stop")

@@ -22,6 +22,17 @@ def test_periodic_lines_between_random_surroundings(spark):
     assert sorted(map(tuple, got.collect())) == sorted(suffix_brute(rows))
 
 
+def test_large_buckets_are_sorted_by_spark(spark, monkeypatch):
+    """One common 20-byte string between other surroundings; strings settled by Spark alike."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_STRINGS", 40)
+    rng = random.Random(13)
+    sides = ["".join(rng.choices("abcdefgh ", k=40)) for _ in range(12)]
+    rows = [(i, rng.choice(sides) + "the common string 20" + rng.choice(sides) + str(rng.random())) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = suffix_dedup.cut_repeats(docs).drop("kept")
+    assert sorted(map(tuple, got.collect())) == sorted(suffix_brute(rows))
+
+
 def twice_by_search(raw):
     """Runs whose bucket string stands twice in the bytes that the run's strings cover."""
     bucket, first, last, *_, kind = suffix_dedup.runs(raw)
