@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from moveatlas import schema as S
 from moveatlas.catalog import sql as Q
 from moveatlas.catalog.counts_queries import all_counts
-from moveatlas.catalog.moves_queries import _HISTORY, PLACE_CODE, all_moves
+from moveatlas.catalog.moves_queries import _HISTORY, BANDS, PLACE_CODE, _extract_sql, _SHARES, _SUMS, all_moves
 from moveatlas.catalog.registry import ORACLES, query, rounded
 from moveatlas.functions.scalar import row_sum
 from moveatlas.operators import filters as W
@@ -17,7 +17,9 @@ from moveatlas.plans import bedtown, flows
 from moveatlas.session import scratch_path
 from moveatlas.sources import counts as C
 from moveatlas.sources import moves as M
+from moveatlas.sources.clustering import write_clustered
 from moveatlas.sources.sales_view import code_history
+from moveatlas.streaming import mart as kept_mart
 from moveatlas.streaming.ingest import ingest_new_files
 
 
@@ -209,3 +211,67 @@ def optimised_columns(spark, sf_dir):
     return small.groupBy("etl_ym", "d_admdong_cd", "st_time_cd").agg(
         F.count(F.lit(1)).alias("n"), F.sum("total_cnt").alias("total_cnt")
     )
+
+
+# --- two-key clustering, all extracts, the kept mart -----------------------------------
+
+
+def _clustered(spark, sf_dir):
+    """All moves as two sources, merged and clustered by origin, destination and date."""
+    return write_clustered(all_moves(spark, sf_dir), scratch_path(spark, "moves-clustered"))
+
+
+@query("io09_clustered_origin_extract", _extract_sql("o_admdong_cd", "d_admdong_cd"))
+def clustered_origin_extract(spark, sf_dir):
+    found = flows.place_extract(_clustered(spark, sf_dir), PLACE_CODE, "origin", 20)
+    return rounded(found, **{f"share_{b}": 6 for b in BANDS})
+
+
+@query("io09_clustered_destination_extract", _extract_sql("d_admdong_cd", "o_admdong_cd"))
+def clustered_destination_extract(spark, sf_dir):
+    found = flows.place_extract(_clustered(spark, sf_dir), PLACE_CODE, "destination", 20)
+    return rounded(found, **{f"share_{b}": 6 for b in BANDS})
+
+
+_ALL_EXTRACTS = Q.with_m2(
+    f"""SELECT *, {_SHARES} FROM (
+SELECT *, row_number() OVER (PARTITION BY side, place ORDER BY flow DESC, other) AS "RANK" FROM (
+  SELECT side, place, other, {_SUMS}, coalesce(sum(total_cnt), 0.0) AS flow FROM (
+    SELECT 'origin' AS side, o_admdong_cd AS place, d_admdong_cd AS other, * FROM m2
+    UNION ALL SELECT 'destination', d_admdong_cd, o_admdong_cd, * FROM m2) GROUP BY side, place, other))
+WHERE "RANK" <= 20"""
+)
+
+
+@query("q19c_all_extracts", _ALL_EXTRACTS)
+def all_extracts(spark, sf_dir):
+    found = flows.all_place_extracts(all_moves(spark, sf_dir), 20)
+    return rounded(found, **{f"share_{b}": 6 for b in BANDS})
+
+
+@query("io07_write_all_extracts", _ALL_EXTRACTS)
+def write_all_extracts(spark, sf_dir):
+    path = scratch_path(spark, "extracts")
+    C.write_all_extracts(flows.all_place_extracts(all_moves(spark, sf_dir), 20), path)
+    return rounded(spark.read.parquet(path), **{f"share_{b}": 6 for b in BANDS})
+
+
+@query(
+    "io03_kept_mart",
+    Q.with_m1(
+        f"""SELECT FULL_NM, sum(CASE WHEN MOVE_PURPOSE = '귀가' THEN {Q.TOTAL} ELSE 0.0 END) AS home_return,
+sum({Q.TOTAL}) AS home_total, count(*) AS rows_evening_home FROM m1 WHERE {Q.BED_SCOPE} GROUP BY FULL_NM"""
+    ),
+)
+def kept_indicator_mart(spark, sf_dir):
+    """Two batches by streaming, a repeated one and a late one; then the year of the mart."""
+    rows = all_counts(spark, sf_dir)
+    late = F.col("TIME_CD") == "19"
+    src, path, progress = (scratch_path(spark, n) for n in ("mart-csv", "mart", "mart-progress"))
+    rows.filter(~late).write.option("header", True).csv(src)
+    kept_mart.keep_mart(spark, src, path, progress).awaitTermination()
+    for _ in range(2):
+        kept_mart.write_batch(C.standardise_counts(rows.filter(late)), path, "late")
+    year = tuple(int(d[:6]) for d in Q.YEAR)
+    mart = kept_mart.read_mart(spark, path, year, (S.PLACE,))
+    return mart.filter("rows_evening_home > 0").select(S.PLACE, "home_return", "home_total", "rows_evening_home")

@@ -55,6 +55,39 @@ def place_extract(moves: DataFrame, place: str, side: str, n: int) -> DataFrame:
     return top_ranked(mix, "flow", other, n)
 
 
+def all_place_extracts(moves: DataFrame, n: int) -> DataFrame:
+    """Top flows with age mix of every place and both sides, from one scan.
+
+    One row per ``side``, ``place`` and ``other`` place, ranked as in ``place_extract``.
+    Flows are summed before the ranking, and each task keeps n rows a place before the
+    ranks are given, so neither a hot place nor a hot flow is gathered.
+    """
+    sides = F.explode(
+        F.array(
+            *(
+                F.struct(
+                    F.lit(side).alias("side"), F.col(fixed).alias("place"),
+                    F.col(next(c for s, c in SIDE_COLUMNS.items() if s != side)).alias("other"),
+                )
+                for side, fixed in SIDE_COLUMNS.items()
+            )
+        )
+    )
+    rows = moves.select(sides.alias("of"), *S.BAND_COLS, "total_cnt").select(
+        "of.side", "of.place", "of.other", *S.BAND_COLS, "total_cnt"
+    )
+    mix = band_mix(rows, ["side", "place", "other"], S.BAND_COLS, {"flow": "total_cnt"})
+    return top_n_per_group(mix, ("side", "place"), "flow", "other", n)
+
+
+def one_extract(extracts: DataFrame, place: str, side: str) -> DataFrame:
+    """The extract of one place and side, with the columns of ``place_extract``."""
+    fixed = SIDE_COLUMNS[side]
+    other = SIDE_COLUMNS["destination" if side == "origin" else "origin"]
+    found = extracts.filter((F.col("side") == side) & (F.col("place") == place))
+    return found.drop("side").withColumnsRenamed({"place": fixed, "other": other})
+
+
 def age_mix(moves: DataFrame, key: str = "d_admdong_cd") -> DataFrame:
     """Total and share of every age band per place."""
     return band_mix(moves, key, S.BAND_COLS)

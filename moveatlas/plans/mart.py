@@ -20,6 +20,9 @@ from moveatlas.operators import filters
 from moveatlas.operators.features import add_row_sums
 from moveatlas.plans import hotness, scopes, visits
 
+#: A period that holds every day.
+EVERY_DAY = ("00010101", "99991231")
+
 SCOPE_NAMES = ("evening_home", "daytime", "visit", "women", "teens", "tourism")
 
 # Output total: (condition, summed row value), over the columns of _row_level.
@@ -78,26 +81,18 @@ def _row_level(counts: DataFrame, period: scopes.Period, keys: list[str]) -> Dat
     )
 
 
-def indicator_mart(
-    counts: DataFrame,
-    period: scopes.Period,
-    keys: str | Iterable[str] = (S.PROVINCE, S.DISTRICT, S.PLACE),
-    zero_division: str = "ieee",
-) -> DataFrame:
-    """One row per group with the totals and row counts of every indicator."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    rows = _row_level(counts, period, keys).withColumn(
-        "hotness",
-        F.when(
-            F.col("in_daytime"),
-            hotness.hotness_of(
-                eps_ratio("young", "total"),
-                value_when(F.col("is_shop_tour"), "total"),
-                F.col("total"),
-                zero_division,
-            ),
-        ),
+def with_hotness(rows: DataFrame, zero_division: str) -> DataFrame:
+    value = hotness.hotness_of(
+        eps_ratio("young", "total"),
+        value_when(F.col("is_shop_tour"), "total"),
+        F.col("total"),
+        zero_division,
     )
+    return rows.withColumn("hotness", F.when(F.col("in_daytime"), value))
+
+
+def grouped_totals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals and row counts of every indicator over rows of ``_row_level``."""
     return rows.groupBy(*keys).agg(
         *(F.expr(f"count_if(in_{name})").alias(f"rows_{name}") for name in SCOPE_NAMES),
         *(
@@ -107,6 +102,29 @@ def indicator_mart(
     )
 
 
+def monthly_mart(
+    counts: DataFrame,
+    keys: str | Iterable[str] = (S.PROVINCE, S.DISTRICT, S.PLACE),
+    zero_division: str = "ieee",
+) -> DataFrame:
+    """One row per month and group: partial totals that add up over months and batches."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rows = _row_level(counts.withColumn("__month", filters.month_of(counts)), EVERY_DAY, [*keys, "__month"])
+    months = grouped_totals(with_hotness(rows, zero_division), [*keys, "__month"])
+    return months.withColumnRenamed("__month", S.MONTH_COL)
+
+
+def indicator_mart(
+    counts: DataFrame,
+    period: scopes.Period,
+    keys: str | Iterable[str] = (S.PROVINCE, S.DISTRICT, S.PLACE),
+    zero_division: str = "ieee",
+) -> DataFrame:
+    """One row per group with the totals and row counts of every indicator."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return grouped_totals(with_hotness(_row_level(counts, period, keys), zero_division), keys)
+
+
 def roll_up(mart: DataFrame, keys: str | Iterable[str]) -> DataFrame:
     """Totals of a coarser key from a finer mart; the scan is not repeated."""
     keys = [keys] if isinstance(keys, str) else list(keys)

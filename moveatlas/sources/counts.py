@@ -96,6 +96,19 @@ def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def write_all_extracts(
+    df: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = 5_000_000
+) -> None:
+    """Parquet of the extracts of all places, one folder a side, sorted by place.
+
+    Places are dealt in ranges over tasks, so the number of files follows the size and
+    not the number of places; a place is read from the row groups whose range holds it.
+    """
+    ranged = df.repartitionByRange("side", "place", "RANK").sortWithinPartitions("side", "place", "RANK")
+    writer = ranged.write.mode(mode).partitionBy("side").option("maxRecordsPerFile", rows_per_file)
+    writer.option("parquet.bloom.filter.enabled#place", True).parquet(path)
+
+
 def write_extract(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet extract of one place."""
     df.write.mode(mode).parquet(path)
