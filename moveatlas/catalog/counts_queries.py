@@ -9,6 +9,7 @@ from moveatlas import schema as S
 from moveatlas.catalog import sql as Q
 from moveatlas.catalog.registry import query, rounded
 from moveatlas.functions import scalar as X
+from moveatlas.operators.features import add_row_sums
 from moveatlas.operators import aggregates as A
 from moveatlas.operators import filters as W
 from moveatlas.operators import ranking as K
@@ -715,15 +716,19 @@ def select_columns(spark, sf_dir):
 @query(
     "p23_add_columns",
     Q.with_m1(
-        """SELECT ETL_YMD, TIME_CD, MOVE_PURPOSE, FULL_NM, young AS YOUNG_VISITORS, total AS TOTAL_VISITORS,
-shop_tour AS SHOPPING_TOUR_SUM, round(young / (total + 1e-6), 6) AS YOUNG_RATIO FROM hot""",
-        Q.HOT_ROWS,
+        f"""SELECT ETL_YMD, TIME_CD, MOVE_PURPOSE, FULL_NM, {Q.YOUNG} AS YOUNG_VISITORS, {Q.TOTAL} AS TOTAL_VISITORS,
+CASE WHEN {Q.IS_SHOP_TOUR} THEN {Q.TOTAL} ELSE 0.0 END AS SHOPPING_TOUR_SUM,
+round({Q.YOUNG} / ({Q.TOTAL} + 1e-6), 6) AS YOUNG_RATIO FROM m1"""
     ),
 )
 def add_columns(spark, sf_dir):
-    rows = hotness.visitor_rows(counts(spark, sf_dir), YEAR).select(
-        *ROW, "YOUNG_VISITORS", "TOTAL_VISITORS", "SHOPPING_TOUR_SUM", "YOUNG_RATIO"
-    )
+    sums = {"YOUNG_VISITORS": S.YOUNG_COLS, "TOTAL_VISITORS": S.COUNT_COLS}
+    rows = add_row_sums(all_counts(spark, sf_dir), sums).withColumns(
+        {
+            "SHOPPING_TOUR_SUM": X.value_when(hotness.is_shop_tour(), "TOTAL_VISITORS"),
+            "YOUNG_RATIO": X.eps_ratio("YOUNG_VISITORS", "TOTAL_VISITORS"),
+        }
+    ).select(*ROW, "YOUNG_VISITORS", "TOTAL_VISITORS", "SHOPPING_TOUR_SUM", "YOUNG_RATIO")
     return rounded(rows, YOUNG_RATIO=6)
 
 
@@ -892,3 +897,21 @@ def preview(spark, sf_dir):
     rows = hotness.young_visitor_rows(counts(spark, sf_dir), YEAR)
     columns = ["YOUNG_RATIO", S.PLACE, "YOUNG_VISITORS", "TOTAL_VISITORS", "ETL_YMD"]
     return K.preview(rows, columns, 50)
+
+
+@query(
+    "k05_preview_shows_rows",
+    Q.with_m1(f"SELECT least(50, count(*)) AS shown, CAST(0 AS BIGINT) AS strangers FROM m1 WHERE {Q.VISIT_SCOPE}"),
+)
+def preview_shows_rows(spark, sf_dir):
+    """Which rows a preview shows is open; that each is a row of the frame is not."""
+    rows = hotness.young_visitor_rows(all_counts(spark, sf_dir), YEAR)
+    columns = ["YOUNG_RATIO", S.PLACE, "YOUNG_VISITORS", "TOTAL_VISITORS", "ETL_YMD"]
+    shown = K.preview(rows, columns, 50)
+    known = rows.select(*(F.col(c).alias(f"__{c}") for c in columns), F.lit(1).alias("known")).distinct()
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return shown.join(known, same, "left").agg(
+        F.count(F.lit(1)).alias("shown"), F.count_if(F.col("known").isNull()).alias("strangers")
+    )

@@ -18,6 +18,7 @@ from moveatlas.session import scratch_path
 from moveatlas.sources import counts as C
 from moveatlas.sources import moves as M
 from moveatlas.sources.clustering import write_clustered
+from moveatlas.sources.parts import read_parts
 from moveatlas.sources.sales_view import code_history
 from moveatlas.streaming import mart as kept_mart
 from moveatlas.streaming.ingest import ingest_new_files
@@ -275,3 +276,66 @@ def kept_indicator_mart(spark, sf_dir):
     year = tuple(int(d[:6]) for d in Q.YEAR)
     mart = kept_mart.read_mart(spark, path, year, (S.PLACE,))
     return mart.filter("rows_evening_home > 0").select(S.PLACE, "home_return", "home_total", "rows_evening_home")
+
+
+# --- parts of other types, moves as CSV -------------------------------------------------
+
+
+@query(
+    "io06_parts_of_other_types",
+    Q.with_m2(
+        """SELECT purpose_code, count(*) AS n, count(move_time) AS timed, sum(CAST(total_cnt AS DOUBLE)) AS total_cnt,
+max(d_admdong_cd) AS last_code FROM (
+SELECT purpose_code, d_admdong_cd, total_cnt, CASE WHEN etl_ymd < '19980101' THEN move_time END AS move_time FROM m2)
+GROUP BY purpose_code"""
+    ),
+)
+def parts_of_other_types(spark, sf_dir):
+    """One part has text, doubles and a column more; the other whole numbers."""
+    rows = all_moves(spark, sf_dir)
+    paths = [scratch_path(spark, "text-part"), scratch_path(spark, "number-part")]
+    early = F.coalesce(F.col("etl_ymd") < "19980101", F.lit(False))
+    rows.filter(early).write.parquet(paths[0])
+    whole = {"purpose_code": F.col("purpose_code").cast("int"), "total_cnt": F.col("total_cnt").cast("int")}
+    rows.filter(~early).withColumns(whole).drop("move_time").write.parquet(paths[1])
+    parts = read_parts(spark, paths, ["purpose_code", "d_admdong_cd", "total_cnt", "move_time"])
+    return parts.groupBy("purpose_code").agg(
+        F.count(F.lit(1)).alias("n"), F.count("move_time").alias("timed"), F.sum("total_cnt").alias("total_cnt"),
+        F.max("d_admdong_cd").alias("last_code"),
+    )
+
+
+def _moves_as_csv(spark, sf_dir, bad: str | None = None) -> str:
+    path = scratch_path(spark, "moves-csv")
+    rows = all_moves(spark, sf_dir).select(*S.MOVES_SCHEMA.names)
+    if bad is not None:
+        dist = F.when(F.col("purpose_code") == "7", bad).otherwise(F.col("move_dist").cast("string"))
+        rows = rows.withColumn("move_dist", dist)
+    rows.write.option("header", True).csv(path)
+    return path
+
+
+_READ_MOVES = """SELECT o_admdong_cd, count(*) AS n, count({dist}) AS with_distance, round(sum({dist}), 2) AS move_dist,
+sum(total_cnt) AS total_cnt FROM m2 GROUP BY o_admdong_cd"""
+
+
+def _read_moves(rows):
+    found = rows.groupBy("o_admdong_cd").agg(
+        F.count(F.lit(1)).alias("n"), F.count("move_dist").alias("with_distance"),
+        F.sum("move_dist").alias("move_dist"), F.sum("total_cnt").alias("total_cnt"),
+    )
+    return rounded(found, move_dist=2)
+
+
+@query("io08_read_moves_csv", Q.with_m2(_READ_MOVES.format(dist="move_dist")))
+def read_moves_csv(spark, sf_dir):
+    return _read_moves(M.read_moves_csv(spark, _moves_as_csv(spark, sf_dir)))
+
+
+@query(
+    "io08_read_moves_csv_lenient",
+    Q.with_m2(_READ_MOVES.format(dist="CASE WHEN purpose_code <> '7' THEN move_dist END")),
+)
+def read_moves_csv_lenient(spark, sf_dir):
+    """Every distance of one purpose is the text ``*``."""
+    return _read_moves(M.read_moves_csv(spark, _moves_as_csv(spark, sf_dir, "*"), strict=False))

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moveatlas import schema as S
 from moveatlas.catalog import sql as Q
 from moveatlas.catalog.registry import query, rounded
-from moveatlas.functions.geo import EPSG_5179 as GRID
-from moveatlas.functions.geo import WEB_MERCATOR_RADIUS
+from moveatlas.functions.datum import shift_datum
 from moveatlas.functions.scalar import time_band, to_int
 from moveatlas.operators import filters as W
 from moveatlas.operators.code_history import recode_over_time
-from moveatlas.operators.geo import KOREA_BOUNDS, coordinate_check, transform_coordinates
+from moveatlas.operators.geo import coordinate_check, transform_coordinates
 from moveatlas.operators.lookups import map_purpose, reconcile_admin_codes, unmapped_codes
 from moveatlas.operators.quality import iqr_outliers, quality_report
 from moveatlas.operators.scope import Scope
+from moveatlas.operators.sketches import (
+    hash_sample,
+    merge_sketches,
+    quantile_sketches,
+    rank_error,
+    sketch_quantiles,
+    sketched_outliers,
+)
 from moveatlas.plans import flows, round_trips, stays
 from moveatlas.session import scratch_path
 from moveatlas.sources.moves import merge_moves, standardise_moves
@@ -209,6 +216,17 @@ def people_conserved(spark, sf_dir):
 # --- coordinates -------------------------------------------------------------------
 
 
+# Fixed values of the reference SQL, written out so that a wrong constant of the library
+# shows: the unified Korean grid (GRS80, centre 127.5 E 38 N, scale 0.9996, offsets 1000
+# and 2000 km), its scaled rectifying radius, the rectifying latitude of its origin, the
+# coefficients of the inverse Krueger series, and the bounds of the country.
+_BETA = (0.000837732168164144, 5.905869626082731e-08, 1.6734889049883464e-10, 2.1677378055967573e-13)
+_DELTA = (0.0033565514855966932, 6.571873148458866e-06, 1.7646564264542834e-08, 5.400482187759887e-11)
+_RADIUS, _ORIGIN_XI = 6364902.1661127405, 0.6607823514127097
+_MERCATOR = 6378137.0
+_WEST, _EAST, _SOUTH, _NORTH = 124.0, 132.0, 33.0, 43.5
+
+
 def _series(values, text: str) -> str:
     return " ".join(text.format(c=f"({value!r})", j=2 * j) for j, value in enumerate(values, 1))
 
@@ -216,14 +234,13 @@ def _series(values, text: str) -> str:
 def _geo_sql(side: str) -> str:
     return f"""g1 AS (
 SELECT DISTINCT {side}_admdong_cd AS code, {side}_x AS x, {side}_y AS y FROM m2),
-g2 AS (SELECT *, (x - {GRID.false_easting!r}) / {GRID.radius!r} AS eta,
-  (y - {GRID.false_northing!r}) / {GRID.radius!r} + {GRID.origin_xi!r} AS xi FROM g1),
+g2 AS (SELECT *, (x - 1000000.0) / {_RADIUS!r} AS eta, (y - 2000000.0) / {_RADIUS!r} + {_ORIGIN_XI!r} AS xi FROM g1),
 g3 AS (SELECT *,
-  xi {_series(GRID.beta, '- {c} * sin({j} * xi) * cosh({j} * eta)')} AS xip,
-  eta {_series(GRID.beta, '- {c} * cos({j} * xi) * sinh({j} * eta)')} AS etap FROM g2),
+  xi {_series(_BETA, '- {c} * sin({j} * xi) * cosh({j} * eta)')} AS xip,
+  eta {_series(_BETA, '- {c} * cos({j} * xi) * sinh({j} * eta)')} AS etap FROM g2),
 g4 AS (SELECT *, asin(sin(xip) / cosh(etap)) AS chi FROM g3),
-g5 AS (SELECT code, x, y, {GRID.lon0!r} + degrees(atan2(sinh(etap), cos(xip))) AS lon,
-  degrees(chi {_series(GRID.delta, '+ {c} * sin({j} * chi)')}) AS lat FROM g4)"""
+g5 AS (SELECT code, x, y, 127.5 + degrees(atan2(sinh(etap), cos(xip))) AS lon,
+  degrees(chi {_series(_DELTA, '+ {c} * sin({j} * chi)')}) AS lat FROM g4)"""
 
 
 def _transformed(spark, sf_dir, side):
@@ -239,14 +256,12 @@ for _side, _name in (("o", "origin"), ("d", "destination")):
         f"st05_transform_{_name}",
         Q.with_m2(
             f"""SELECT code, round(lon, 7) AS lon, round(lat, 7) AS lat,
-round({WEB_MERCATOR_RADIUS!r} * radians(lon), 2) AS mx,
-round({WEB_MERCATOR_RADIUS!r} * ln(tan(pi() / 4 + radians(lat) / 2)), 2) AS my FROM g5""",
+round({_MERCATOR!r} * radians(lon), 2) AS mx,
+round({_MERCATOR!r} * ln(tan(pi() / 4 + radians(lat) / 2)), 2) AS my FROM g5""",
             _geo_sql(_side),
         ),
     )(lambda spark, sf_dir, side=_side: _transformed(spark, sf_dir, side))
 
-_WEST, _EAST, _SOUTH, _NORTH = KOREA_BOUNDS
-
 
 @query(
     "st06_coordinate_check",
@@ -269,6 +284,66 @@ def sampled_coordinate_check(spark, sf_dir):
     return coordinate_check(all_moves(spark, sf_dir), "d", fraction=0.1, seed=7)
 
 
+@query(
+    "st06_hash_sample",
+    Q.with_m2(
+        """SELECT d_admdong_cd, o_admdong_cd, etl_ymd, st_time_cd, sample_code FROM (
+SELECT *, row_number() OVER (PARTITION BY d_admdong_cd ORDER BY sample_code DESC) AS place FROM (
+  SELECT DISTINCT d_admdong_cd, o_admdong_cd, etl_ymd, st_time_cd,
+    md5('7|=' || d_admdong_cd || '|=' || o_admdong_cd || '|=' || etl_ymd || '|=' || st_time_cd) AS sample_code FROM m2))
+WHERE place <= 5"""
+    ),
+)
+def hash_sampled_moves(spark, sf_dir):
+    """Five moves of every destination for a spot check, the same ones in every run."""
+    keys = ("o_admdong_cd", "etl_ymd", "st_time_cd")
+    return hash_sample(all_moves(spark, sf_dir), "d_admdong_cd", keys, 5, seed=7)
+
+
+@query(
+    "st06_spot_check",
+    Q.with_m2(
+        """SELECT CAST(sum(n) AS BIGINT) AS points, TRUE AS within_millimetre FROM (
+SELECT least(5, count(DISTINCT o_admdong_cd)) AS n FROM m2 GROUP BY d_admdong_cd)"""
+    ),
+)
+def spot_check(spark, sf_dir):
+    """Round trip of the origins of five moves of every destination."""
+    keys = ("o_admdong_cd", "o_x", "o_y")
+    sample = hash_sample(all_moves(spark, sf_dir), "d_admdong_cd", keys, 5)
+    checked = coordinate_check(sample, "o")
+    return checked.select("points", (F.col("max_error_m") < 1e-3).alias("within_millimetre"))
+
+
+# Bessel 1841 and WGS 84, and the transform of the Korean 1985 datum, written out.
+_SHIFT = """s1 AS (
+SELECT DISTINCT o_admdong_cd AS code, radians(124.0 + (o_x - 930000.0) / 6000.0) AS lon, radians(33.0 + (o_y - 1930000.0) / 5000.0) AS lat FROM m2),
+s2 AS (SELECT *, 1 / 299.1528128 * (2 - 1 / 299.1528128) AS e2 FROM s1),
+s3 AS (SELECT *, 6377397.155 / sqrt(1 - e2 * sin(lat) * sin(lat)) AS n FROM s2),
+s4 AS (SELECT *, n * cos(lat) * cos(lon) AS x, n * cos(lat) * sin(lon) AS y, n * (1 - e2) * sin(lat) AS z,
+  radians(1.16 / 3600) AS rx, radians(-2.31 / 3600) AS ry, radians(-1.63 / 3600) AS rz FROM s3),
+s5 AS (SELECT code, -115.80 + 1.00000643 * (x - rz * y + ry * z) AS x, 474.99 + 1.00000643 * (rz * x + y - rx * z) AS y,
+  674.11 + 1.00000643 * (-ry * x + rx * y + z) AS z, 1 / 298.257223563 * (2 - 1 / 298.257223563) AS e2,
+  6378137.0 AS a, 6378137.0 * (1 - 1 / 298.257223563) AS b FROM s4),
+s6 AS (SELECT *, sqrt(x * x + y * y) AS p, atan2(z * a, sqrt(x * x + y * y) * b) AS turn FROM s5)"""
+
+
+@query(
+    "st05_datum_shift",
+    Q.with_m2(
+        """SELECT code, round(degrees(atan2(y, x)), 8) AS lon,
+round(degrees(atan2(z + e2 / (1 - e2) * b * pow(sin(turn), 3), p - e2 * a * pow(cos(turn), 3))), 8) AS lat FROM s6""",
+        _SHIFT,
+    ),
+)
+def datum_shift(spark, sf_dir):
+    """Degrees on the Bessel ellipsoid of every origin to WGS 84."""
+    lon, lat = F.lit(124.0) + (F.col("o_x") - 930000.0) / 6000.0, F.lit(33.0) + (F.col("o_y") - 1930000.0) / 5000.0
+    points = all_moves(spark, sf_dir).select(F.col("o_admdong_cd").alias("code"), lon.alias("x"), lat.alias("y")).distinct()
+    new_lon, new_lat = shift_datum(F.col("x"), F.col("y"))
+    return rounded(points.select("code", new_lon.alias("lon"), new_lat.alias("lat")), lon=8, lat=8)
+
+
 # --- quality ------------------------------------------------------------------------
 
 _MEASURES = ("move_dist", "move_time", *S.BAND_COLS, "total_cnt")
@@ -345,6 +420,54 @@ def approximate_outliers(spark, sf_dir):
     return iqr_outliers(all_moves(spark, sf_dir), "move_dist")
 
 
+@query(
+    "st07_sketch_rank_error",
+    Q.with_m2(
+        """SELECT d_admdong_cd, count(*) AS "rows", TRUE AS q1_within, TRUE AS q3_within FROM m2 GROUP BY d_admdong_cd
+UNION ALL SELECT 'all', count(*), TRUE, TRUE FROM m2"""
+    ),
+)
+def sketch_rank_error(spark, sf_dir):
+    """Quartiles by sketch of every place and of all places merged: is their true rank within the bound?"""
+    rows = all_moves(spark, sf_dir).select("d_admdong_cd", "move_dist")
+    by_place = quantile_sketches(rows, "move_dist", ["d_admdong_cd"])
+    merged = merge_sketches(by_place).withColumn("d_admdong_cd", F.lit("all"))
+    found = sketch_quantiles(by_place.unionByName(merged), {"q1": 0.25, "q3": 0.75})
+    named = found.select(F.col("d_admdong_cd").alias("place"), "q1", "q3")
+    both = rows.withColumn("place", F.explode(F.array("d_admdong_cd", F.lit("all")))).join(named, "place")
+    n, error = F.count(F.lit(1)), rank_error(times=2)
+
+    def within(name: str, q: float):
+        below, upto = (F.count_if(F.col("move_dist") < F.col(name)), F.count_if(F.col("move_dist") <= F.col(name)))
+        return ((below / n <= q + error) & (upto / n >= q - error)).alias(f"{name}_within")
+
+    return both.groupBy(F.col("place").alias("d_admdong_cd")).agg(
+        n.alias("rows"), within("q1", 0.25), within("q3", 0.75)
+    )
+
+
+@query(
+    "st07_outliers_between",
+    Q.with_m2(
+        """SELECT d_admdong_cd, n AS "rows", TRUE AS holds FROM (
+SELECT d_admdong_cd, count(*) AS n FROM m2 GROUP BY d_admdong_cd)"""
+    ),
+)
+def outliers_between(spark, sf_dir):
+    """The exact number of outliers of every place lies between the certain and the possible."""
+    rows = all_moves(spark, sf_dir)
+    keys = ["d_admdong_cd"]
+    sketched = sketched_outliers(rows, "move_dist", keys, reach=0.5, times=2)
+    order = Window.partitionBy(*keys).orderBy("move_dist")
+    placed = rows.select(*keys, "move_dist", F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
+    at = {q: F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * q + 0.5) + 1, F.col("move_dist"))) for q in (0.25, 0.75)}
+    ends = placed.groupBy(*keys).agg(at[0.25].alias("q1"), at[0.75].alias("q3"))
+    gap = (F.col("q3") - F.col("q1")) * 0.5
+    outside = (F.col("move_dist") < F.col("q1") - gap) | (F.col("move_dist") > F.col("q3") + gap)
+    exact = rows.join(ends, keys).groupBy(*keys).agg(F.count_if(outside).alias("exact"))
+    return sketched.join(exact, keys).select(*keys, "rows", F.col("exact").between(F.col("certain"), F.col("possible")).alias("holds"))
+
+
 # --- filters, flows and age bands ------------------------------------------------------
 
 _NIGHT = "CAST(st_time_cd AS INTEGER) BETWEEN 18 AND 23 OR CAST(st_time_cd AS INTEGER) BETWEEN 0 AND 5"
@@ -391,6 +514,27 @@ def monthly_trend(spark, sf_dir):
     return rounded(trend, **{f"{kind}_{b}": 4 for kind in ("mean", "trend") for b in BANDS})
 
 
+_ZERO_TREND = ", ".join(f'round(regr_slope(coalesce("{b}", 0.0), step), 4) AS "trend_{b}"' for b in BANDS)
+_ZERO_MEANS = ", ".join(f'round(avg(coalesce("{b}", 0.0)), 4) AS "mean_{b}"' for b in BANDS)
+
+
+@query(
+    "a09_period_trend",
+    Q.with_m2(
+        f"""SELECT grid.d_admdong_cd, count(sums.ym) AS months, {_ZERO_MEANS}, {_ZERO_TREND}
+FROM (SELECT d_admdong_cd, ym, CAST(step AS DOUBLE) AS step FROM (SELECT DISTINCT d_admdong_cd FROM m2),
+  (SELECT CAST(199401 + i // 12 * 100 + i % 12 AS INTEGER) AS ym, i AS step FROM (SELECT unnest(range(0, 96)) AS i))) grid
+LEFT JOIN (SELECT d_admdong_cd, CAST(substr(etl_ymd, 1, 6) AS INTEGER) AS ym, {", ".join(f'sum("{b}") AS "{b}"' for b in BANDS)}
+  FROM m2 GROUP BY 1, 2) sums ON grid.d_admdong_cd = sums.d_admdong_cd AND grid.ym = sums.ym
+GROUP BY grid.d_admdong_cd"""
+    ),
+)
+def period_trend(spark, sf_dir):
+    """Months without rows as zeros; the period begins a year before the data."""
+    trend = flows.period_trend(all_moves(spark, sf_dir), (199401, 200112))
+    return rounded(trend, **{f"{kind}_{b}": 4 for kind in ("mean", "trend") for b in BANDS})
+
+
 _SUMS = ", ".join(f'coalesce(sum("{b}"), 0.0) AS "total_{b}"' for b in BANDS)
 _WHOLE = "(" + " + ".join(f'"total_{b}"' for b in BANDS) + ")"
 _SHARES = ", ".join(f'round("total_{b}" / ({_WHOLE} + 1e-6), 6) AS "share_{b}"' for b in BANDS)

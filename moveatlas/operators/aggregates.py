@@ -189,3 +189,46 @@ def monthly_means(
         *(F.avg(band).alias(f"mean_{band}") for band in bands),
         *(F.regr_slope(F.col(band), step).alias(f"trend_{band}") for band in bands),
     )
+
+
+def month_index(month: int) -> int:
+    """Months since year 0 of an integer ``yyyyMM``."""
+    if not 1 <= month % 100 <= 12:
+        raise ValueError(f"no such month: {month}")
+    return month // 100 * 12 + month % 100 - 1
+
+
+def period_means(
+    df: DataFrame, keys: str | Iterable[str], month: Column, bands: Sequence[str], period: tuple[int, int]
+) -> DataFrame:
+    """Mean monthly total and trend per group and band over all months of a period.
+
+    ``period`` is an inclusive range ``yyyyMM``. Unlike ``monthly_means``, a month without
+    rows counts as 0. Such months add nothing to the sums that mean and slope are made
+    of, and their number is known, so no row per month is made. The trend is null for a
+    period of one month; ``months`` counts the months that have rows.
+    """
+    keys = _keys(keys)
+    first, last = map(month_index, period)
+    n = last - first + 1
+    if n < 1:
+        raise ValueError(f"empty period: {period}")
+    monthly = group_totals(
+        df.withColumn("__month", month).filter(F.col("__month").between(*period)),
+        [*keys, "__month"],
+        {band: band for band in bands},
+    )
+    step = F.floor(F.col("__month") / 100) * 12 + F.col("__month") % 100 - 1 - first
+    steps, squares = sum(range(n)), sum(i * i for i in range(n))
+    spread = squares - steps * steps / n
+
+    def slope(band: str) -> Column:
+        if n == 1:
+            return F.lit(None).cast("double")
+        return (F.sum(step * F.col(band)) - F.lit(steps / n) * F.sum(band)) / F.lit(spread)
+
+    return monthly.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("months"),
+        *((F.sum(band) / F.lit(float(n))).alias(f"mean_{band}") for band in bands),
+        *(slope(band).alias(f"trend_{band}") for band in bands),
+    )

@@ -6,11 +6,15 @@ here are this library's own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from moveatlas.session import shared_folder
 
+LOG = logging.getLogger(__name__)
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 #: The code of what was abolished without a successor.
@@ -68,12 +72,35 @@ def attach_lookup(
 
 
 def map_purpose(
-    moves: DataFrame, lookup: DataFrame, max_bytes: int = BROADCAST_BYTES
+    moves: DataFrame,
+    lookup: DataFrame,
+    max_bytes: int = BROADCAST_BYTES,
+    unmapped: Observation | None = None,
 ) -> DataFrame:
-    """Add the standard ``purpose`` label; null for a code missing from the map."""
-    return attach_lookup(
+    """Add the standard ``purpose`` label; null for a code missing from the map.
+
+    ``unmapped`` counts the rows without a label, and all rows, while the result is
+    computed, without a scan of its own; see ``warn_unmapped``.
+    """
+    mapped = attach_lookup(
         moves, lookup.select("purpose_code", "purpose"), "purpose_code", "purpose_code", max_bytes
     )
+    if unmapped is None:
+        return mapped
+    return mapped.observe(
+        unmapped, F.count_if(F.col("purpose").isNull()).alias("unmapped"), F.count(F.lit(1)).alias("rows")
+    )
+
+
+def warn_unmapped(unmapped: Observation) -> int:
+    """Log a warning if rows had a purpose code missing from the map; returns their number.
+
+    Waits for the action that computes the observed frame.
+    """
+    found = unmapped.get
+    if found["unmapped"]:
+        LOG.warning("%d of %d moves have a purpose code that is not mapped", found["unmapped"], found["rows"])
+    return found["unmapped"]
 
 
 def unmapped_codes(moves: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from moveatlas import schema as S
@@ -19,7 +19,7 @@ from moveatlas.functions.scalar import (
     to_int,
     zero_sum,
 )
-from moveatlas.operators.aggregates import band_mix, group_totals, monthly_means
+from moveatlas.operators.aggregates import band_mix, group_totals, monthly_means, period_means
 from moveatlas.operators.filters import date_of, month_of
 from moveatlas.operators.geo import transform_coordinates
 from moveatlas.operators.lookups import attach_lookup, map_purpose
@@ -98,6 +98,11 @@ def monthly_trend(moves: DataFrame, key: str = "d_admdong_cd") -> DataFrame:
     return monthly_means(moves, key, month_of(moves, "etl_ymd"), S.BAND_COLS)
 
 
+def period_trend(moves: DataFrame, period: tuple[int, int], key: str = "d_admdong_cd") -> DataFrame:
+    """The same over all months of a period, months without rows as zeros."""
+    return period_means(moves, key, month_of(moves, "etl_ymd"), S.BAND_COLS, period)
+
+
 def _both_sides(moves: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
     """One row per move and side, from one scan of the moves.
 
@@ -238,13 +243,18 @@ def visitor_ranking(moves: DataFrame, key: str = "d_admdong_cd") -> DataFrame:
 
 
 def scoped_ranking(
-    moves: DataFrame, purposes: DataFrame, scope: Scope, key: str = "d_admdong_cd"
+    moves: DataFrame,
+    purposes: DataFrame,
+    scope: Scope,
+    key: str = "d_admdong_cd",
+    unmapped: Observation | None = None,
 ) -> DataFrame:
     """Merged moves, standardised, mapped, located and filtered, ranked by visitors.
 
-    ``located`` counts the moves whose destination has degrees.
+    ``located`` counts the moves whose destination has degrees. ``unmapped`` counts the
+    moves whose purpose is not mapped, which the scope may leave out.
     """
-    mapped = map_purpose(standardise_moves(moves), purposes)
+    mapped = map_purpose(standardise_moves(moves), purposes, unmapped=unmapped)
     inside = scope.apply(transform_coordinates(mapped, ("d",)))
     has_place = F.col("d_lon").isNotNull().cast("double")
     totals = group_totals(inside, key, {"visitors": "total_cnt", "located": has_place})
