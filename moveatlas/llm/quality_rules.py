@@ -2,9 +2,16 @@ r"""Quality rules: text statistics and a learned decision list over them.
 
 Statistics are native expressions over the whole text. The list is learned by
 sequential covering: conjunctions of thresholds are grown by FOIL gain on two thirds
-of a bounded, labelled sample of statistics, pruned on the last third, and kept while
-they are precise there; documents a rule covers leave the sample before the next rule
-is grown. The rules become one ordered chain of Spark conditions.
+of a bounded, labelled sample of statistics and pruned on the last third, where any
+condition may go; a rule is kept if it is precise there and covers enough bad documents.
+Documents a kept rule covers leave the sample before the next rule is grown; of a rule
+that is not kept only the bad ones are set aside, so that another rule is tried. Documents
+that the base rule rejects are not learned from: the list never sees them. The rules become
+one ordered chain of Spark conditions.
+
+Bounds of the list, whatever the size of the data: a sample of ``MAX_LABELLED`` documents,
+``MAX_RULES`` rules of ``MAX_CONDITIONS`` conditions, ``MAX_FAILED`` rules not kept; a rule
+covers ``MIN_COVERED`` bad documents and a share ``MIN_SHARE`` of the sample.
 
 Defined cases: a null text has no words and fails the base rule; a document with
 several labels takes the lowest; without labels of both kinds the list is empty and
@@ -28,8 +35,10 @@ MAX_REPEATED = 50
 MAX_LABELLED = 4000
 MAX_RULES = 12
 MAX_CONDITIONS = 4
+MAX_FAILED = 6
 MIN_PRECISION = 0.95
-MIN_COVERED = 8
+MIN_COVERED = 4
+MIN_SHARE = 0.005
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines")
 FEATURES = (
     "n_words", "chars_per_word", "symbols_per_word", "dup_line_share", "repeat_share",
@@ -161,8 +170,14 @@ def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float
 
 
 def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """The prefix of the rule that does best on the pruning part."""
-    return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: _worth(r, x, bad), default=())
+    """Drop the condition whose loss helps most, or harms nothing, while there is one."""
+    while len(rule) > 1:
+        fewer = [rule[:i] + rule[i + 1 :] for i in range(len(rule))]
+        best = max(fewer, key=lambda r: _worth(r, x, bad))
+        if _worth(best, x, bad) < _worth(rule, x, bad):
+            break
+        rule = best
+    return rule
 
 
 def _centre(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
@@ -180,24 +195,40 @@ def _centre(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return tuple(moved)
 
 
+def _held_out(bad: np.ndarray) -> np.ndarray:
+    """Every third document of either label, in order."""
+    part = np.zeros(len(bad), bool)
+    for label in (True, False):
+        part[np.flatnonzero(bad == label)[2::3]] = True
+    return part
+
+
 def learn_list(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
     """Ordered rules that reject; ``x`` holds feature arrays, ``bad`` the labels."""
-    part = np.arange(len(bad)) % 3 == 2
+    part = _held_out(bad)
+    least = max(MIN_COVERED, MIN_SHARE * len(bad))
     grow = {k: v[~part] for k, v in x.items()}
     prune = {k: v[part] for k, v in x.items()}
     bad_grow, bad_prune = bad[~part], bad[part]
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES and bad_grow.any() and (~bad_grow).any() and len(bad_prune):
-        rule = _prune(_grow(grow, bad_grow), prune, bad_prune)
+    failed = 0
+    while len(rules) < MAX_RULES and failed < MAX_FAILED and bad_grow.any() and (~bad_grow).any() and bad_prune.any():
+        rule = _grow(grow, bad_grow)
         if not rule:
             break
-        rule = _centre(rule, grow, bad_grow)
+        rule = _centre(_prune(rule, prune, bad_prune), grow, bad_grow)
         mask, held = covered(rule, grow), covered(rule, prune)
         p, n = bad_grow[mask].sum() + bad_prune[held].sum(), (~bad_grow[mask]).sum() + (~bad_prune[held]).sum()
         held_p, held_n = bad_prune[held].sum(), (~bad_prune[held]).sum()
-        if p < MIN_COVERED or p < MIN_PRECISION * (p + n) or held_p < MIN_PRECISION * (held_p + held_n):
-            break
-        rules.append(rule)
+        precise = p >= MIN_PRECISION * (p + n) and held_p >= MIN_PRECISION * (held_p + held_n)
+        if held_p and p >= least and precise:
+            rules.append(rule)
+        else:
+            failed += 1
+            mask &= bad_grow
+            held &= False
+            if not mask.any():
+                break
         grow, bad_grow = {k: v[~mask] for k, v in grow.items()}, bad_grow[~mask]
         prune, bad_prune = {k: v[~held] for k, v in prune.items()}, bad_prune[~held]
     return rules
@@ -207,7 +238,8 @@ def labelled_stats(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text",
     label: str = "quality", max_labelled: int = MAX_LABELLED,
 ) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Features and labels (True: bad) of at most ``max_labelled`` documents.
+    """Features and labels (True: bad) of at most ``max_labelled`` documents, but for
+    those that the base rule rejects.
 
     The sample is the labelled documents with the smallest id hashes, whatever the
     size of the tables; of rows that share an id the smallest text counts.
@@ -219,7 +251,7 @@ def labelled_stats(
     )
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")
     rows = rows.groupBy("__id", "__label").agg(F.min("text").alias("text"))
-    rows = with_stats(rows).select("__id", "__label", *[c.alias(k) for k, c in features().items()])
+    rows = with_stats(rows).where(~base_failed()).select("__id", "__label", *[c.alias(k) for k, c in features().items()])
     found = rows.toPandas().sort_values(["__id", *FEATURES])
     return {k: found[k].to_numpy(float) for k in FEATURES}, (found["__label"].to_numpy(int) == 0)
 
