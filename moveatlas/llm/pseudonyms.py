@@ -6,14 +6,25 @@ network adds keyed round values to one part of the number and then to the other,
 the mapping is a bijection and equal values get equal pseudonyms in every document,
 however they are punctuated. Mail addresses become keyed tokens.
 
+Found, in this order where several could start:
+
+* Mail addresses.
+* IBANs, compact or in groups, of the length of their country, or of 10 to 30 digits for a
+  country that is not listed: the account's digits and its letters are permuted, each at
+  their places, and the check digits are made new; an invalid IBAN is left alone.
+* IPv4: permuted among all addresses; with a part above 255 left alone.
+* Dates (``yyyy-mm-dd``, ``yyyy/mm/dd``, ``dd.mm.yyyy``, ``dd/mm/yyyy``, also without leading
+  zeros, and ``3 May 1980``): permuted among 73,000 days, counted from 1900-01-01; dates that
+  do not exist are left alone.
+* Social security numbers (``123-45-6789``): nine digits permuted.
+* Phone numbers of ten digits in groups, or ten digits in a row that begin like a North
+  American number: the last ten digits are permuted, the country code stays.
+* Phone numbers with ``+`` or ``(0)``: the digits behind the country code (one digit for 1
+  and 7, else two) or the trunk zero are permuted.
 * 13 to 19 digits: all digits but the last are permuted and the last keeps its
   distance to the Luhn digit, so valid numbers stay valid and others invalid.
-* IBAN with a numeric account of up to 30 digits: the account is permuted, the check digits are made new
-  for a valid one; an invalid one is left alone.
-* Phone numbers: the last ten digits are permuted, the country code stays.
-* IPv4: permuted among all addresses; with a part above 255 left alone.
-* Dates (``yyyy-mm-dd``, ``yyyy/mm/dd``, ``dd.mm.yyyy``, ``dd/mm/yyyy``): permuted among
-  73,000 days, counted from 1900-01-01; dates that do not exist are left alone.
+
+Not found: IPv6 addresses, other national numbers, names and postal addresses.
 
 The key is part of the plan: give one per corpus and keep event logs private.
 Defined cases: a null text stays null and holds nothing; everything else in a text
@@ -30,18 +41,30 @@ from moveatlas.llm.text import let
 ROUNDS = 8
 DAYS_LEFT, DAYS_RIGHT = 365, 200
 ORIGIN = "1900-01-01"
-#: Digits of the account by country, where it is numeric; other countries take 10 to 30.
-IBAN_DIGITS = {
-    11: "NO", 12: "BE", 14: "DK|FI|FO|GL", 15: "MK|SI", 16: "AT|BA|EE|LT|LU|XK", 17: "CH|HR|LI", 18: "DE|ME|RS|VA",
-    19: "AE|IL|TL", 20: "AD|CZ|ES|SE|SK|TN", 21: "PT", 22: "IS|TR", 23: "FR|GR|MC|MR", 24: "AL|CY|HU|LB|PL", 25: "EG",
+# Length of the account part by country, from the public IBAN registry.
+IBAN_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK|FI|FO|GL|NL", 15: "MK|SI", 16: "AT|BA|EE|KZ|LT|LU|XK", 17: "CH|HR|LI|LV",
+    18: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 19: "AE|GI|IL|IQ|TL", 20: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 21: "PT",
+    22: "IS|TR", 23: "FR|GR|IT|MC|MR|SM", 24: "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV", 25: "BR|EG|PS|QA|UA", 26: "JO|KW|MU",
+    27: "MT|SC", 28: "LC",
 }
-_KNOWN = "|".join(rf"(?:{of})\d{{2}}(?: ?\d){{{n}}}" for n, of in IBAN_DIGITS.items())
+_KNOWN = "|".join(rf"(?:{of})\d{{2}}(?: ?[A-Z0-9]){{{n}}}" for n, of in IBAN_LENGTHS.items())
+_MONTHS = "|".join(
+    f"{m[:3]}(?:{m[3:]})?" if m[3:] else m
+    for m in (
+        "January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
+        "November", "December",
+    )
+)
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": rf"(?<![A-Za-z0-9])(?:{_KNOWN}|[A-Z]{{2}}\d{{2}}(?: ?\d){{10,30}}+(?! ?\d))(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
-    "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d)",
-    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "date": rf"(?<!\d)(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{4}}/\d{{1,2}}/\d{{1,2}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}} (?:{_MONTHS}) \d{{4}})(?!\d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d.,+/-])[2-9]\d{9}(?![.,/-]?\d)",
+    "abroad": r"(?<![\d+])\+[1-9](?:[ ./-]?(?:\(\d{1,4}\)|\d)){6,14}(?!\d)",
+    "trunk": r"(?<!\d)\(0\)(?: ?-?\d){8,11}(?!\d)",
     "account": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(PATTERNS.values())
@@ -147,23 +170,95 @@ def phone_pseudonym(found: Column, key: str) -> Column:
     return _refill(found, let(_digits(found), new))
 
 
-def iban_pseudonym(found: Column, key: str) -> Column:
-    letters = F.substring(found, 1, 2)
-    code = F.concat(*[(F.ascii(F.substring(found, i, 1)) - 55).cast("string") for i in (1, 2)])
+def ssn_pseudonym(found: Column, key: str) -> Column:
+    return _refill(found, let(_digits(found), lambda d: permute_digits(d, key, "ssn")))
+
+
+def abroad_pseudonym(found: Column, key: str) -> Column:
+    def new(d: Column) -> Column:
+        head = F.when(F.substr(d, F.lit(1), F.lit(1)).isin("1", "7"), 1).otherwise(2)
+        return F.concat(F.substr(d, F.lit(1), head), permute_digits(F.substr(d, head + 1), key, "abroad"))
+
+    return _refill(found, let(_digits(found), new))
 
-    def rest(account: Column, check: Column) -> Column:
-        return (F.concat(account, code, check).cast("decimal(38,0)") % 97).cast("int")
 
+def trunk_pseudonym(found: Column, key: str) -> Column:
     def new(d: Column) -> Column:
-        account, check = F.substr(d, F.lit(3)), F.substr(d, F.lit(1), F.lit(2))
+        return F.concat(F.lit("0"), permute_digits(F.substr(d, F.lit(2)), key, "trunk"))
+
+    return _refill(found, let(_digits(found), new))
+
+
+LETTER_POWERS = [26**i for i in range(14)]
+
+
+def permute_letters(letters: Column, key: str, label: str) -> Column:
+    """A string of up to 26 capital letters permuted among the strings of its length."""
+    n = F.length(letters)
+    half = F.floor(n / 2).cast("int")
+    powers = F.array(*[F.lit(p).cast("long") for p in LETTER_POWERS])
+
+    def number(text: Column) -> Column:
+        codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: (F.ascii(c) - 65).cast("long"))
+        return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a * 26 + c)
+
+    def spelled(value: Column, size: Column) -> Column:
+        places = F.when(size > 0, F.sequence(size - 1, F.lit(0))).otherwise(F.array().cast("array<int>"))
+        return F.array_join(
+            F.transform(places, lambda i: F.char(F.pmod(F.call_function("div", value, F.get(powers, i)), F.lit(26)) + 65)), ""
+        )
+
+    def apply(p: Column) -> Column:
+        return F.concat(spelled(p["l"], half), spelled(p["r"], n - half))
+
+    left, right = F.substr(letters, F.lit(1), half), F.substr(letters, half + 1)
+    sizes = F.get(powers, half), F.get(powers, n - half)
+    return F.when(n.between(1, 26), let(feistel(number(left), number(right), *sizes, key, label), apply)).otherwise(letters)
+
+
+def iban_rest(text: Column) -> Column:
+    """A compact text of digits and capitals, letters as 10 to 35, modulo 97."""
+    def add(a: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(
+            F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))
+        )
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
+
+
+def _refill_both(form: Column, digits: Column, letters: Column) -> Column:
+    """``form`` with its digits and its capitals replaced in order."""
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("d"), F.lit(1).alias("l"))
+
+    def put(a: Column, c: Column) -> Column:
+        digit, letter = c.between("0", "9"), c.between("A", "Z")
+        new = F.when(digit, F.substr(digits, a["d"], F.lit(1))).when(letter, F.substr(letters, a["l"], F.lit(1)))
+        return F.struct(
+            F.concat(a["out"], new.otherwise(c)).alias("out"),
+            (a["d"] + digit.cast("int")).alias("d"), (a["l"] + letter.cast("int")).alias("l"),
+        )
+
+    return F.aggregate(F.split(form, ""), start, put, lambda a: a["out"])
+
+
+def iban_pseudonym(found: Column, key: str) -> Column:
+    country, check = F.substring(found, 1, 2), F.substring(found, 3, 2)
+
+    def new(account: Column) -> Column:
+        digits, letters = _digits(account), F.regexp_replace(account, "[^A-Z]", "")
+        many = F.when(F.length(digits) > 1, permute_digits(digits, key, "iban")).otherwise(digits)
+        compact = F.regexp_replace(account, " ", "")
 
-        def full(a: Column) -> Column:
-            return F.concat(F.lpad((98 - rest(a, F.lit("00"))).cast("string"), 2, "0"), a)
+        def full(moved: Column) -> Column:
+            rest = iban_rest(F.concat(F.regexp_replace(moved, " ", ""), country, F.lit("00")))
+            return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), moved)
 
-        permuted = let(permute_digits(account, key, "iban"), full)
-        return F.when(rest(account, check) == 1, permuted).otherwise(d)
+        valid = iban_rest(F.concat(compact, country, check)) == 1
+        both = F.struct(many.alias("d"), permute_letters(letters, key, "iban").alias("l"))
+        moved = let(both, lambda b: _refill_both(account, b["d"], b["l"]))
+        return F.when(valid, let(moved, full)).otherwise(found)
 
-    return F.concat(letters, _refill(F.substr(found, F.lit(3)), let(_digits(found), new)))
+    return let(F.substr(found, F.lit(5)), new)
 
 
 def ip_pseudonym(found: Column, key: str) -> Column:
@@ -181,7 +276,11 @@ def ip_pseudonym(found: Column, key: str) -> Column:
 
 
 def date_pseudonym(found: Column, key: str) -> Column:
-    layouts = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d{2}\.": "dd.MM.yyyy", r"^\d{2}/": "dd/MM/yyyy"}
+    layouts = {
+        r"^\d{4}-": "yyyy-M-d", r"^\d{4}/": "yyyy/M/d", r"^\d{1,2}\.": "d.M.yyyy", r"^\d{1,2}/": "d/M/yyyy",
+        r"^\d{4}-\d{2}-\d{2}": "yyyy-MM-dd", r"^\d{4}/\d{2}/\d{2}": "yyyy/MM/dd", r"^\d{2}\.\d{2}\.": "dd.MM.yyyy",
+        r"^\d{2}/\d{2}/": "dd/MM/yyyy", r"^\d{1,2} [A-Z]": "d MMMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} ": "d MMM yyyy",
+    }
     span = DAYS_LEFT * DAYS_RIGHT
 
     def renew(layout: str):
@@ -211,7 +310,8 @@ def email_pseudonym(found: Column, key: str) -> Column:
 
 MAKERS = {
     "email": email_pseudonym, "iban": iban_pseudonym, "ip": ip_pseudonym,
-    "date": date_pseudonym, "phone": phone_pseudonym, "account": account_pseudonym,
+    "date": date_pseudonym, "ssn": ssn_pseudonym, "phone": phone_pseudonym, "abroad": abroad_pseudonym,
+    "trunk": trunk_pseudonym, "account": account_pseudonym,
 }
 
 
