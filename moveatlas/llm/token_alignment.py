@@ -152,17 +152,22 @@ def tokenizers_of(folder: str) -> Pair:
     return Pair(folder)
 
 
-def end_index(sizes: np.ndarray) -> dict[int, int]:
-    """From every cumulative byte end to the index behind the last token that ends there."""
-    return dict(zip(np.cumsum(sizes).tolist(), range(1, len(sizes) + 1), strict=True))
+def end_index(sizes: np.ndarray, last: int) -> np.ndarray:
+    """From every cumulative byte end to the index behind the last token that ends there, else 0.
+
+    Ends are small numbers, so the dictionary is addressed by the end itself.
+    """
+    index = np.zeros(last + 1, np.int64)
+    index[np.cumsum(sizes)] = np.arange(1, len(sizes) + 1)
+    return index
 
 
 def slices(sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices behind every group in A and in B."""
-    by_a, by_b = end_index(sizes_a), end_index(sizes_b)
-    common = sorted(by_a.keys() & by_b.keys())
-    n = len(common)
-    return tuple(np.fromiter(map(by.__getitem__, common), np.int64, n) for by in (by_a, by_b))
+    """Indices behind every group in A and in B, at the keys of both dictionaries in order."""
+    last = int(max(sizes_a.sum(), sizes_b.sum()))
+    by_a, by_b = end_index(sizes_a, last), end_index(sizes_b, last)
+    common = np.flatnonzero((by_a > 0) & (by_b > 0))
+    return by_a[common], by_b[common]
 
 
 def groups_text(pair: Pair, ids_a: np.ndarray, ids_b: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> str:
