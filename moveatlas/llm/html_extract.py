@@ -113,11 +113,13 @@ def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, tuple[str
     """Blocks; by place of each dropped element its name, words and whether they have content."""
     blocks: list[Block] = []
     held: dict[int, tuple[str, int, bool]] = {}
-    opened: list[int] = []
+    opened: list[tuple[int, int, int]] = []
     stack: list[tuple[str, bool, bool]] = []
+    block_level: list[int] = []
+    open_names: Counter = Counter()
     pieces: list[str] = []
     tags: list[str] = []
-    dropped = content = links = linked = 0
+    dropped = content = links = linked = seen = seen_inside = 0
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -126,16 +128,15 @@ def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, tuple[str
             linked += len(piece.split())
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, seen, seen_inside
         text = " ".join(entities.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
             n = text.count(" ") + 1
             blocks.append(Block(text, n, min(n, linked), tags[:], not dropped, content > 0))
             tags.clear()
-            for place in opened:
-                of, words, inside = held[place]
-                held[place] = (of, words + n, inside or content > 0)
+            seen += n
+            seen_inside += n if content else 0
         linked = 0
 
     def pop_to(depth: int) -> None:
@@ -144,9 +145,13 @@ def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, tuple[str
             name, drop, inside = stack.pop()
             dropped -= drop
             if drop:
-                opened.pop()
+                place, before, before_inside = opened.pop()
+                held[place] = (name, seen - before, seen_inside > before_inside)
             content -= inside
             links -= name == "a"
+            open_names[name] -= 1
+            if name not in INLINE:
+                block_level.pop()
 
     at = 0
     while True:
@@ -177,34 +182,35 @@ def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, tuple[str
                 at = end.end() if end else len(page)
             continue
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    ends_dropped = any(drop for _, drop, _ in stack[depth:])
-                    if ends_dropped and name in INLINE:
-                        flush()
-                    pop_to(depth)
-                    if ends_dropped and not dropped and tags and tags[-1] == name:
-                        tags.pop()
-                    break
+            if open_names[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                ends_dropped = any(drop for _, drop, _ in stack[depth:])
+                if ends_dropped and name in INLINE:
+                    flush()
+                pop_to(depth)
+                if ends_dropped and not dropped and tags and tags[-1] == name:
+                    tags.pop()
             continue
         if name in VOID or m[0].endswith("/>"):
             continue
-        if name not in INLINE and stack and name != "html":
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p" or (stack[depth][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    pop_to(depth)
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
+        if name not in INLINE and block_level and name != "html":
+            parent = stack[block_level[-1]][0]
+            if parent == "p" or (parent == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                pop_to(block_level[-1])
         if drop:
             flush()
-            opened.append(m.start())
-            held[m.start()] = (name, 0, False)
+            opened.append((m.start(), seen, seen_inside))
+        open_names[name] += 1
+        if name not in INLINE:
+            block_level.append(len(stack))
         stack.append((name, drop, name in CONTENT))
         dropped += drop
         links += name == "a"
         content += name in CONTENT
     flush()
+    pop_to(0)
     blocks.append(Block("", 0, 0, tags[:], False, False))
     return blocks, held
 
