@@ -2,7 +2,8 @@ r"""HTML main text by the best-scoring contiguous region of a page.
 
 A page is read as a sequence of words and tags. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are known by element or by a whole
-class, id or role, and their words score nothing, unless the article is among them. Every other word scores
+class, id or role, and their words score nothing, unless the article is among them; inside
+an article, marks that are common subjects (``UNSURE``) give way to prose. Every other word scores
 positive and every tag negative, by log-odds from labelled pages: pages with exactly
 one ``article`` or ``main`` element, whose inside is content. Words of links are weighed on their own and may score negative. One linear scan finds the
 contiguous run of blocks with the highest score; its words are the main text.
@@ -53,6 +54,10 @@ MARKED = set(
     "sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
 OUTSIDE_ONLY = {"header", "masthead", "topbar"}
+#: Marks that name subjects as well as page parts; inside an article,
+#: an element so marked stays if it has ``PROSE`` words outside links, and most are.
+UNSURE = set("menu navigation search social tags toolbar".split())
+PROSE = 30
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)(?:>|\Z)",
@@ -79,6 +84,30 @@ class Block:
     inside: bool
 
 
+@dataclass
+class Dropped:
+    """An element left out: its name, place of words in the page, and whether prose may save it."""
+
+    name: str
+    unsure: bool
+    words: int
+    linked: int
+    inside: int
+
+    def close(self, words: int, linked: int, inside: int) -> None:
+        """Turn the counts before the element into those of the element."""
+        self.words, self.linked, self.inside = words - self.words, linked - self.linked, inside - self.inside
+
+    def is_prose(self) -> bool:
+        return self.unsure and self.words - self.linked >= PROSE and 2 * self.linked < self.words
+
+
+def _is_unsure(name: str, attributes: str) -> bool:
+    """Whether only ``UNSURE`` words mark the element."""
+    values = ATTRIBUTE.findall(attributes)
+    return name not in BOILERPLATE and not any(_says(v, MARKED - UNSURE) for v in values)
+
+
 def _is_marked(name: str, attributes: str, in_content: bool) -> bool:
     if name in BOILERPLATE:
         return True
@@ -99,27 +128,28 @@ def read_blocks(page: str) -> list[Block]:
     as are marked ones and forms that hold over half of the words of the page.
     """
     blocks, held = _read(page, set())
-    if any(b.kept and b.inside for b in blocks):
-        return blocks
     total = sum(b.n_words for b in blocks)
-    spared = {
-        at for at, (name, n, inside) in held.items()
-        if inside or (2 * n > total and (name == "form" or name not in BOILERPLATE))
-    }
+    if any(b.kept and b.inside for b in blocks):
+        spared = {at for at, d in held.items() if d.is_prose()}
+    else:
+        spared = {
+            at for at, d in held.items()
+            if d.inside or (2 * d.words > total and (d.name == "form" or d.name not in BOILERPLATE))
+        }
     return _read(page, spared)[0] if spared else blocks
 
 
-def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, tuple[str, int, bool]]]:
-    """Blocks; by place of each dropped element its name, words and whether they have content."""
+def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, Dropped]]:
+    """Blocks, and every dropped element by its place."""
     blocks: list[Block] = []
-    held: dict[int, tuple[str, int, bool]] = {}
-    opened: list[tuple[int, int, int]] = []
+    held: dict[int, Dropped] = {}
+    opened: list[Dropped] = []
     stack: list[tuple[str, bool, bool]] = []
     block_level: list[int] = []
     open_names: Counter = Counter()
     pieces: list[str] = []
     tags: list[str] = []
-    dropped = content = links = linked = seen = seen_inside = 0
+    dropped = content = links = linked = seen = seen_linked = seen_inside = 0
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -128,7 +158,7 @@ def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, tuple[str
             linked += len(piece.split())
 
     def flush() -> None:
-        nonlocal linked, seen, seen_inside
+        nonlocal linked, seen, seen_linked, seen_inside
         text = " ".join(entities.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
@@ -136,6 +166,7 @@ def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, tuple[str
             blocks.append(Block(text, n, min(n, linked), tags[:], not dropped, content > 0))
             tags.clear()
             seen += n
+            seen_linked += min(n, linked)
             seen_inside += n if content else 0
         linked = 0
 
@@ -145,8 +176,7 @@ def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, tuple[str
             name, drop, inside = stack.pop()
             dropped -= drop
             if drop:
-                place, before, before_inside = opened.pop()
-                held[place] = (name, seen - before, seen_inside > before_inside)
+                opened.pop().close(seen, seen_linked, seen_inside)
             content -= inside
             links -= name == "a"
             open_names[name] -= 1
@@ -201,7 +231,9 @@ def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, tuple[str
                 pop_to(block_level[-1])
         if drop:
             flush()
-            opened.append((m.start(), seen, seen_inside))
+            unsure = content > 0 and not dropped and _is_unsure(name, m[3] or "")
+            held[m.start()] = Dropped(name, unsure, seen, seen_linked, seen_inside)
+            opened.append(held[m.start()])
         open_names[name] += 1
         if name not in INLINE:
             block_level.append(len(stack))
