@@ -7,8 +7,11 @@ set that travels with the plan; every document is scanned in place, each hash hi
 verified against the window's words, and the words inside verified windows are hit.
 Nothing is shuffled for documents without hits.
 
-The set is used in the plan up to ``MAX_SET`` windows; a larger benchmark is joined
-with all document windows instead, with the same result.
+The set is used in the plan up to ``MAX_SET`` windows. Of a larger benchmark, a bit
+filter of the hashes (16 bits a window, at most ``MAX_BITS``) travels with the plan: it
+drops nearly all windows of clean documents in place, and only those it lets through are
+joined with the set, which is broadcast up to ``MAX_BROADCAST`` windows. The result is
+the same either way; the bounds only change the cost.
 
 Defined cases: null or empty texts have no words; items without words have no
 window; items of one id count once, a null id is written ``null``; repeated documents
@@ -22,10 +25,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moveatlas.llm.text import apart, ascii_lower, present, stored
+from moveatlas.llm.text import apart, ascii_lower, let, present, stored, with_hint
 
 WINDOW = 13
 MAX_SET = 20_000
+MAX_BROADCAST = 200_000
+#: Bits of the filter: 16 MB at most, in arrays of ``CHUNK`` longs.
+MAX_BITS = 2**27
+CHUNK = 4096
 #: A document is contaminated if this many times its hit words reach all its words.
 HIT_FACTOR = 20
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,11 +62,45 @@ def benchmark_windows(
 
 @dataclass(frozen=True)
 class GramSet:
-    """Benchmark windows by length; ``grams`` is None beyond the bound."""
+    """Benchmark windows by length; beyond the bound a bit filter stands for ``grams``."""
 
     windows: DataFrame
     lengths: tuple[int, ...]
     grams: dict[int, list[tuple[int, str]]] | None
+    bits: DataFrame | None = None
+    n_bits: int = 0
+
+
+def _places(code: Column, n_bits: int) -> list[tuple[Column, Column]]:
+    """The two places of a hash in the filter: number of the long, and its bit."""
+    last = F.lit(n_bits // 64 - 1).cast("long")
+    return [
+        (F.shiftrightunsigned(code, at).bitwiseAND(last), F.shiftrightunsigned(code, bit).bitwiseAND(F.lit(63)).cast("int"))
+        for at, bit in ((6, 0), (30, 52))
+    ]
+
+
+def bit_filter(codes: DataFrame, n_bits: int) -> DataFrame:
+    """One row: the filter as an array of arrays of ``CHUNK`` longs."""
+    places = F.explode(F.array(*[F.struct(at.alias("at"), bit.alias("bit")) for at, bit in _places(F.col("code"), n_bits)]))
+    longs = (
+        codes.select(places.alias("p")).groupBy(F.col("p.at").alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, p.bit)")).alias("bits"))
+    )
+    every = codes.sparkSession.range(n_bits // 64).select(F.col("id").alias("at")).join(longs, "at", "left")
+    chunks = every.groupBy(F.floor(F.col("at") / CHUNK).alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0)).alias("bits"))))["bits"].alias("bits")
+    )
+    return chunks.agg(F.sort_array(F.collect_list(F.struct("chunk", "bits")))["bits"].alias("bits"))
+
+
+def may_hold(bits: Column, code: Column, n_bits: int) -> Column:
+    """Whether both places of the hash are set."""
+    tests = [
+        F.getbit(F.get(F.get(bits, F.floor(at / CHUNK).cast("int")), (at % CHUNK).cast("int")), bit) == 1
+        for at, bit in _places(code, n_bits)
+    ]
+    return tests[0] & tests[1]
 
 
 def gram_set(benchmark: DataFrame, *, max_set: int = MAX_SET, **columns) -> GramSet:
@@ -67,57 +108,90 @@ def gram_set(benchmark: DataFrame, *, max_set: int = MAX_SET, **columns) -> Gram
     windows = stored(benchmark_windows(benchmark, **columns), "benchmark-windows")
     distinct = windows.select("n", "code", "gram").distinct()
     lengths = tuple(sorted(r.n for r in windows.select("n").distinct().collect()))
-    if distinct.count() > max_set:
-        return GramSet(windows, lengths, None)
+    n_grams = distinct.count()
+    if n_grams > max_set:
+        n_bits = min(max(64 * CHUNK, 1 << (16 * n_grams - 1).bit_length()), MAX_BITS)
+        bits = stored(bit_filter(distinct.select("code"), n_bits), "benchmark-bits")
+        return GramSet(windows, lengths, None, bits, n_bits)
     grams: dict[int, list[tuple[int, str]]] = {n: [] for n in lengths}
     for row in distinct.sort("gram").collect():
         grams[row.n].append((row.code, row.gram))
     return GramSet(windows, lengths, grams)
 
 
-def _found(n: int, grams: list[tuple[int, str]] | None) -> str:
+def _found(n: int, grams: list[tuple[int, str]]) -> str:
     """SQL for the windows of ``n`` words of the array ``w`` that the set holds."""
     starts = f"IF(size(w) >= {n}, sequence(1, size(w) - {n} + 1), array())"
-    if grams is not None:
-        codes = ", ".join(f"{code}L" if code > -(2**63) else "-9223372036854775807L - 1L" for code, _ in grams)
-        texts = ", ".join("'" + gram.replace("\\", "\\\\").replace("'", "\\'") + "'" for _, gram in grams)
-        starts = (
-            f"filter({starts}, i -> xxhash64(slice(w, i, {n})) IN ({codes})"
-            f" AND array_join(slice(w, i, {n}), ' ') IN ({texts}))"
-        )
+    codes = ", ".join(f"{code}L" if code > -(2**63) else "-9223372036854775807L - 1L" for code, _ in grams)
+    texts = ", ".join("'" + gram.replace("\\", "\\\\").replace("'", "\\'") + "'" for _, gram in grams)
+    starts = (
+        f"filter({starts}, i -> xxhash64(slice(w, i, {n})) IN ({codes})"
+        f" AND array_join(slice(w, i, {n}), ' ') IN ({texts}))"
+    )
     return (
         f"transform({starts}, i -> named_struct('pos', i, 'n', {n},"
         f" 'gram', array_join(slice(w, i, {n}), ' ')))"
     )
 
 
+def _codes(w: Column, n: int) -> Column:
+    """pos, n and hash of every window of ``n`` words."""
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(
+        starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("code"))
+    )
+
+
+NO_HITS = "CAST(array() AS array<struct<pos:int,n:int,gram:string>>)"
+
+
+def _scan_large(docs: DataFrame, found: GramSet, text: str) -> DataFrame:
+    """``scan_hits`` with a set too large for the plan.
+
+    Hashes are filtered in place, those let through are joined with the set as hashes,
+    and the words of what is left are compared.
+    """
+    rows = stored(docs.withColumns({"__row": F.monotonically_increasing_id()}), "decontaminate-rows")
+    grams = stored(found.windows.select("n", "code", "gram").distinct(), "benchmark-grams")
+    words = plain_words(F.col(text))
+    codes = let(words, lambda w: F.concat(*[_codes(w, n) for n in found.lengths]))
+    hashed = (
+        rows.select("__row", F.inline(codes))
+        .where(may_hold(found.bits.scalar(), F.col("code"), found.n_bits))
+        .join(with_hint(grams.select("n", "code").distinct(), MAX_BROADCAST), ["n", "code"], "left_semi")
+    )
+    by_row = stored(
+        hashed.groupBy("__row").agg(F.collect_list(F.struct("pos", "n")).alias("__places")), "decontaminate-places"
+    )
+    compared = (
+        rows.select("__row", words.alias("w")).join(by_row, "__row")
+        .select("__row", F.explode(F.transform(
+            "__places",
+            lambda p: F.struct(
+                p["pos"].alias("pos"), p["n"].alias("n"), F.array_join(F.slice("w", p["pos"], p["n"]), " ").alias("gram")
+            ),
+        )).alias("h"))
+        .select("__row", "h", F.col("h.n").alias("n"), F.col("h.gram").alias("gram"))
+        .join(with_hint(grams.select("n", "gram"), MAX_BROADCAST), ["n", "gram"], "left_semi")
+    )
+    real = compared.groupBy("__row").agg(F.collect_list("h").alias("__hits"))
+    back = rows.withColumn("n_words", F.size(words).cast("long")).join(real, "__row", "left")
+    return back.withColumn("hits", F.coalesce("__hits", F.expr(NO_HITS))).drop("__row", "__hits")
+
+
 def scan_hits(docs: DataFrame, found: GramSet, *, text: str = "text") -> DataFrame:
     """``docs`` plus ``n_words`` and ``hits``: pos, n and gram of every verified window."""
+    if found.grams is None:
+        return _scan_large(docs, found, text)
     read = docs.withColumn("__words", plain_words(F.col(text)))
-    none = "CAST(array() AS array<struct<pos:int,n:int,gram:string>>)"
-    parts = [_found(n, found.grams and found.grams[n]) for n in found.lengths]
-    every = f"concat({', '.join([none, *parts])})"
-    scanned = read.withColumns(
+    parts = [_found(n, found.grams[n]) for n in found.lengths]
+    every = f"concat({', '.join([NO_HITS, *parts])})"
+    return read.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
             "hits": F.expr(f"transform(array(__words), w -> {every})[0]"),
         }
     ).drop("__words")
-    if found.grams is not None:
-        return scanned
-    rows = stored(docs.withColumns({"__row": F.monotonically_increasing_id()}), "decontaminate-rows")
-    scanned = rows.withColumns(
-        {"n_words": F.size(plain_words(F.col(text))).cast("long"), "hits": F.expr(none)}
-    )
-    all_windows = (
-        rows.select("__row", plain_words(F.col(text)).alias("__words"))
-        .select("__row", F.explode(F.expr(f"transform(array(__words), w -> {every})[0]")).alias("h"))
-        .select("__row", "h", F.col("h.n").alias("n"), F.col("h.gram").alias("gram"))
-    )
-    real = all_windows.join(found.windows.select("n", "gram").distinct(), ["n", "gram"], "left_semi")
-    by_row = real.groupBy("__row").agg(F.collect_list("h").alias("__hits"))
-    back = scanned.join(by_row, "__row", "left")
-    return back.withColumn("hits", F.coalesce("__hits", "hits")).drop("__row", "__hits")
 
 
 def hit_words(hits: Column) -> Column:
