@@ -53,10 +53,10 @@ def benchmark_windows(
         plain_words(F.col(text)).alias("w"),
     ).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
-    starts = named.select("item", "w", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i"))
-    own = F.slice("w", F.col("i"), F.col("n"))
-    return starts.select(
-        "item", "n", F.array_join(own, " ").alias("gram"), F.xxhash64(own).alias("code")
+    own = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))
+    windows = named.select("item", n.alias("n"), F.explode(own).alias("own"))
+    return windows.select(
+        "item", "n", F.array_join("own", " ").alias("gram"), F.xxhash64("own").alias("code")
     ).distinct()
 
 
