@@ -15,6 +15,13 @@ the fixed reference fingerprints or to the pivot differ by more than ``MAX_BITS`
 discarded (the triangle inequality), and what is left is verified bit by bit, in the
 first list that a pair shares.
 
+A list with more than ``MAX_FAR`` members out of reach of its pivot is not compared. The
+bits its members need not share are cut into blocks in turn, and its members are listed
+anew under every choice of those: a pair that differs in four bits still agrees on two of
+six blocks, so finer lists lose no link. Fingerprints and groups that hold more than one
+in ``HOT`` of the documents, ``HOT`` of them at most, are salted where documents are
+joined with them.
+
 Defined cases: a null text has no words; a text without words has fingerprint zero and
 links like any other; one with fewer words than a shingle has its whole sequence as
 its only shingle; repeated rows are documents of one fingerprint; a component is named
@@ -23,18 +30,17 @@ by its smallest id, null ids are never the smallest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from moveatlas.llm.components import components
-from moveatlas.llm.text import ship, stored
+from moveatlas.llm.text import ship, stored, with_hint
 
 SHINGLE = 4
 SEED = 42
@@ -42,6 +48,12 @@ MAX_BITS = 4
 #: Blocks cut, blocks that stay equal under four changed bits.
 CUTS = ((5, 1), (6, 2), (7, 3), (8, 4))
 REFERENCES = 8
+LIST = ["list", "mask", "key"]
+#: Members out of reach of the pivot beyond which a list is cut further, and how often.
+MAX_FAR = 1_000
+MAX_SPLITS = 3
+FINER = (6, 2)
+HOT, SALTS = 256, 64
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -66,22 +78,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with ``fingerprint`` (signed 64 bits) instead of the text."""
-    rest = [c for c in docs.columns if c not in (text, "fingerprint")]
-    schema = StructType([*docs.select(*rest).schema, StructField("fingerprint", LongType())])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            prints = [fingerprint(t if isinstance(t, str) else None, shingle) for t in batch[text]]
-            yield batch[rest].assign(fingerprint=np.array(prints, np.uint64).view(np.int64))
+    @F.pandas_udf("long")
+    def read(texts: pd.Series) -> pd.Series:
+        prints = [fingerprint(t if isinstance(t, str) else None, shingle) for t in texts]
+        return pd.Series(np.array(prints, np.uint64).view(np.int64))
 
-    return docs.select(*rest, text).mapInPandas(read, schema)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "fingerprint")]
+    return docs.select(*rest, read(F.col(text)).alias("fingerprint"))
 
 
-def _masks(blocks: int, equal: int) -> list[int]:
-    """One mask per choice of ``equal`` of ``blocks`` nearly even blocks of 64 bits."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(chosen) for chosen in combinations(parts, equal)]
+def _masks(blocks: int, equal: int, fixed: int = 0) -> list[int]:
+    """``fixed`` plus each choice of ``equal`` of ``blocks`` nearly even blocks of the other bits."""
+    free = [b for b in range(64) if not fixed >> b & 1]
+    edges = [round(len(free) * i / blocks) for i in range(blocks + 1)]
+    parts = [sum(1 << b for b in free[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
+    return [fixed + sum(chosen) for chosen in combinations(parts, equal)]
 
 
 def _signed(n: int) -> int:
@@ -103,24 +115,40 @@ def _reference(i: int) -> int:
     return _signed(xxhash.xxh64_intdigest(f"reference {i}".encode(), SEED))
 
 
-def near_pairs(prints: DataFrame, cut: tuple[int, int] | None = None) -> DataFrame:
-    """Edges (v, u) between fingerprints that connect all pairs within ``MAX_BITS``.
-
-    ``prints``: distinct fp with n, its number of documents.
-    """
-    masks = [_signed(m) for m in _masks(*(cut or _cut_for(prints.count())))]
-    listed = prints.select(
-        "fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("list", "key")
-    )
-    pivots = listed.groupBy("list", "key").agg(
+def _with_distances(listed: DataFrame) -> DataFrame:
+    """Members of lists of two or more with their pivot and all distances."""
+    pivots = listed.groupBy(*LIST).agg(
         F.count("*").alias("members"), F.max(F.struct("n", "fp"))["fp"].alias("pivot")
     ).where(F.col("members") > 1)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))).cast("int")
-    member = listed.join(pivots, ["list", "key"]).select(
-        "list", "key", "fp", "pivot", near.alias("near"),
+    member = listed.join(pivots, LIST).select(
+        *LIST, "fp", "n", "members", "pivot", near.alias("near"),
         *[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_reference(i)))).cast("int").alias(f"d{i}") for i in range(REFERENCES)],
     )
-    member = stored(member, "pivot-distances")
+    return stored(member, "pivot-distances")
+
+
+def _crowded(member: DataFrame, max_far: int) -> DataFrame | None:
+    """The lists with more than ``max_far`` members out of reach of the pivot."""
+    far = member.where((F.col("members") > max_far) & (F.col("near") > MAX_BITS)).groupBy(*LIST)
+    crowded = stored(far.agg(F.count("*").alias("far")).where(F.col("far") > max_far).select(*LIST), "crowded-lists")
+    return None if crowded.isEmpty() else crowded
+
+
+def _finer_lists(member: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Members of crowded lists under every choice of blocks of the bits left."""
+    held = [row.mask for row in crowded.select("mask").distinct().collect()]
+    finer = member.sparkSession.createDataFrame(
+        [(m, _signed(f)) for m in held for f in _masks(*FINER, m % 2**64)], "mask long, finer long"
+    )
+    inside = member.join(with_hint(crowded), LIST, "left_semi").join(F.broadcast(finer), "mask")
+    return inside.select(
+        "fp", "n", "list", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key")
+    )
+
+
+def _compare(member: DataFrame, masks: list[int]) -> DataFrame:
+    """Links of every list: to the pivot, or between verified members."""
     to_pivot = member.where((F.col("near") <= MAX_BITS) & (F.col("fp") != F.col("pivot")))
     far = member.where(F.col("near") > MAX_BITS).alias("a")
     other = member.alias("b")
@@ -128,7 +156,9 @@ def near_pairs(prints: DataFrame, cut: tuple[int, int] | None = None) -> DataFra
     first = F.lit(len(masks))
     for i, mask in reversed(list(enumerate(masks))):
         first = F.when(x.bitwiseAND(F.lit(mask)) == 0, F.lit(i)).otherwise(first)
-    close = F.col("a.list").eqNullSafe(F.col("b.list")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp"))
+    close = F.col("a.fp") != F.col("b.fp")
+    for name in LIST:
+        close = close & (F.col(f"a.{name}") == F.col(f"b.{name}"))
     close = close & ((F.col("b.near") <= MAX_BITS) | (F.col("a.fp") < F.col("b.fp")))
     for name in ("near", *[f"d{i}" for i in range(REFERENCES)]):
         close = close & (F.abs(F.col(f"a.{name}") - F.col(f"b.{name}")) <= MAX_BITS)
@@ -137,20 +167,58 @@ def near_pairs(prints: DataFrame, cut: tuple[int, int] | None = None) -> DataFra
     return to_pivot.select(F.col("fp").alias("v"), F.col("pivot").alias("u")).unionByName(checked)
 
 
+def near_pairs(prints: DataFrame, cut: tuple[int, int] | None = None, *, max_far: int = MAX_FAR) -> DataFrame:
+    """Edges (v, u) between fingerprints that connect all pairs within ``MAX_BITS``.
+
+    ``prints``: distinct fp with n, its number of documents. Edges can repeat.
+    """
+    masks = [_signed(m) for m in _masks(*(cut or _cut_for(prints.count())))]
+    listed = prints.select("fp", "n", F.posexplode(F.array(*map(F.lit, masks))).alias("list", "mask"))
+    listed = listed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    edges = []
+    for level in range(MAX_SPLITS + 1):
+        member = _with_distances(listed)
+        crowded = _crowded(member, max_far) if level < MAX_SPLITS else None
+        if crowded is None:
+            edges.append(_compare(member, masks))
+            break
+        edges.append(_compare(member.join(with_hint(crowded), LIST, "left_anti"), masks))
+        listed = _finer_lists(member, crowded)
+    return reduce(DataFrame.unionByName, edges)
+
+
+def _join_hot(rows: DataFrame, column: str, one: DataFrame, counts: DataFrame) -> DataFrame:
+    """Left join of ``rows`` with ``one`` (one row a __key), hot values of ``column`` salted.
+
+    ``counts``: __key and n, the rows that hold it.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") * HOT > total).select(F.col("__key").alias("__hot")))
+    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    many = rows.withColumn("__deal", dealt).join(hot, F.col(column) == F.col("__hot"), "left")
+    many = many.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.col("__deal"))).drop("__hot", "__deal")
+    salts = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    few = one.join(hot, F.col("__key") == F.col("__hot"), "left")
+    few = few.withColumn("__copy", F.explode(salts)).drop("__hot")
+    joined = many.join(few, (F.col(column) == F.col("__key")) & (F.col("__salt") == F.col("__copy")), "left")
+    return joined.drop("__key", "__salt", "__copy")
+
+
 def group_documents(prints: DataFrame) -> DataFrame:
     """``prints`` (with fingerprint; stored) plus ``root``, one value per component."""
     by_print = stored(
         prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.count("*").alias("n")), "fingerprints"
     )
-    stars = components(near_pairs(by_print)).select(F.col("v").alias("__fp"), F.col("u").alias("__root"))
-    joined = prints.join(stars, F.col("fingerprint") == F.col("__fp"), "left")
-    return joined.withColumn("root", F.coalesce("__root", "fingerprint")).drop("__fp", "__root")
+    stars = components(near_pairs(by_print)).select(F.col("v").alias("__key"), F.col("u").alias("__root"))
+    joined = _join_hot(prints, "fingerprint", stars, by_print.withColumnRenamed("fp", "__key"))
+    return joined.withColumn("root", F.coalesce("__root", "fingerprint")).drop("__root")
 
 
 def with_component(grouped: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """Add ``component_id``, the smallest key of every root."""
-    least = grouped.groupBy(F.col("root").alias("__r")).agg(F.min(key).alias("component_id"))
-    return grouped.join(least, F.col("root") == F.col("__r"), "left").drop("__r")
+    least = grouped.groupBy(F.col("root").alias("__key")).agg(F.min(key).alias("component_id"), F.count("*").alias("n"))
+    least = stored(least, "component-ids")
+    return _join_hot(grouped, "root", least.drop("n"), least.select("__key", "n"))
 
 
 def near_duplicates(
@@ -172,16 +240,17 @@ def hex_digits(value: Column) -> Column:
 def drop_near_duplicates(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
-    """``docs`` with one document left of every component: the one of the smallest key.
+    """``docs`` with one row left of every component: the one of the smallest key.
 
-    Equal rows of that key are one document. Documents without a key all stay.
+    Null keys come last; ties go by the row's content, and equal rows are one document.
     """
-    found = near_duplicates(docs, key=key, text=text, shingle=shingle)
-    leaders = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
-    kept = docs.where(F.col(key).isNotNull()).join(leaders, F.col(key) == F.col("__key"), "left_semi")
-    once = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(*docs.columns))
-    unique = kept.withColumn("__copy", F.row_number().over(once)).where(F.col("__copy") == 1).drop("__copy")
-    return unique.unionByName(docs.where(F.col(key).isNull()))
+    rows = docs.withColumns({"__tie": F.xxhash64(*docs.columns), "__row": F.monotonically_increasing_id()})
+    rows = stored(rows, "near-rows")
+    light = rows.select(F.col(key).alias("__doc"), "__tie", "__row", F.col(text).alias("__text"))
+    grouped = group_documents(stored(fingerprints(light, text="__text", shingle=shingle), "prints"))
+    rank = F.struct(F.col("__doc").isNull(), F.col("__doc"), F.col("__tie"), F.col("__row").alias("row"))
+    kept = stored(grouped.groupBy("root").agg(F.min(rank)["row"].alias("__row")).select("__row"), "near-kept")
+    return rows.join(with_hint(kept), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ship(__name__)

@@ -251,8 +251,9 @@ def test_simhash_groups(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("max_far", [simhash.MAX_FAR, 3])
 @pytest.mark.parametrize("cut", simhash.CUTS)
-def test_pivot_links_connect_all_close_pairs(spark, cut):
+def test_pivot_links_connect_all_close_pairs(spark, cut, max_far):
     rng = random.Random(3)
     centres = [rng.getrandbits(64) for _ in range(6)]
     prints = {0}
@@ -261,7 +262,7 @@ def test_pivot_links_connect_all_close_pairs(spark, cut):
             prints.add(c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))))
     prints = sorted(prints)
     frame = spark.createDataFrame([(simhash._signed(p), 1 + p % 3) for p in prints], "fp long, n long")
-    stars = components(simhash.near_pairs(frame, cut))
+    stars = components(simhash.near_pairs(frame, cut, max_far=max_far))
     root = {r.v % 2**64: r.u % 2**64 for r in stars.collect()}
     group = {p: p for p in prints}
     for a in prints:
