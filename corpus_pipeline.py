@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moveatlas.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules
+from moveatlas.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
 from moveatlas.llm.text import apart, stored
 
 
@@ -27,11 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: five-word shingles, Jaccard 0.8 or more.
-
-    The op7 query keeps its own rule, four-word fingerprints within four bits.
-    """
-    return near_dedup.drop_near_copies(docs)
+    """One document of every component of fingerprints: four-word shingles, four bits or fewer."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +47,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality),
     ("line_dedup", lines),
-    ("near_dedup", near_duplicates),
+    ("simhash_near_dedup", near_duplicates),
     ("benchmark_decontamination", benchmark),
     ("mixing", mix),
 ]
 
-#: The learned list and the similarities have no SQL form; tests use brute force.
+#: The learned list and the fingerprints have no SQL form; tests use brute force.
 ORACLE_SQL = None
 
 
