@@ -9,9 +9,9 @@ from html.parser import HTMLParser
 import pytest
 import xxhash
 from oracle import differences, duck
-from test_near_dedup import kept_brute
 from test_operators import plain, print_brute, suffix_brute, words_of
 from test_secret_scan import brute_base
+from test_simhash_lists import kept_brute
 from test_token_alignment import brute as aligned
 
 import __spark_entry__ as contract

@@ -2,10 +2,54 @@
 
 import random
 
+from test_operators import print_brute
+
+import corpus_pipeline
 from moveatlas.llm import simhash
 from moveatlas.llm.components import components
 
 
+def kept_brute(rows):
+    """Keys, (is null, key or 0), of the rows (key, text) that the near-duplicate stage keeps."""
+    prints = sorted({print_brute(t) for _, t in rows})
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for i, p in enumerate(prints):
+        for q in prints[:i]:
+            if (p ^ q).bit_count() <= simhash.MAX_BITS:
+                root[max(find(p), find(q))] = min(find(p), find(q))
+    groups = {}
+    for k, t in rows:
+        groups.setdefault(find(print_brute(t)), []).append((k is None, k or 0))
+    return sorted(min(g) for g in groups.values())
+
+
+def test_stage_keeps_one_of_every_group(spark):
+    """Exact copies, case and space changes, near copies, null and shared keys, clashing columns."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefé", k=5)) for _ in range(2000)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(50, 250))) for _ in range(30)]
+    for base in texts[:20]:
+        for changed in (0, 1, 1, 2, 4):
+            found = base.split()
+            for at in rng.sample(range(len(found)), changed):
+                found[at] = rng.choice(vocabulary)
+            texts.append("  ".join(found).upper())
+    texts += ["", " \n", None, "one two", "One  two", "one two three", "long " * 60000]
+    rows = list(enumerate(texts)) + [(None, texts[5]), (None, "no key"), (None, "no key"), (7, "alone"), (7, "other"), (7, "other")]
+    docs = spark.createDataFrame([(*r, "u", 1) for r in rows], "doc_id long, text string, root string, n int").repartition(5)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert got == kept_brute(rows) and len(got) < len(rows) - 20
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_finer_masks_lose_no_pair():
     rng = random.Random(1)
     for fixed in (0, 0xFFFF, (1 << 40) - 1, (1 << 61) - 1):
