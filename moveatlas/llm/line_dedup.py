@@ -8,7 +8,8 @@ ends; blank lines are never counted or dropped.
 
 Lines travel as two independent 64-bit hashes with their site; a line on many pages
 shrinks to one row per task and page text before it is counted by key. A site's list
-of dropped lines holds at most (lines per page / ratio) entries. The lists are
+of dropped lines holds at most (lines per page / ratio) entries and is cut by hash into
+buckets of about ``PER_BUCKET`` lines, so that a line is compared with one bucket. The lists are
 broadcast only if all their lines together stay within ``max_lines``; beyond it they
 are joined in ``SALTS`` copies, so that the pages of one large site are dealt over as
 many tasks. Both ways drop the same lines.
@@ -27,6 +28,7 @@ from moveatlas.llm.text import BROADCAST_ROWS, let, stored, with_hint
 RATIO = 0.05
 MIN_PAGES = 10
 SALTS = 64
+PER_BUCKET = 8
 
 
 def _codes(text: Column) -> Column:
@@ -56,12 +58,34 @@ def boilerplate_lines(
     return over.groupBy(F.col("o.site").alias("site")).agg(F.collect_list("line").alias("dropped"))
 
 
+def in_buckets(found: DataFrame) -> DataFrame:
+    """site, buckets: the lists (site, dropped) as arrays by ``pmod(a, number of buckets)``."""
+    sized = found.withColumn("of", F.ceil(F.size("dropped") / PER_BUCKET).cast("int"))
+    lines = sized.select("site", "of", F.explode("dropped").alias("line"))
+    dealt = lines.select("site", F.pmod(F.col("line.a"), F.col("of")).cast("int").alias("bucket"), "line")
+    every = sized.select("site", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("bucket"))
+    every = every.withColumn("line", F.lit(None).cast(dealt.schema["line"].dataType))
+    lists = dealt.unionByName(every).groupBy("site", "bucket").agg(F.collect_list("line").alias("lines"))
+    in_order = F.sort_array(F.collect_list(F.struct("bucket", "lines")))
+    return lists.groupBy("site").agg(in_order["lines"].alias("buckets"))
+
+
+def _holds(buckets: Column, line: Column) -> Column:
+    """Whether the bucket of the line's hash holds the line."""
+
+    def found(code: Column) -> Column:
+        return F.array_contains(F.get(buckets, F.pmod(code["a"], F.size(buckets)).cast("int")), code)
+
+    return let(_codes(line), found)
+
+
 def _with_lists(d: DataFrame, found: DataFrame, site: str, text: str, max_lines: int) -> DataFrame:
-    """``d`` (alias d) with the list of its site (alias f)."""
+    """``d`` (alias d) with the buckets of its site (alias f)."""
     same = F.col(f"d.{site}").eqNullSafe(F.col("f.site"))
+    lists = stored(in_buckets(found), "boilerplate-buckets")
     if (found.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= max_lines:
-        return d.join(F.broadcast(found).alias("f"), same, "left")
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return d.join(F.broadcast(lists).alias("f"), same, "left")
+    salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = F.pmod(F.xxhash64(F.col(f"d.{text}")), F.lit(SALTS)).cast("int")
     return d.join(salted.alias("f"), same & (dealt == F.col("f.salt")), "left")
 
@@ -83,15 +107,15 @@ def drop_boilerplate(
     d = docs.drop("n_lines", "n_dropped").alias("d")
     joined = _with_lists(d, found, site, text, max_lines)
     lines = F.split(F.col(f"d.{text}"), "\n")
-    dropped = F.col("f.dropped")
+    buckets = F.col("f.buckets")
     kept = F.filter(
         lines,
-        lambda line: let(_bare(line), lambda b: (b == "") | ~F.array_contains(dropped, _codes(b))),
+        lambda line: let(_bare(line), lambda b: (b == "") | ~_holds(buckets, b)),
     )
     own = [F.col(f"d.`{c}`") for c in d.columns if c != text]
     cut = joined.select(
         *own, F.col(f"d.{text}").alias("__text"), lines.alias("__lines"),
-        F.when(dropped.isNull(), lines).otherwise(kept).alias("__kept"),
+        F.when(buckets.isNull(), lines).otherwise(kept).alias("__kept"),
     )
     changed = F.size("__kept") < F.size("__lines")
     done = cut.withColumns(
