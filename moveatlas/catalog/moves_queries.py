@@ -145,9 +145,13 @@ def reconciled_dated(spark, sf_dir):
 
 @query("st04_reconcile_beyond_broadcast", _reconciled_sql("TRUE"))
 def reconciled_shuffled(spark, sf_dir):
-    """The same with a broadcast limit of nothing: the salted shuffle join."""
+    """The same with a broadcast limit of nothing: the salted shuffle join.
+
+    The salt is taken from all columns of a row, so the frame has the summed ones only.
+    """
     history = code_history(spark, sf_dir)
-    return _pairs(reconcile_admin_codes(all_moves(spark, sf_dir), history, max_bytes=0))
+    rows = all_moves(spark, sf_dir).select("o_admdong_cd", "d_admdong_cd", "total_cnt")
+    return _pairs(reconcile_admin_codes(rows, history, max_bytes=0))
 
 
 _DATED_HISTORY = """dated AS (
@@ -178,7 +182,8 @@ sum("2030_cnt") AS "2030_cnt" FROM recoded GROUP BY 1, 2"""
 
 
 def _recoded_pairs(spark, sf_dir, **options) -> DataFrame:
-    recoded = recode_over_time(all_moves(spark, sf_dir), dated_code_history(spark, sf_dir), **options)
+    rows = all_moves(spark, sf_dir).select("o_admdong_cd", "d_admdong_cd", "etl_ymd", "2030_cnt", "total_cnt")
+    recoded = recode_over_time(rows, dated_code_history(spark, sf_dir), **options)
     return recoded.groupBy("o_admdong_cd", "d_admdong_cd").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("total_cnt").alias("total_cnt"), F.sum("2030_cnt").alias("2030_cnt")
     )

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moveatlas import schema as S
-from moveatlas.operators.lookups import ABOLISHED, BROADCAST_BYTES, SALTS
+from moveatlas.operators.lookups import ABOLISHED, BROADCAST_BYTES, SALT, SALTS, with_salt
 from moveatlas.session import shared_folder
 
 #: Changes up to which a history is resolved on the driver.
@@ -157,11 +157,10 @@ def _as_of(df: DataFrame, transitions: DataFrame, column: str, ymd: str, small:
     if small:
         met = df.join(F.broadcast(spans), (F.col(column) == F.col("__code")) & inside, "left")
         return met.drop("__code", "__since", "__until")
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
     repeated = spans.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = (F.col(column) == F.col("__code")) & (F.col("__salt") == F.col("__of"))
-    met = df.withColumn("__salt", salt).join(repeated, same & inside, "left")
-    return met.drop("__code", "__since", "__until", "__salt", "__of")
+    same = (F.col(column) == F.col("__code")) & (F.col(SALT) == F.col("__of"))
+    met = df.join(repeated, same & inside, "left")
+    return met.drop("__code", "__since", "__until", "__of")
 
 
 def recode_over_time(
@@ -186,14 +185,17 @@ def recode_over_time(
     small = (targets or 0) * BYTES_PER_TARGET <= max_bytes
     names = list(df.columns)
     scaled = [m for m in measures if m in names]
+    if not small:
+        df = with_salt(df)
+    kept = list(df.columns)
     for column in columns:
         met = _as_of(df, transitions, column, ymd, small)
         if (most or 0) <= 1:
             now: Column = F.coalesce(F.get("__targets", F.lit(0))["code"], F.col(column))
-            df = met.withColumn(column, now).select(*names)
+            df = met.withColumn(column, now).select(*kept)
             continue
         same = F.array(F.struct(F.col(column).alias("code"), F.lit(1.0).alias("share")))
         split = met.withColumn("__target", F.explode(F.coalesce("__targets", same)))
         parts = {m: F.col(m) * F.col("__target.share") for m in scaled}
-        df = split.withColumns({**parts, column: F.col("__target.code")}).select(*names)
-    return df
+        df = split.withColumns({**parts, column: F.col("__target.code")}).select(*kept)
+    return df.select(*names)

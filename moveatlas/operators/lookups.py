@@ -17,6 +17,7 @@ LOG = logging.getLogger(__name__)
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+SALT = "__salt"
 #: The code of what was abolished without a successor.
 ABOLISHED = "abolished"
 
@@ -36,6 +37,16 @@ def lookup_bytes(lookup: DataFrame, key: str) -> int:
     return total or 0
 
 
+def with_salt(facts: DataFrame) -> DataFrame:
+    """Add a salt taken from the content of all columns.
+
+    Added before the first of several salted joins, it serves them all, and only the
+    salt and the columns still wanted are shuffled: a salt made between two joins needs
+    every column there.
+    """
+    return facts.withColumn(SALT, F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int"))
+
+
 def attach_lookup(
     facts: DataFrame,
     lookup: DataFrame,
@@ -50,7 +61,8 @@ def attach_lookup(
     facts do not move. Beyond that the facts are shuffled on the key and a salt
     taken from the row content, with the lookup repeated once per salt, so one
     hot key spreads over ``SALTS`` tasks; adaptive skew handling splits what
-    exact copies of one row still leave together.
+    exact copies of one row still leave together. Facts that have a salt of
+    ``with_salt`` keep and use it.
     """
     small = (lookup_bytes(lookup, key) if size is None else size) <= max_bytes
     renamed = lookup.withColumnRenamed(key, "__lookup_key")
@@ -59,16 +71,16 @@ def attach_lookup(
             F.broadcast(renamed), F.col(fact_key) == F.col("__lookup_key"), "left"
         )
         return joined.drop("__lookup_key")
-    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int"))
+    salted = facts if SALT in facts.columns else with_salt(facts)
     repeated = renamed.withColumn(
         "__lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
     joined = salted.join(
         repeated,
-        (F.col(fact_key) == F.col("__lookup_key")) & (F.col("__salt") == F.col("__lookup_salt")),
+        (F.col(fact_key) == F.col("__lookup_key")) & (F.col(SALT) == F.col("__lookup_salt")),
         "left",
     )
-    return joined.drop("__salt", "__lookup_key", "__lookup_salt")
+    return joined.select(*facts.columns, *(c for c in lookup.columns if c != key))
 
 
 def map_purpose(
@@ -179,10 +191,13 @@ def reconcile_admin_codes(
         current = current.join(dates, F.col("old_cd") == F.col("__old")).drop("__old")
     change = current.withColumnRenamed("new_cd", "__new")
     size = lookup_bytes(change, "old_cd")
+    names = list(df.columns)
+    if size > max_bytes:
+        df = with_salt(df)
     for column in columns:
         joined = attach_lookup(df, change, "old_cd", column, max_bytes, size)
         replacement: Column = F.col("__new")
         if ymd is not None:
             replacement = F.when(F.col(ymd) < F.col("__effective"), replacement)
         df = joined.withColumn(column, F.coalesce(replacement, column)).drop("__new", "__effective")
-    return df
+    return df.select(*names)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from moveatlas import schema as S
 from moveatlas.catalog import all_queries
-from moveatlas.operators.lookups import attach_lookup
+from moveatlas.operators.lookups import attach_lookup, reconcile_admin_codes
 from moveatlas.operators.ranking import top_k
 from moveatlas.plans import bedtown, flows, mart, visits
 from moveatlas.sources import counts as C
@@ -109,6 +109,16 @@ def test_one_hot_key_spreads_over_salts(spark, many_partitions):
         assert joined.filter("label = 'x'").count() == 4000
 
 
+def test_salted_joins_move_only_wanted_columns(spark, moves):
+    history = spark.createDataFrame([("0", "1"), ("3", "4")], "old_cd string, new_cd string")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        recoded = reconcile_admin_codes(moves, history, max_bytes=0)
+        plan = planned(recoded.groupBy("o_admdong_cd", "d_admdong_cd").agg(F.sum("total_cnt")))
+    # Below the first shuffle the salt is made from every column, above it only the salt is there.
+    assert plan.count("xxhash64") == 1 and plan.count("SortMergeJoin") == 2
+    assert recoded.columns == moves.columns
+
+
 @pytest.mark.parametrize("name", ["q02_hotness_top30", "q12_filled_scores_top30", "mart_all_indicators",
                                   "st05_transform_origin", "q27_bedtown_against_hotplace"])
 def test_no_python_and_no_cross_join_in_the_plan(spark, small, name):
