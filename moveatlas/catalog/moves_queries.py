@@ -436,20 +436,31 @@ def sketch_rank_error(spark, sf_dir):
     """Quartiles by sketch of every place and of all places merged: is their true rank within the bound?"""
     rows = all_moves(spark, sf_dir).select("d_admdong_cd", "move_dist")
     by_place = quantile_sketches(rows, "move_dist", ["d_admdong_cd"])
-    merged = merge_sketches(by_place).withColumn("d_admdong_cd", F.lit("all"))
-    found = sketch_quantiles(by_place.unionByName(merged), {"q1": 0.25, "q3": 0.75})
-    named = found.select(F.col("d_admdong_cd").alias("place"), "q1", "q3")
-    both = rows.withColumn("place", F.explode(F.array("d_admdong_cd", F.lit("all")))).join(named, "place")
-    n, error = F.count(F.lit(1)), rank_error(times=2)
-
-    def within(name: str, q: float):
-        below, upto = (F.count_if(F.col("move_dist") < F.col(name)), F.count_if(F.col("move_dist") <= F.col(name)))
-        return ((below / n <= q + error) & (upto / n >= q - error)).alias(f"{name}_within")
-
-    return both.groupBy(F.col("place").alias("d_admdong_cd")).agg(
-        n.alias("rows"), within("q1", 0.25), within("q3", 0.75)
+    cuts = {"q1": 0.25, "q3": 0.75}
+    ends = sketch_quantiles(by_place, cuts).select(F.col("d_admdong_cd").alias("place"), *cuts)
+    whole = sketch_quantiles(merge_sketches(by_place), cuts).select(*(F.col(q).alias(f"all_{q}") for q in cuts))
+    # A row meets its place's quartiles and the one pair of all places, so no task reads the rows of all.
+    met = rows.join(ends, F.col("d_admdong_cd") == F.col("place"), "left").crossJoin(F.broadcast(whole))
+    value, error = F.col("move_dist"), rank_error(times=2)
+    tests = {f"{q}_{n}": f(q) for q in (*cuts, *whole.columns) for n, f in (("below", lambda q: value < F.col(q)), ("upto", lambda q: value <= F.col(q)))}
+    counted = met.groupBy("place").agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(test).alias(n) for n, test in tests.items()))
+    names = [f"{q}_{n}" for q in cuts for n in ("below", "upto")]
+    sides = F.explode(
+        F.array(
+            F.struct("place", "rows", *names),
+            F.struct(F.lit("all").alias("place"), "rows", *(F.col(f"all_{n}").alias(n) for n in names)),
+        )
+    )
+    totals = counted.select(sides.alias("of")).filter("of.place IS NOT NULL").groupBy("of.place").agg(
+        *(F.sum(f"of.{n}").alias(n) for n in ("rows", *names))
     )
 
+    def within(name: str):
+        below, upto = F.col(f"{name}_below") / F.col("rows"), F.col(f"{name}_upto") / F.col("rows")
+        return ((below <= cuts[name] + error) & (upto >= cuts[name] - error)).alias(f"{name}_within")
+
+    return totals.select(F.col("place").alias("d_admdong_cd"), "rows", within("q1"), within("q3"))
+
 
 @query(
     "st07_outliers_between",

@@ -119,6 +119,12 @@ def test_salted_joins_move_only_wanted_columns(spark, moves):
     assert recoded.columns == moves.columns
 
 
+def test_rank_errors_of_all_rows_gather_no_row(spark, small):
+    plan = planned(all_queries()["st07_sketch_rank_error"](spark, small))
+    # Printed from the top: the row for all places is made above the joins, from counts of places.
+    assert plan.index("explode(array(") < plan.index("Join")
+
+
 @pytest.mark.parametrize("name", ["q02_hotness_top30", "q12_filled_scores_top30", "mart_all_indicators",
                                   "st05_transform_origin", "q27_bedtown_against_hotplace"])
 def test_no_python_and_no_cross_join_in_the_plan(spark, small, name):
