@@ -20,11 +20,13 @@ COMMUTE_HOURS = 6
 
 
 def pair_hours(moves: DataFrame) -> DataFrame:
-    """People by pair, day and start hour: lo, hi, day, ``ahead`` and ``back`` by hour 0..23.
+    """People by pair and day: lo, hi, day, ``ahead_total`` and ``back_total``, and by start hour
+    0..23 ``ahead`` and ``back``, which are null where nothing opposes.
 
     ``ahead`` are moves from lo to hi. A move inside one place or with an unknown side
     is a pair of its own that nothing opposes. Hours are summed before a pair's day is
-    put together, so its arrays are made of 24 rows at most.
+    put together, so its arrays are made of 24 rows at most; totals are plain sums, and
+    arrays are made only for pairs and days with people both ways.
     """
     o, d = F.col("o_admdong_cd"), F.col("d_admdong_cd")
     turned = F.coalesce(o > d, F.lit(False))
@@ -39,14 +41,19 @@ def pair_hours(moves: DataFrame) -> DataFrame:
         zero_sum(F.when(turned, F.col("total_cnt"))).alias("back"),
     )
     entry = F.struct("hour", F.struct("ahead", "back"))
-    by_hour = F.map_from_entries(F.collect_list(entry))
-    daily = hourly.filter(F.col("hour").between(0, 23)).groupBy("lo", "hi", "day").agg(by_hour.alias("hours"))
+    daily = hourly.filter(F.col("hour").between(0, 23)).groupBy("lo", "hi", "day").agg(
+        F.sum("ahead").alias("ahead_total"), F.sum("back").alias("back_total"), F.collect_list(entry).alias("entries")
+    )
+    opposed = F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)) & (F.col("ahead_total") > 0) & (F.col("back_total") > 0)
+    totals = ("lo", "hi", "day", "ahead_total", "back_total")
+    by_hour = daily.select(*totals, F.when(opposed, F.map_from_entries("entries")).alias("hours"))
 
     def side(name: str) -> Column:
         hours = F.sequence(F.lit(0), F.lit(23))
-        return F.transform(hours, lambda h: F.coalesce(F.try_element_at("hours", h)[name], F.lit(0.0)))
+        people = F.transform(hours, lambda h: F.coalesce(F.try_element_at("hours", h)[name], F.lit(0.0)))
+        return F.when(F.col("hours").isNotNull(), people).alias(name)
 
-    return daily.select("lo", "hi", "day", side("ahead").alias("ahead"), side("back").alias("back"))
+    return by_hour.select(*totals, side("ahead"), side("back"))
 
 
 def matched_people(ahead: Column, back: Column, min_hours: int) -> Column:
@@ -88,10 +95,8 @@ def matched_people(ahead: Column, back: Column, min_hours: int) -> Column:
 def round_trips(moves: DataFrame, min_hours: int = COMMUTE_HOURS) -> DataFrame:
     """Per pair and day: people each way and ``matched``, those on a round trip."""
     pairs = pair_hours(moves)
-    total = {n: F.aggregate(n, F.lit(0.0), lambda a, x: a + x).alias(f"{n}_total") for n in ("ahead", "back")}
-    crossing = F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)) & (total["ahead"] > 0) & (total["back"] > 0)
-    matched = F.when(crossing, matched_people(F.col("ahead"), F.col("back"), min_hours)).otherwise(F.lit(0.0))
-    return pairs.select("lo", "hi", "day", *total.values(), matched.alias("matched"))
+    matched = F.when(F.col("ahead").isNotNull(), matched_people(F.col("ahead"), F.col("back"), min_hours))
+    return pairs.select("lo", "hi", "day", "ahead_total", "back_total", F.coalesce(matched, F.lit(0.0)).alias("matched"))
 
 
 def same_day_activity(moves: DataFrame, min_hours: int = COMMUTE_HOURS) -> DataFrame:

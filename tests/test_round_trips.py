@@ -80,6 +80,13 @@ def test_unknown_sides_keep_their_people(spark):
     assert got == {"a": (7.0, 7.0, 0.0, 7.0), None: (5.0, 5.0, 0.0, 5.0)}
 
 
+def test_hours_are_listed_only_where_people_go_both_ways(spark):
+    rows = [("a", "b", "20240105", 8, 5), ("a", "b", "20240105", 9, 1), ("b", "a", "20240106", 9, 2), ("a", "b", "20240106", 3, 4)]
+    got = {r.day: r for r in R.pair_hours(frame(spark, rows)).collect()}
+    assert (got["20240105"].ahead_total, got["20240105"].back_total, got["20240105"].ahead, got["20240105"].back) == (6.0, 0.0, None, None)
+    assert (got["20240106"].ahead[3], got["20240106"].back[9], sum(got["20240106"].back)) == (4.0, 2.0, 2.0)
+
+
 def test_without_moves(spark):
     assert activity(frame(spark, [("a", "b", "20240105", 8, 5)]).limit(0)) == {}
 
