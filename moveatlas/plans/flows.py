@@ -59,9 +59,11 @@ def all_place_extracts(moves: DataFrame, n: int) -> DataFrame:
     """Top flows with age mix of every place and both sides, from one scan.
 
     One row per ``side``, ``place`` and ``other`` place, ranked as in ``place_extract``.
-    Flows are summed before the ranking, and each task keeps n rows a place before the
-    ranks are given, so neither a hot place nor a hot flow is gathered.
+    Flows are summed by pair, and a pair's one row counts for both its sides; each task keeps
+    n rows a place before the ranks are given, so neither a hot place nor a hot flow is gathered.
     """
+    pair = tuple(SIDE_COLUMNS.values())
+    mix = band_mix(moves, pair, S.BAND_COLS, {"flow": "total_cnt"})
     sides = F.explode(
         F.array(
             *(
@@ -73,11 +75,9 @@ def all_place_extracts(moves: DataFrame, n: int) -> DataFrame:
             )
         )
     )
-    rows = moves.select(sides.alias("of"), *S.BAND_COLS, "total_cnt").select(
-        "of.side", "of.place", "of.other", *S.BAND_COLS, "total_cnt"
-    )
-    mix = band_mix(rows, ["side", "place", "other"], S.BAND_COLS, {"flow": "total_cnt"})
-    return top_n_per_group(mix, ("side", "place"), "flow", "other", n)
+    totals = [c for c in mix.columns if c not in pair]
+    rows = mix.select(sides.alias("of"), *totals).select("of.side", "of.place", "of.other", *totals)
+    return top_n_per_group(rows, ("side", "place"), "flow", "other", n)
 
 
 def one_extract(extracts: DataFrame, place: str, side: str) -> DataFrame:
