@@ -112,12 +112,19 @@ def scan_one_file(spark, sf_dir):
     return rounded(group_means(rows, "l_linenumber", {"avg_cnt": "l_extendedprice"}), avg_cnt=4)
 
 
+def _stored_moves(spark, sf_dir):
+    """All moves, stored once, for what reads them several times: their joins run once."""
+    path = scratch_path(spark, "moves")
+    all_moves(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(
     "io06_load_needed_columns",
     Q.with_m2("SELECT d_admdong_cd, purpose_code, sum(total_cnt) AS total_cnt FROM m2 GROUP BY ALL"),
 )
 def load_needed_columns(spark, sf_dir):
-    rows = all_moves(spark, sf_dir)
+    rows = _stored_moves(spark, sf_dir)
     paths = [scratch_path(spark, "early"), scratch_path(spark, "late")]
     early = F.coalesce(F.col("etl_ymd") < "19980101", F.lit(False))
     rows.filter(early).write.parquet(paths[0])
@@ -292,7 +299,7 @@ GROUP BY purpose_code"""
 )
 def parts_of_other_types(spark, sf_dir):
     """One part has text, doubles and a column more; the other whole numbers."""
-    rows = all_moves(spark, sf_dir)
+    rows = _stored_moves(spark, sf_dir)
     paths = [scratch_path(spark, "text-part"), scratch_path(spark, "number-part")]
     early = F.coalesce(F.col("etl_ymd") < "19980101", F.lit(False))
     rows.filter(early).write.parquet(paths[0])

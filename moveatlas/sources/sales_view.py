@@ -28,15 +28,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _trips(spark: SparkSession, sf_dir: str, ymd: tuple[str, str] | None) -> DataFrame:
-    """Line items with their order; a known period is cut at the orders scan."""
+    """Line items with their order; a known period is cut at the orders scan.
+
+    The day is made text once an order, not once a line item. What is computed from a
+    line item is computed above the joins, which so move only its own columns.
+    """
     orders = _table(spark, sf_dir, "orders")
     if ymd is not None:
         lo, hi = (f"TIMESTAMP_NTZ '{d[:4]}-{d[4:6]}-{d[6:]}'" for d in ymd)
         orders = orders.filter(f"o_orderdate >= {lo} AND o_orderdate < {hi} + INTERVAL 1 DAY")
-    lines = _table(spark, sf_dir, "lineitem").selectExpr(
-        "*", "l_partkey + 1 AS step", "l_linenumber * 7 - 1 AS shift"
-    )
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = orders.selectExpr("o_orderkey", "o_custkey", "date_format(o_orderdate, 'yyyyMMdd') AS day")
+    return _table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+#: The two row parts that the sixteen counts are made of.
+_PARTS = ("*", "l_partkey + 1 AS step", "l_linenumber * 7 - 1 AS shift")
 
 
 def _count(i: int) -> str:
@@ -45,11 +51,11 @@ def _count(i: int) -> str:
 
 
 # The sixteen counts of a row depend on its two row parts modulo 9 only, so they
-# are one of 81 strings of sixteen digits. Sixteen formulas per row instead would
+# are one of 81 lists of sixteen digits. Sixteen formulas per row instead would
 # make the generated method too large for the JVM to compile.
 _DIGITS = "element_at(array({}), CAST(1 + step % 9 * 9 + shift % 9 AS INT))".format(
     ", ".join(
-        "'" + "".join(str(1 + (step * (i + 1) + shift) % 9) for i in range(16)) + "'"
+        "array(" + ", ".join(f"'{1 + (step * (i + 1) + shift) % 9}'" for i in range(16)) + ")"
         for step in range(9)
         for shift in range(9)
     )
@@ -79,14 +85,14 @@ def purpose_counts(
         .join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    return trips.selectExpr("*", f"{_DIGITS} AS digits").selectExpr(
-        "date_format(o_orderdate, 'yyyyMMdd') AS ETL_YMD",
+    return trips.selectExpr(*_PARTS).selectExpr("*", f"{_DIGITS} AS digits").selectExpr(
+        "day AS ETL_YMD",
         _hour("CAST(l_quantity AS INT)") + " AS TIME_CD",
         f"{_PURPOSE} AS MOVE_PURPOSE",
         f"r_name AS {S.PROVINCE}",
         f"n_name AS {S.DISTRICT}",
         f"concat(r_name, '_', n_name, '_', s_name) AS {S.PLACE}",
-        *(f"substr(digits, {i + 1}, 1) AS {name}" for i, name in enumerate(S.COUNT_COLS)),
+        *(f"digits[{i}] AS {name}" for i, name in enumerate(S.COUNT_COLS)),
         "CAST(l_extendedprice AS STRING) AS TOTAL_CNT",
     )
 
@@ -103,10 +109,11 @@ def moves(spark: SparkSession, sf_dir: str, ymd: tuple[str, str] | None = None)
     hour = "CAST(l_quantity AS INT)"
     return (
         _trips(spark, sf_dir, ymd)
+        .selectExpr(*_PARTS)
         .selectExpr(
             "CAST(o_custkey % 100 AS STRING) AS o_admdong_cd",
             "CAST(l_suppkey AS STRING) AS d_admdong_cd",
-            "date_format(o_orderdate, 'yyyyMMdd') AS etl_ymd",
+            "day AS etl_ymd",
             _hour(hour) + " AS st_time_cd",
             _hour(f"{hour} + l_linenumber") + " AS fns_time_cd",
             "l_extendedprice AS move_dist",

@@ -2,10 +2,24 @@
 
 from conftest import planned
 
+from moveatlas.catalog import io_queries as Q
 from moveatlas.plans import flows
 from moveatlas.sources import sales_view
 
 
+def test_parts_are_cut_from_stored_moves(spark, small):
+    stored = Q._stored_moves(spark, small)
+    assert "Join" not in planned(stored)
+    assert stored.count() == spark.read.parquet(f"{small}/lineitem.parquet").count()
+
+
+def test_days_are_made_text_below_the_joins(spark, small):
+    for view in (sales_view.moves, sales_view.purpose_counts):
+        plan = planned(view(spark, small))
+        # Printed from the top: the join of line items and orders is the last one.
+        assert plan.rindex("Join ") < plan.index("date_format")
+
+
 def test_extracts_sum_pairs_before_the_two_sides(spark, small):
     plan = planned(flows.all_place_extracts(sales_view.moves(spark, small), 3))
     assert plan.index("Generate") < plan.index("HashAggregate")
