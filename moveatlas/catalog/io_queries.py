@@ -278,8 +278,10 @@ def kept_indicator_mart(spark, sf_dir):
     src, path, progress = (scratch_path(spark, n) for n in ("mart-csv", "mart", "mart-progress"))
     rows.filter(~late).write.option("header", True).csv(src)
     kept_mart.keep_mart(spark, src, path, progress).awaitTermination()
+    late_rows = scratch_path(spark, "mart-late")
+    rows.filter(late).write.parquet(late_rows)
     for _ in range(2):
-        kept_mart.write_batch(C.standardise_counts(rows.filter(late)), path, "late")
+        kept_mart.write_batch(C.standardise_counts(spark.read.parquet(late_rows)), path, "late")
     year = tuple(int(d[:6]) for d in Q.YEAR)
     mart = kept_mart.read_mart(spark, path, year, (S.PLACE,))
     return mart.filter("rows_evening_home > 0").select(S.PLACE, "home_return", "home_total", "rows_evening_home")

@@ -13,6 +13,18 @@ def test_parts_are_cut_from_stored_moves(spark, small):
     assert stored.count() == spark.read.parquet(f"{small}/lineitem.parquet").count()
 
 
+def test_batches_of_the_kept_mart_repeat_no_join(spark, small, monkeypatch):
+    plans, write = [], Q.kept_mart.write_batch
+
+    def spy(counts, *rest):
+        plans.append(planned(counts))
+        return write(counts, *rest)
+
+    monkeypatch.setattr(Q.kept_mart, "write_batch", spy)
+    assert Q.kept_indicator_mart(spark, small).count() > 0
+    assert len(plans) >= 3 and not any("Join" in plan for plan in plans)
+
+
 def test_days_are_made_text_below_the_joins(spark, small):
     for view in (sales_view.moves, sales_view.purpose_counts):
         plan = planned(view(spark, small))
