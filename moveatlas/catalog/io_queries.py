@@ -24,9 +24,13 @@ from moveatlas.streaming import mart as kept_mart
 from moveatlas.streaming.ingest import ingest_new_files
 
 
+#: Files of CSV are compressed; they can't be split, so none has more than a task's share of rows.
+_CSV_FILES = {"header": True, "compression": "snappy", "maxRecordsPerFile": 1_000_000}
+
+
 def _as_csv(spark, sf_dir) -> str:
     path = scratch_path(spark, "counts-csv")
-    all_counts(spark, sf_dir).write.option("header", True).csv(path)
+    all_counts(spark, sf_dir).write.options(**_CSV_FILES).csv(path)
     return path
 
 
@@ -276,7 +280,7 @@ def kept_indicator_mart(spark, sf_dir):
     rows = all_counts(spark, sf_dir)
     late = F.col("TIME_CD") == "19"
     src, path, progress = (scratch_path(spark, n) for n in ("mart-csv", "mart", "mart-progress"))
-    rows.filter(~late).write.option("header", True).csv(src)
+    rows.filter(~late).write.options(**_CSV_FILES).csv(src)
     kept_mart.keep_mart(spark, src, path, progress).awaitTermination()
     late_rows = scratch_path(spark, "mart-late")
     rows.filter(late).write.parquet(late_rows)

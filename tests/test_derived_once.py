@@ -1,5 +1,7 @@
 """Catalog queries that write data: what is derived by joins is derived once and stays narrow."""
 
+from pathlib import Path
+
 from conftest import planned
 
 from moveatlas.catalog import io_queries as Q
@@ -25,6 +27,13 @@ def test_batches_of_the_kept_mart_repeat_no_join(spark, small, monkeypatch):
     assert len(plans) >= 3 and not any("Join" in plan for plan in plans)
 
 
+def test_csv_files_are_compressed_and_whole(spark, small):
+    path = Q._as_csv(spark, small)
+    files = [p.name for p in Path(path).glob("part-*")]
+    assert files and all(name.endswith(".csv.snappy") for name in files)
+    assert Q.C.read_counts_csv(spark, path).count() == spark.read.parquet(f"{small}/lineitem.parquet").count()
+
+
 def test_days_are_made_text_below_the_joins(spark, small):
     for view in (sales_view.moves, sales_view.purpose_counts):
         plan = planned(view(spark, small))
